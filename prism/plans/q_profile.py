@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from prism.operators import describe as D
+from prism.operators import quality as Q
 from prism.operators import roles as RL
 from prism.plans.fixtures import CUSTOMER_NULLS_SQL, LINEITEM_NULLS_SQL, customer_nulls, lineitem_nulls
 from prism.plans.registry import canon_sql as R, register, round_doubles, table
@@ -42,3 +45,223 @@ def q_describe_numeric_customer(spark, sf):
 @register("describe_numeric_events", _describe_sql("SELECT * FROM events", ["event_id", "user_id", "value"]))
 def q_describe_numeric_events(spark, sf):
     return round_doubles(D.describe_numeric(table(spark, sf, "events")))
+
+
+# ---------------------------------------------------------------- SQL helpers
+def _miss_sql(c: str, t: str) -> str:
+    return f"({c} IS NULL OR isnan({c}))" if t == "double" else f"({c} IS NULL)"
+
+
+def _total_missing_sql(cols, types) -> str:
+    return " + ".join(f"count_if({_miss_sql(c, t)})" for c, t in zip(cols, types))
+
+
+LI_SRC = f"WITH src AS ({LINEITEM_NULLS_SQL}) "
+NCOLS = len(LINEITEM_COLS)
+ROLE = {"bigint": "numeric", "int": "numeric", "double": "numeric", "string": "categorical",
+        "timestamp_ntz": "temporal"}
+
+
+def _j(expr: str) -> str:
+    """array of codes -> '|'-joined text (lists hash differently across engines)."""
+    return f"array_to_string(list_filter({expr}, lambda x: x IS NOT NULL), '|')"
+
+
+# ---------------------------------------------------------------- P1-P8
+@register("column_profile", LI_SRC + " UNION ALL ".join(
+    f"SELECT {i + 1} AS pos, '{c}' AS column_name, '{t}' AS dtype, '{ROLE[t]}' AS role, "
+    f"count_if({_miss_sql(c, t)}) AS missing, count(DISTINCT CASE WHEN NOT {_miss_sql(c, t)} THEN {c} END) AS n_distinct FROM src"
+    for i, (c, t) in enumerate(zip(LINEITEM_COLS, LINEITEM_TYPES))))
+def q_column_profile(spark, sf):
+    return RL.column_profile(lineitem_nulls(spark, sf)).withColumnRenamed("distinct", "n_distinct")
+
+
+@register("numeric_projection", "SELECT " + ", ".join(LINEITEM_NUMERIC) + " FROM lineitem")
+def q_numeric_projection(spark, sf):
+    return round_doubles(RL.numeric_projection(table(spark, sf, "lineitem")))
+
+
+@register("date_candidates",
+          "WITH src AS (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate_text, o_orderpriority, o_orderstatus FROM orders) "
+          + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, coalesce(bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL), false) AS is_date "
+              f"FROM (SELECT {c} AS v FROM src WHERE {c} IS NOT NULL LIMIT 100)"
+              for c in ["o_orderdate_text", "o_orderpriority", "o_orderstatus"]))
+def q_date_candidates(spark, sf):
+    o = table(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate_text"), "o_orderpriority", "o_orderstatus")
+    return RL.date_candidates(o)
+
+
+@register("preview_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_preview_head(spark, sf):
+    return round_doubles(RL.preview_head(table(spark, sf, "orders"), "o_orderkey", 10))
+
+
+@register("shape", f"SELECT count(*) AS rows, CAST({NCOLS} AS BIGINT) AS columns FROM lineitem")
+def q_shape(spark, sf):
+    return RL.shape(table(spark, sf, "lineitem"))
+
+
+@register("dtype_histogram", "SELECT dtype, count(*) AS n FROM (VALUES "
+          + ", ".join(f"('{t}')" for t in LINEITEM_TYPES) + ") AS t(dtype) GROUP BY dtype")
+def q_dtype_histogram(spark, sf):
+    return RL.dtype_histogram(table(spark, sf, "lineitem"))
+
+
+_WIDTH = {"bigint": 8, "int": 4, "double": 8, "timestamp_ntz": 8}
+_SIZE_SQL = " + ".join(
+    f"coalesce(sum(strlen({c})), 0)" if t == "string" else f"count({c}) * {_WIDTH[t]}"
+    for c, t in zip(LINEITEM_COLS, LINEITEM_TYPES))
+
+
+@register("size_estimate", LI_SRC + f"SELECT CAST({_SIZE_SQL} AS BIGINT) AS bytes, "
+          f"{R(f'CAST({_SIZE_SQL} AS BIGINT) / 1048576.0')} AS mb FROM src")
+def q_size_estimate(spark, sf):
+    return round_doubles(RL.size_estimate(lineitem_nulls(spark, sf)))
+
+
+@register("dataset_card", LI_SRC + f"SELECT 'lineitem' AS name, count(*) AS rows, CAST({NCOLS} AS BIGINT) AS columns, "
+          "CAST(8 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS categorical_columns, CAST(0 AS BIGINT) AS boolean_columns, "
+          f"CAST({_total_missing_sql(LINEITEM_COLS, LINEITEM_TYPES)} AS BIGINT) AS missing_cells, "
+          f"CAST({_SIZE_SQL} AS BIGINT) AS bytes FROM src")
+def q_dataset_card(spark, sf):
+    return RL.dataset_card(lineitem_nulls(spark, sf), "lineitem")
+
+
+# ---------------------------------------------------------------- V1-V10
+_TM = _total_missing_sql(LINEITEM_COLS, LINEITEM_TYPES)
+_COMPLETE_NUM = " AND ".join(f"NOT {_miss_sql(c, 'double')}" for c in LINEITEM_NUMERIC)
+
+
+@register("null_counts", LI_SRC + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count_if({_miss_sql(c, t)}) AS missing FROM src"
+    for c, t in zip(LINEITEM_COLS, LINEITEM_TYPES)))
+def q_null_counts(spark, sf):
+    return Q.null_counts(lineitem_nulls(spark, sf))
+
+
+@register("missing_summary", LI_SRC + f"SELECT CAST({_TM} AS BIGINT) AS missing, count(*) * {NCOLS} AS cells, "
+          f"{R(f'round(({_TM}) * 100.0 / (count(*) * {NCOLS}), 2)')} AS pct FROM src")
+def q_missing_summary(spark, sf):
+    return round_doubles(Q.missing_summary(lineitem_nulls(spark, sf)))
+
+
+_ALL_COMPLETE = " AND ".join(f"NOT {_miss_sql(c, t)}" for c, t in zip(LINEITEM_COLS, LINEITEM_TYPES))
+
+
+@register("complete_rows", LI_SRC + f"SELECT count_if({_ALL_COMPLETE}) AS n, "
+          f"{R(f'count_if({_ALL_COMPLETE}) * 100.0 / count(*)')} AS pct FROM src")
+def q_complete_rows(spark, sf):
+    return round_doubles(Q.complete_rows(lineitem_nulls(spark, sf)))
+
+
+@register("drop_missing", LI_SRC + "SELECT * FROM src WHERE l_tax IS NOT NULL AND NOT isnan(l_tax) AND l_returnflag IS NOT NULL")
+def q_drop_missing(spark, sf):
+    return round_doubles(Q.drop_missing(lineitem_nulls(spark, sf), ["l_tax", "l_returnflag"]))
+
+
+@register("check_not_empty", "SELECT count(*) > 0 AS is_valid, CASE WHEN count(*) = 0 THEN 'empty_dataset' END AS code FROM lineitem")
+def q_check_not_empty(spark, sf):
+    return Q.check_not_empty(table(spark, sf, "lineitem"))
+
+
+def _join_codes(df):
+    return df.select(*[F.array_join(c, "|").alias(c) if c in ("errors", "warnings", "recommendations") else F.col(c)
+                       for c in df.columns])
+
+
+_LI_FACTS = LI_SRC + (f", f AS (SELECT count(*) AS rows, CAST({_TM} AS BIGINT) AS missing, "
+                      f"count_if({_COMPLETE_NUM}) AS complete_numeric FROM src) ")
+
+
+def _common_sql(extra_warn: str = "") -> tuple[str, str, str]:
+    err = "[CASE WHEN rows = 0 THEN 'empty_dataset' END]"
+    warn = (f"[{extra_warn}CASE WHEN rows > 0 AND missing > rows * {NCOLS} * 0.3 "
+            "THEN 'many_missing_values:' || CAST(missing AS VARCHAR) END]")
+    return err, warn, "[NULL::VARCHAR]"
+
+
+_CORR_WARN = "CASE WHEN rows > 0 AND complete_numeric < 5 THEN 'few_complete_rows:' || CAST(complete_numeric AS VARCHAR) END, "
+
+
+@register("check_correlation", _LI_FACTS + "SELECT rows > 0 AS is_valid, {e} AS errors, {w} AS warnings, {r} AS recommendations FROM f".format(
+    e=_j(_common_sql()[0]), w=_j(_common_sql(_CORR_WARN)[1]), r=_j("[NULL::VARCHAR]")))
+def q_check_correlation(spark, sf):
+    return _join_codes(Q.check_correlation(lineitem_nulls(spark, sf)))
+
+
+@register("check_descriptive", _LI_FACTS + "SELECT rows > 0 AS is_valid, {e} AS errors, {w} AS warnings FROM f".format(
+    e=_j(_common_sql()[0]), w=_j(_common_sql()[1])))
+def q_check_descriptive(spark, sf):
+    return _join_codes(Q.check_descriptive(lineitem_nulls(spark, sf)))
+
+
+@register("check_missing_ratio", LI_SRC + f"SELECT ({_TM}) > count(*) * {NCOLS} * 0.3 AS warn, "
+          f"{R(f'({_TM}) / (count(*) * {NCOLS}.0)')} AS ratio FROM src")
+def q_check_missing_ratio(spark, sf):
+    return round_doubles(Q.check_missing_ratio(lineitem_nulls(spark, sf)))
+
+
+@register("compatibility_matrix", _LI_FACTS + " UNION ALL ".join(
+    "SELECT '{t}' AS analysis_type, rows > 0 AS is_valid, {e} AS errors, {w} AS warnings, {r} AS recommendations FROM f".format(
+        t=t, e=_j(_common_sql()[0]), w=_j(_common_sql(_CORR_WARN if t == "correlation" else "")[1]), r=_j("[NULL::VARCHAR]"))
+    for t in Q.ANALYSIS_TYPES))
+def q_compatibility_matrix(spark, sf):
+    return _join_codes(Q.compatibility_matrix(lineitem_nulls(spark, sf)))
+
+
+@register("recommendations", LI_SRC + "SELECT " + _j(
+    f"[CASE WHEN round(({_TM}) * 100.0 / (count(*) * {NCOLS}), 2) > 30 THEN 'clean_missing' END, 'correlation']")
+    + " AS codes FROM src")
+def q_recommendations(spark, sf):
+    return Q.recommendations(lineitem_nulls(spark, sf)).select(F.array_join("codes", "|").alias("codes"))
+
+
+# ---------------------------------------------------------------- A1, A4-A6
+@register("dataset_summary", LI_SRC + f"SELECT count(*) AS total_rows, CAST({NCOLS} AS BIGINT) AS total_columns, "
+          "CAST(8 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS categorical_columns, "
+          f"CAST({_TM} AS BIGINT) AS missing_values, '{', '.join(LINEITEM_NUMERIC)}' AS numeric_column_names, "
+          f"'{', '.join(LINEITEM_TEXT)}' AS categorical_column_names FROM src")
+def q_dataset_summary(spark, sf):
+    return D.dataset_summary(lineitem_nulls(spark, sf))
+
+
+PART_TEXT = ["p_name", "p_brand", "p_type"]
+
+
+@register("categorical_nunique", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_values FROM part" for c in PART_TEXT))
+def q_categorical_nunique(spark, sf):
+    return D.categorical_nunique(table(spark, sf, "part"))
+
+
+@register("categorical_nunique_approx_orders", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_values FROM orders"
+    for c in ["o_orderstatus", "o_orderpriority"]))
+def q_categorical_nunique_approx(spark, sf):
+    # low-cardinality columns: the HLL++ sketch is exact at this size
+    return D.categorical_nunique(table(spark, sf, "orders"), approx=True)
+
+
+def _top_sql(src: str, cols: list[str], n: int = 10) -> str:
+    return (f"WITH src AS ({src}), c AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM src WHERE {c} IS NOT NULL GROUP BY {c}"
+        for c in cols) + "), r AS (SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value) AS rank, "
+        f"value, count FROM c) SELECT * FROM r WHERE rank <= {n}")
+
+
+@register("categorical_top10", _top_sql("SELECT * FROM part", PART_TEXT))
+def q_categorical_top10(spark, sf):
+    return D.categorical_top10(table(spark, sf, "part"))
+
+
+@register("categorical_top10_lineitem", _top_sql(LINEITEM_NULLS_SQL, LINEITEM_TEXT))
+def q_categorical_top10_lineitem(spark, sf):
+    return D.categorical_top10(lineitem_nulls(spark, sf))
+
+
+@register("missing_by_dataset", LI_SRC + f"SELECT CAST(count(*) * {NCOLS} - ({_TM}) AS BIGINT) AS complete, "
+          f"CAST({_TM} AS BIGINT) AS missing FROM src")
+def q_missing_by_dataset(spark, sf):
+    return D.missing_by_dataset(lineitem_nulls(spark, sf))
