@@ -15,14 +15,15 @@ def _c(x) -> Column:
 
 def fn_percentage(part, total) -> Column:
     """round(part / total * 100, 2); 0 when total is 0 or an input is not numeric."""
-    p, t = F.try_cast(_c(part).cast("string"), "double"), F.try_cast(_c(total).cast("string"), "double")
+    p, t = _c(part).try_cast("double"), _c(total).try_cast("double")
     return F.coalesce(F.round(F.try_divide(p, F.when(t != 0, t)) * 100, 2), F.lit(0.0))
 
 
 def fn_multiply(a, b) -> Column:
-    """Float product; when an input is not numeric the first input is returned."""
-    x, y = F.try_cast(_c(a).cast("string"), "double"), F.try_cast(_c(b).cast("string"), "double")
-    return F.coalesce((x * y).cast("string"), _c(a).cast("string"))
+    """Float product; when ``b`` is not numeric the first input is returned
+    (as a double; a non-numeric first input gives NULL, a Column has one type)."""
+    x, y = _c(a).try_cast("double"), _c(b).try_cast("double")
+    return F.coalesce(x * y, x)
 
 
 def fn_concat(a, b) -> Column:
@@ -88,7 +89,7 @@ def fn_human_bytes(n) -> Column:
     e = F.when(b == 1, F.lit(f"1{NBSP}byte")).when(
         b < 1024, F.concat(b.cast("bigint").cast("string"), F.lit(f"{NBSP}bytes")))
     for k, unit in enumerate(SIZE_UNITS, start=1):
-        scaled = F.format_string("%.1f", F.round(b / F.lit(float(1024 ** k)), 1))
+        scaled = F.format_string("%.1f", F.bround(b / F.lit(float(1024 ** k)), 1))
         cond = b < F.lit(float(1024 ** (k + 1))) if unit != SIZE_UNITS[-1] else F.lit(True)
         e = e.when(cond, F.concat(scaled, F.lit(f"{NBSP}{unit}")))
     return e
