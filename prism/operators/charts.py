@@ -10,7 +10,7 @@ never by the data rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.operators.describe import dataset_summary, missing_by_dataset
@@ -189,3 +189,80 @@ def auto_charts(analysis_type: str, *, df: DataFrame | None = None, describe: Da
     for p in parts[1:]:
         out = out.unionByName(p.select(*ROW_COLS))
     return out
+
+
+# ------------------------------------------------------------------ charts named by the reference
+# without a computation behind them (histogram, outlier fences, scatter sample, heatmap, box, line).
+def chart_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """Equal-width histogram of ``col`` over [min, max]: (bucket, lower, upper, count) as
+    chart rows. The range is one aggregate row; buckets are a grouped count."""
+    from prism.functions.missing import clean_numeric
+    v = clean_numeric(col)
+    mn, mx = df.agg(F.min(v), F.max(v)).first()
+    if mn is None:
+        return df.sparkSession.createDataFrame([], ", ".join(
+            f"{c} {t}" for c, t in zip(ROW_COLS, ["string", "string", "int", "string", "int", "string", "double", "string"])))
+    width = (mx - mn) if mx > mn else 1.0
+    bucket = F.least(F.floor((v - F.lit(mn)) * F.lit(float(bins)) / F.lit(float(width))) + 1, F.lit(bins)).cast("int")
+    counts = df.where(v.isNotNull()).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    lo = F.lit(float(mn)) + (F.col("b") - 1) * F.lit(float(width) / bins)
+    return counts.select(
+        F.lit(f"histogram:{col}").alias("chart"), F.lit("bar").alias("chart_type"), F.lit(1).alias("series_pos"),
+        F.lit(col).alias("series"), F.col("b").alias("label_pos"),
+        F.format_string("%.2f", lo).alias("label"), F.col("n").cast("double").alias("value"),
+        F.lit(None).cast("string").alias("color"))
+
+
+def outlier_fences(df: DataFrame, describe: DataFrame, k: float = 1.5) -> DataFrame:
+    """(column_name, lower, upper, n_outliers): Tukey fences q25 - k*IQR, q75 + k*IQR
+    from the describe rows, outliers counted in one aggregate over ``df``."""
+    from prism.functions.missing import clean_numeric
+    fences = {r["column_name"]: (r["q25"], r["q75"]) for r in describe.select("column_name", "q25", "q75").collect()
+              if r["q25"] is not None}
+    cols = list(fences)
+    aggs = []
+    for i, c in enumerate(cols):
+        q1, q3 = fences[c]
+        lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+        v = clean_numeric(c)
+        aggs.append(F.count_if((v < F.lit(lo)) | (v > F.lit(hi))).alias(f"o{i}"))
+    one = df.agg(*aggs)
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"),
+                 F.lit(fences[c][0] - k * (fences[c][1] - fences[c][0])).alias("lower"),
+                 F.lit(fences[c][1] + k * (fences[c][1] - fences[c][0])).alias("upper"),
+                 F.col(f"o{i}").alias("n_outliers")) for i, c in enumerate(cols)])))
+
+
+def chart_scatter_sample(df: DataFrame, x: str, y: str, order: Column, n: int = 500) -> DataFrame:
+    """Scatter points: a deterministic sample of ``n`` (x, y) pairs, the rows with the
+    smallest ``order`` (e.g. a hash of the row key). The limit is the sampling feature."""
+    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(order.alias("_o"), x, y).orderBy("_o").limit(n)
+    return pts.select(
+        F.lit(f"scatter:{x}:{y}").alias("chart"), F.lit("scatter").alias("chart_type"), F.lit(1).alias("series_pos"),
+        F.lit(f"{x} vs {y}").alias("series"), F.lit(None).cast("int").alias("label_pos"),
+        F.col(x).cast("string").alias("label"), F.col(y).cast("double").alias("value"),
+        F.lit(None).cast("string").alias("color"))
+
+
+def chart_heatmap(matrix: DataFrame) -> DataFrame:
+    """Correlation heatmap: one series per variable, one point per other variable."""
+    return matrix.select(
+        F.lit("heatmap").alias("chart"), F.lit("heatmap").alias("chart_type"), F.col("pos1").cast("int").alias("series_pos"),
+        F.col("var1").alias("series"), F.col("pos2").cast("int").alias("label_pos"), F.col("var2").alias("label"),
+        F.col("r").alias("value"), F.lit(None).cast("string").alias("color"))
+
+
+def chart_box(describe: DataFrame, numeric_cols: list[str], n: int = 5) -> DataFrame:
+    """Box plot data: five-number summary of the first ``n`` numeric columns."""
+    rows = chart_five_number(describe, numeric_cols, n)
+    return rows.withColumn("chart", F.lit("box")).withColumn("chart_type", F.lit("boxplot"))
+
+
+def chart_line(counts: DataFrame, x: str, y: str = "count", name: str = "line") -> DataFrame:
+    """Line chart of an ordered series (e.g. daily or monthly counts)."""
+    return counts.select(
+        F.lit(name).alias("chart"), F.lit("line").alias("chart_type"), F.lit(1).alias("series_pos"),
+        F.lit(y).alias("series"), F.dense_rank().over(Window.orderBy(x)).alias("label_pos"),
+        F.col(x).cast("string").alias("label"), F.col(y).cast("double").alias("value"),
+        F.lit(None).cast("string").alias("color"))

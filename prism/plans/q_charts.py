@@ -260,3 +260,69 @@ UNION ALL SELECT conv_id, turn * 3 + 11, text FROM conversations
 UNION ALL SELECT conv_id, turn * 3 + 12, '' FROM conversations""")
 def q_transcript_txt(spark, sf):
     return S.transcript_txt(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+
+
+# ---------------------------------------------------------------- charts without a computation in the reference
+def _hist_frame(spark, sf):
+    return table(spark, sf, "lineitem")
+
+
+@register("chart_histogram", f"""
+WITH mm AS (SELECT min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem),
+b AS (SELECT CAST(least(floor((l_extendedprice - mn) * 10.0 / (mx - mn)) + 1, 10) AS INTEGER) AS b, mn, mx FROM lineitem, mm)
+SELECT 'histogram:l_extendedprice' AS chart, 'bar' AS chart_type, 1 AS series_pos, 'l_extendedprice' AS series,
+       b AS label_pos, printf('%.2f', any_value(mn) + (b - 1) * (any_value(mx) - any_value(mn)) / 10) AS label,
+       {R('count(*)')} AS value, NULL::VARCHAR AS color FROM b GROUP BY b""")
+def q_chart_histogram(spark, sf):
+    out = CH.chart_histogram(_hist_frame(spark, sf), "l_extendedprice", 10)
+    return round_doubles(out)
+
+
+@register("outlier_fences", f"WITH d AS ({_describe_sql(LINEITEM_NULLS_SQL, LINEITEM_NUMERIC)}), src AS ({LINEITEM_NULLS_SQL}) "
+          + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, {R('q25 - 1.5 * (q75 - q25)')} AS lower, {R('q75 + 1.5 * (q75 - q25)')} AS upper, "
+              f"(SELECT count_if({c} < d.q25 - 1.5 * (d.q75 - d.q25) OR {c} > d.q75 + 1.5 * (d.q75 - d.q25)) FROM src) AS n_outliers "
+              f"FROM d WHERE column_name = '{c}'" for c in LINEITEM_NUMERIC))
+def q_outlier_fences(spark, sf):
+    li = lineitem_nulls(spark, sf)
+    return round_doubles(CH.outlier_fences(li, D.describe_numeric(li)))
+
+
+_HASH_SQL = "(l_orderkey * 2654435761 + l_linenumber * 40503 + l_partkey) % 1000003"
+
+
+@register("chart_scatter_sample", f"""
+SELECT 'scatter:l_quantity:l_extendedprice' AS chart, 'scatter' AS chart_type, 1 AS series_pos,
+       'l_quantity vs l_extendedprice' AS series, CAST(NULL AS INTEGER) AS label_pos, CAST(l_quantity AS VARCHAR) AS label,
+       {R('l_extendedprice')} AS value, NULL::VARCHAR AS color
+FROM (SELECT * FROM lineitem ORDER BY {_HASH_SQL}, l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 500)""")
+def q_chart_scatter_sample(spark, sf):
+    li = table(spark, sf, "lineitem")
+    h = (F.col("l_orderkey") * F.lit(2654435761) + F.col("l_linenumber") * 40503 + F.col("l_partkey")) % 1000003
+    order = F.struct(h.alias("h"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return round_doubles(CH.chart_scatter_sample(li, "l_quantity", "l_extendedprice", order, 500))
+
+
+@register("chart_heatmap", f"WITH src AS ({CORR_SRC_SQL}), m AS ({_matrix_sql(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_net', 'l_const', 'l_allnull'])}) "
+          f"SELECT 'heatmap' AS chart, 'heatmap' AS chart_type, pos1 AS series_pos, var1 AS series, pos2 AS label_pos, var2 AS label, "
+          f"{R('r')} AS value, NULL::VARCHAR AS color FROM m")
+def q_chart_heatmap(spark, sf):
+    return round_doubles(CH.chart_heatmap(C.correlation_matrix(corr_frame(spark, sf))))
+
+
+@register("chart_box", _rows_sql(_DESC_CTES[:-1], _C2.replace("'five_number', 'radar'", "'box', 'boxplot'").replace(
+    ", ".join(_q(c) for c in _FIRST6), ", ".join(_q(c) for c in _FIRST5)).replace(
+    _pos_case('column_name', _FIRST6), _pos_case('column_name', _FIRST5))))
+def q_chart_box(spark, sf):
+    _, d, _ = _desc_inputs(spark, sf)
+    return round_doubles(CH.chart_box(d, LINEITEM_NUMERIC, 5))
+
+
+@register("chart_line", "SELECT 'daily' AS chart, 'line' AS chart_type, 1 AS series_pos, 'count' AS series, "
+          "CAST(dense_rank() OVER (ORDER BY day) AS INTEGER) AS label_pos, CAST(day AS VARCHAR) AS label, "
+          "CAST(count AS DOUBLE) AS value, NULL::VARCHAR AS color FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS count "
+          "FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY GROUP BY 1)")
+def q_chart_line(spark, sf):
+    from prism.operators.workspace import daily_counts
+    from prism.plans.fixtures import EVENTS_ASOF
+    return CH.chart_line(daily_counts(table(spark, sf, "events"), "ts", EVENTS_ASOF, 30), "day", "count", "daily")

@@ -265,3 +265,9 @@ def q_categorical_top10_lineitem(spark, sf):
           f"CAST({_TM} AS BIGINT) AS missing FROM src")
 def q_missing_by_dataset(spark, sf):
     return D.missing_by_dataset(lineitem_nulls(spark, sf))
+
+
+@register("describe_numeric_approx")
+def q_describe_numeric_approx(spark, sf):
+    """GK-sketch quantiles: checked by the rank-error bound in tests (no exact SQL twin)."""
+    return round_doubles(D.describe_numeric_approx(lineitem_nulls(spark, sf)))
