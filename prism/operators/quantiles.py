@@ -40,12 +40,16 @@ class _Target:
     hi: float | None = None
     below: int = 0
     inside: int = 0
-    const: float | None = None
+    v_lo: float | None = None   # resolved order statistics x(r_lo), x(r_hi)
+    v_hi: float | None = None
     empty: bool = False
 
     @property
     def open(self) -> bool:
-        return not self.empty and self.const is None
+        return not self.empty and self.v_lo is None
+
+    def resolve(self, v_lo: float, v_hi: float) -> None:
+        self.v_lo, self.v_hi = v_lo, v_hi
 
 
 class QuantilePlan:
@@ -67,8 +71,9 @@ class QuantilePlan:
         t = self.targets[(col, p)]
         if t.empty:
             return F.lit(None).cast("double")
-        if t.const is not None:
-            return F.lit(float(t.const))
+        if t.v_lo is not None:
+            a, b = F.lit(float(t.v_lo)), F.lit(float(t.v_hi))
+            return a + (b - a) * F.lit(float(t.frac))
         arr = F.col(f"__qa{t.tid}")
         a = F.try_element_at(arr, F.lit(t.r_lo - t.below + 1))
         b = F.try_element_at(arr, F.lit(t.r_hi - t.below + 1))
@@ -115,7 +120,7 @@ def plan_exact_quantiles(
             t.r_hi = min(t.r_lo + 1, n - 1)
             t.frac = h - t.r_lo
             if mn == mx:
-                t.const = mn
+                t.resolve(mn, mn)
                 continue
             lo, hi = (ap[2 * j], ap[2 * j + 1]) if ap else (None, None)
             if lo is None or hi is None or lo > hi:
@@ -136,7 +141,7 @@ def plan_exact_quantiles(
             else:
                 t.lo, t.hi, t.below, t.inside = row[f"mn{cols.index(t.col)}"], row[f"mx{cols.index(t.col)}"], 0, t.n
             if t.lo == t.hi:
-                t.const = t.lo
+                t.resolve(t.lo, t.lo)
     # Pass 3..: histogram refinement of brackets that are still large.
     for _ in range(max_rounds):
         wide = [t for t in targets.values() if t.open and t.inside > leaf]
@@ -172,9 +177,14 @@ def plan_exact_quantiles(
                     hi_b = h
                     break
                 cum += h["c"]
-            t.lo, t.hi, t.below, t.inside = lo_b["lo"], hi_b["hi"], below_new, inside_new
+            if lo_b is not hi_b:
+                # x(r_hi) = x(r_lo + 1) lies in a later bucket: x(r_lo) closes its
+                # bucket and x(r_hi) opens the next non-empty one -- both are known.
+                t.resolve(lo_b["hi"], hi_b["lo"])
+                continue
+            t.lo, t.hi, t.below, t.inside = lo_b["lo"], lo_b["hi"], below_new, inside_new
             if t.lo == t.hi:
-                t.const = t.lo
+                t.resolve(t.lo, t.lo)
     else:
         raise RuntimeError("quantile brackets did not converge")
     return QuantilePlan(targets)

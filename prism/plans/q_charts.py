@@ -14,7 +14,7 @@ from prism.plans.fixtures import CUSTOMER_NULLS_SQL, LINEITEM_NULLS_SQL, custome
 from prism.plans.q_profile import (LINEITEM_COLS, LINEITEM_NUMERIC, LINEITEM_TEXT, LINEITEM_TYPES, _describe_sql,
                                    _top_sql, _total_missing_sql)
 from prism.plans.q_stats import CORR_SRC_SQL, KEPT, _matrix_sql, corr_frame
-from prism.plans.registry import canon_sql as R, register, round_doubles, table
+from prism.plans.registry import canon, canon_sql as R, register, round_doubles, table
 from prism.sources import sinks as S
 
 NCOLS = len(LINEITEM_COLS)
@@ -158,7 +158,8 @@ def q_chart_document(spark, sf):
     return round_doubles(docs.select(
         "chart", "chart_type", F.size("document.labels").alias("points"), F.size("document.datasets").alias("series"),
         F.col("document.labels")[0].alias("first_label"),
-        F.aggregate(F.flatten(F.transform("document.datasets", lambda d: d["data"])), F.lit(0.0), lambda a, x: a + x).alias("total")))
+        F.aggregate(F.flatten(F.transform("document.datasets", lambda d: d["data"])), F.lit(0.0),
+                    lambda a, x: a + canon(x)).alias("total")))
 
 
 @register("json_array_sizes", f"{_DESC_CTES}, rows(chart, chart_type, series_pos, series, label_pos, label, value, color) AS ({_AUTO_DESC_BODY}) SELECT chart, "
