@@ -2,8 +2,8 @@
 
 Pearson r with pairwise deletion: for each pair only rows where both values are
 present count, and a pair without variance in its overlap gives 0 (the
-reference fills NaN with 0). Everything is one global aggregate with
-map-side partial aggregation; the matrix itself has (#columns)^2 rows.
+reference fills NaN with 0). Everything is global aggregation with map-side
+partial aggregation; the matrix itself has (#columns)^2 rows.
 ``F.corr`` is avoided: it raises on a zero variance under ANSI mode.
 """
 
@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.functions.missing import clean_numeric
+from prism.functions.sqltext import clean_double, dlit, q
 from prism.operators.roles import roles
 
 
 def _clean(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[clean_numeric(c).alias(c) for c in cols])
+    return df.selectExpr(*[f"{clean_double(c)} AS {q(c)}" for c in cols])
 
 
 def constant_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -49,35 +50,58 @@ def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple
     return df.select(*kept), len(facts) - len(kept), kept
 
 
-def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal."""
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: float = 1e-12) -> DataFrame:
+    """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal.
+
+    Two global aggregates. The first gives each column's mean and non-null count
+    (one row); the second sums *centred* values, squares and cross products --
+    plain ``sum`` aggregates, cheap and well conditioned because the centring
+    removes the mean. Pairs involving a column with missing values sum over the
+    pairwise-complete rows only. A variance below ``rel_tol`` of the sum of
+    squares counts as zero (no variance -> r = 0).
+    """
     cols = list(cols) if cols is not None else roles(df).numeric
     work = _clean(df, cols)
-    aggs: list[Column] = []
-    for i, a in enumerate(cols):
-        aggs.append(F.var_pop(a).alias(f"v{i}"))
+    first = work.agg(F.count(F.lit(1)).alias("N"),
+                     *[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"))]).first()
+    total = first["N"]
+    mean = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
+    full = [first[f"n{i}"] == total for i in range(len(cols))]
+    dev = [f"({q(c)} - {dlit(mean[i])})" for i, c in enumerate(cols)]
+    exprs: list[str] = []
+    for i in range(len(cols)):
+        exprs += [f"count({q(cols[i])}) AS n{i}", f"sum({dev[i]}) AS s{i}", f"sum({dev[i]} * {dev[i]}) AS q{i}"]
+    for i in range(len(cols)):
         for j in range(i + 1, len(cols)):
-            b = cols[j]
-            ca, cb = F.col(a), F.col(b)
-            aggs += [
-                F.covar_pop(a, b).alias(f"c{i}_{j}"),
-                F.stddev_pop(F.when(cb.isNotNull(), ca)).alias(f"sa{i}_{j}"),
-                F.stddev_pop(F.when(ca.isNotNull(), cb)).alias(f"sb{i}_{j}"),
-            ]
-    one = work.agg(*aggs)
+            exprs.append(f"sum({dev[i]} * {dev[j]}) AS x{i}_{j}")
+            if not (full[i] and full[j]):
+                both = f"{q(cols[i])} IS NOT NULL AND {q(cols[j])} IS NOT NULL"
+                exprs += [f"count_if({both}) AS n{i}_{j}",
+                          f"sum(CASE WHEN {both} THEN {dev[i]} END) AS s{i}_{j}a",
+                          f"sum(CASE WHEN {both} THEN {dev[j]} END) AS s{i}_{j}b",
+                          f"sum(CASE WHEN {both} THEN {dev[i]} * {dev[i]} END) AS q{i}_{j}a",
+                          f"sum(CASE WHEN {both} THEN {dev[j]} * {dev[j]} END) AS q{i}_{j}b"]
+    one = work.agg(*[F.expr(e) for e in exprs])
+
+    def centred_var(n: str, s_: str, q_: str) -> str:
+        return f"CASE WHEN {n} > 0 AND ({q_} - {s_} * {s_} / {n}) > {dlit(rel_tol)} * {q_} THEN {q_} - {s_} * {s_} / {n} END"
+
     rows = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
             if i == j:
-                r = F.coalesce(F.try_divide(F.col(f"v{i}"), F.col(f"v{i}")), F.lit(0.0))
+                r = f"CASE WHEN ({centred_var(f'n{i}', f's{i}', f'q{i}')}) IS NOT NULL THEN 1.0D ELSE 0.0D END"
             else:
                 x, y = min(i, j), max(i, j)
-                r = F.coalesce(
-                    F.try_divide(F.col(f"c{x}_{y}"), F.col(f"sa{x}_{y}") * F.col(f"sb{x}_{y}")), F.lit(0.0))
-                r = F.when(F.isnan(r), F.lit(0.0)).otherwise(r)
-            rows.append(F.struct(F.lit(i + 1).alias("pos1"), F.lit(a).alias("var1"),
-                                 F.lit(j + 1).alias("pos2"), F.lit(b).alias("var2"), r.alias("r")))
-    return one.select(F.inline(F.array(*rows)))
+                if full[x] and full[y]:
+                    n, sa, sb, qa, qb = f"n{x}", f"s{x}", f"s{y}", f"q{x}", f"q{y}"
+                else:
+                    n, sa, sb, qa, qb = f"n{x}_{y}", f"s{x}_{y}a", f"s{x}_{y}b", f"q{x}_{y}a", f"q{x}_{y}b"
+                cov = f"(x{x}_{y} - {sa} * {sb} / {n})"
+                den = f"sqrt(({centred_var(n, sa, qa)}) * ({centred_var(n, sb, qb)}))"
+                r = f"greatest(least(coalesce(try_divide({cov}, {den}), 0.0D), 1.0D), -1.0D)"
+            rows.append(f"named_struct('pos1', {i + 1}, 'var1', '{a}', 'pos2', {j + 1}, 'var2', '{b}', 'r', CAST({r} AS DOUBLE))")
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def top_correlations(matrix: DataFrame, n: int = 10) -> DataFrame:

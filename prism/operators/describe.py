@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.functions.missing import clean_numeric, is_missing
-from prism.operators.quantiles import plan_exact_quantiles
+from prism.functions.sqltext import clean_double, dlit, q
+from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
 from prism.operators.roles import roles
+from prism.operators.working import release_with, working_set
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -37,38 +39,26 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 def _numeric_frame(df: DataFrame, cols: list[str] | None) -> tuple[DataFrame, list[str]]:
     cols = list(cols) if cols is not None else roles(df).numeric
-    return df.select(*[clean_numeric(c).alias(c) for c in cols]), cols
-
-
-def _describe_long(one: DataFrame, cols: list[str], q) -> DataFrame:
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("count"),
-            F.col(f"mean{i}").alias("mean"),
-            F.col(f"std{i}").alias("std"),
-            F.col(f"min{i}").alias("min"),
-            q(i, c, 0.25).alias("q25"),
-            q(i, c, 0.5).alias("q50"),
-            q(i, c, 0.75).alias("q75"),
-            F.col(f"max{i}").alias("max"),
-            q(i, c, 0.5).alias("median"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    return df.selectExpr(*[f"{clean_double(c)} AS {q(c)}" for c in cols]), cols
+
+
+def _describe_long(one: DataFrame, cols: list[str], q_sql, stat_sql) -> DataFrame:
+    """Unpivot the one-row result to one row per column (one SQL projection)."""
+    rows = []
+    for i, c in enumerate(cols):
+        fields = [("column_name", f"'{c}'"), ("count", f"CAST({stat_sql(i, 'n')} AS BIGINT)"),
+                  ("mean", f"CAST({stat_sql(i, 'mean')} AS DOUBLE)"), ("std", f"CAST({stat_sql(i, 'std')} AS DOUBLE)"),
+                  ("min", f"CAST({stat_sql(i, 'min')} AS DOUBLE)"), ("q25", q_sql(i, c, 0.25)), ("q50", q_sql(i, c, 0.5)),
+                  ("q75", q_sql(i, c, 0.75)), ("max", f"CAST({stat_sql(i, 'max')} AS DOUBLE)"), ("median", q_sql(i, c, 0.5))]
+        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")")
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _moments(cols: list[str]) -> list[Column]:
     out = []
     for i, c in enumerate(cols):
-        out += [
-            F.count(c).alias(f"n{i}"),
-            F.avg(c).alias(f"mean{i}"),
-            F.stddev_samp(c).alias(f"std{i}"),
-            F.min(c).alias(f"min{i}"),
-            F.max(c).alias(f"max{i}"),
-        ]
+        out += [F.expr(f"{fn}({q(c)}) AS {k}{i}") for fn, k in
+                (("count", "n"), ("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))]
     return out
 
 
@@ -76,16 +66,25 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
     """A2: per numeric column count, mean, std (ddof=1), min, q25, q50, q75, max, median.
 
     Exact quantiles with linear interpolation; see ``quantiles`` for how they stay
-    distributed. The returned plan is one global aggregate over ``df``.
+    distributed. The moments ride along in the quantile counting pass (one
+    code-generated aggregate); the returned plan is the final, filtered
+    collection pass over ``df``.
     """
     work, cols = _numeric_frame(df, cols)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, mean double, std double, min double, q25 double, "
             "q50 double, q75 double, max double, median double")
-    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf)
-    one = work.agg(*_moments(cols), *plan.aggs())
-    return _describe_long(one, cols, lambda i, c, p: plan.value(c, p))
+    work = working_set(work)
+    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=_moments(cols))
+    ex = plan.extras
+
+    def stat(i: int, k: str) -> str:
+        v = ex[f"{k}{i}"]
+        return "NULL" if v is None else (str(int(v)) + "L" if k == "n" else dlit(v))
+
+    out = _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
+    return release_with(out, work)
 
 
 def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
@@ -95,7 +94,7 @@ def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accura
         F.percentile_approx(c, QUARTILES, accuracy).alias(f"ap{i}") for i, c in enumerate(cols)
     ]
     one = work.agg(*aggs)
-    return _describe_long(one, cols, lambda i, c, p: F.col(f"ap{i}")[QUARTILES.index(p)])
+    return _describe_long(one, cols, lambda i, c, p: f"ap{i}[{QUARTILES.index(p)}]", lambda i, k: f"{k}{i}")
 
 
 def _categorical_long(df: DataFrame, cols: list[str] | None) -> DataFrame:

@@ -5,14 +5,20 @@ Spark's exact ``percentile`` keeps a value->count map per group, so for a
 continuous column its final merge holds every distinct value in one task.
 Instead the order statistics are located by narrowing a value bracket:
 
-1. one global aggregate: count/min/max and a GK sketch (``percentile_approx``)
-   whose rank error is bounded, giving a candidate bracket per target rank;
-2. one global aggregate verifies each bracket exactly (values below, inside);
-   a bracket that misses its rank falls back to [min, max];
-3. while a bracket still holds more than ``leaf`` values, a bucket histogram
-   of the values inside it (bounded: targets x ``bins`` rows) narrows it;
-4. the returned plan collects only the <= ``leaf`` values inside each bracket
-   (a bounded buffer) and interpolates.
+1. a GK sketch (``percentile_approx``) over a Bernoulli sample of about
+   ``sample_rows`` rows proposes a bracket [lo, hi] per target; its cost does
+   not grow with the table;
+2. one global aggregate (declarative, whole-stage code generated) counts per
+   bracket the values below ``lo``, equal to ``lo``, strictly inside and equal
+   to ``hi``, plus any extra statistics the caller asks for (describe's
+   moments ride along). A bracket that misses its rank falls back to [min, max];
+   ties on the edges (a hot value holding a third of the rows) are resolved by
+   the counts alone;
+3. while the interior of a bracket holds more than ``leaf`` values, a bucket
+   histogram of it (bounded: targets x ``bins`` rows) narrows it, and step 2
+   re-counts;
+4. the returned plan collects only the <= ``leaf`` interior values per
+   bracket (rows are filtered first, so the collecting aggregate sees few rows).
 
 Every pass is a global aggregation with map-side partial aggregation: no
 shuffle of the data, and no buffer grows with the table.
@@ -26,23 +32,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import dlit, q
+
 
 @dataclass
 class _Target:
     tid: int
     col: str
     p: float
-    n: int
+    n: int = 0
     r_lo: int = 0
     r_hi: int = 0
     frac: float = 0.0
     lo: float | None = None
     hi: float | None = None
     below: int = 0
-    inside: int = 0
+    eq_lo: int = 0
+    mid: int = 0
+    eq_hi: int = 0
     v_lo: float | None = None   # resolved order statistics x(r_lo), x(r_hi)
     v_hi: float | None = None
     empty: bool = False
+    checked: bool = False
 
     @property
     def open(self) -> bool:
@@ -51,33 +62,65 @@ class _Target:
     def resolve(self, v_lo: float, v_hi: float) -> None:
         self.v_lo, self.v_hi = v_lo, v_hi
 
+    def at_edges(self, r: int) -> float | None:
+        """x(r) when it is one of the bracket's edge values, else None."""
+        k = r - self.below
+        if k < self.eq_lo:
+            return self.lo
+        if k >= self.eq_lo + self.mid:
+            return self.hi
+        return None
+
 
 class QuantilePlan:
-    """Aggregate expressions to add to the final pass, and the post-aggregate
-    expression giving each (column, probability)."""
+    """Aggregates for the final pass and the expression of each (column, p)."""
 
-    def __init__(self, targets: dict[tuple[str, float], _Target]):
+    def __init__(self, targets: dict[tuple[str, float], _Target], extras: dict | None):
         self.targets = targets
+        self.extras = extras or {}
+
+    @staticmethod
+    def _interior(t: _Target) -> str:
+        return f"({q(t.col)} > {dlit(t.lo)} AND {q(t.col)} < {dlit(t.hi)})"
+
+    def open_targets(self) -> list[_Target]:
+        return [t for t in self.targets.values() if t.open]
+
+    def row_filter(self) -> str | None:
+        """SQL predicate of the rows that can contribute to a final collection."""
+        parts = [self._interior(t) for t in self.open_targets()]
+        return " OR ".join(parts) if parts else None
 
     def aggs(self) -> list[Column]:
-        out = []
-        for t in self.targets.values():
-            if t.open:
-                v = F.col(t.col)
-                out.append(F.array_sort(F.collect_list(F.when(v.between(t.lo, t.hi), v))).alias(f"__qa{t.tid}"))
-        return out
+        return [F.expr(f"array_sort(collect_list(CASE WHEN {self._interior(t)} THEN {q(t.col)} END)) AS __qa{t.tid}")
+                for t in self.open_targets()]
 
-    def value(self, col: str, p: float) -> Column:
+    def _stat(self, t: _Target, r: int) -> str:
+        edge = t.at_edges(r)
+        if edge is not None:
+            return dlit(edge)
+        return f"try_element_at(__qa{t.tid}, {r - t.below - t.eq_lo + 1})"
+
+    def value_sql(self, col: str, p: float) -> str:
+        """SQL text of the quantile, over the one-row frame of :func:`quantile_frame`."""
         t = self.targets[(col, p)]
         if t.empty:
-            return F.lit(None).cast("double")
+            return "CAST(NULL AS DOUBLE)"
         if t.v_lo is not None:
-            a, b = F.lit(float(t.v_lo)), F.lit(float(t.v_hi))
-            return a + (b - a) * F.lit(float(t.frac))
-        arr = F.col(f"__qa{t.tid}")
-        a = F.try_element_at(arr, F.lit(t.r_lo - t.below + 1))
-        b = F.try_element_at(arr, F.lit(t.r_hi - t.below + 1))
-        return a + (b - a) * F.lit(float(t.frac))
+            a, b = dlit(t.v_lo), dlit(t.v_hi)
+        else:
+            a, b = self._stat(t, t.r_lo), self._stat(t, t.r_hi)
+        return f"({a} + ({b} - {a}) * {dlit(t.frac)})"
+
+    def value(self, col: str, p: float) -> Column:
+        return F.expr(self.value_sql(col, p))
+
+
+def _count_aggs(t: _Target) -> list[Column]:
+    v, lo, hi = q(t.col), dlit(t.lo), dlit(t.hi)
+    return [F.expr(f"count_if({v} < {lo})").alias(f"b{t.tid}"), F.expr(f"count_if({v} = {lo})").alias(f"e{t.tid}"),
+            F.expr(f"count_if({v} > {lo} AND {v} < {hi})").alias(f"m{t.tid}"),
+            F.expr(f"count_if({v} = {hi} AND {hi} <> {lo})").alias(f"h{t.tid}")]
 
 
 def plan_exact_quantiles(
@@ -88,103 +131,146 @@ def plan_exact_quantiles(
     accuracy: int = 10_000,
     bins: int = 1024,
     max_rounds: int = 64,
+    sample_rows: int = 100_000,
+    n_rows: int | None = None,
+    seed: int = 42,
+    extra_aggs: list[Column] | None = None,
 ) -> QuantilePlan:
-    """``df`` holds clean double columns (NaN already NULL)."""
-    eps = 1.0 / accuracy
-    # Pass 1: counts, range and sketch brackets.
-    aggs = []
+    """``df`` holds clean double columns (NaN already NULL). ``extra_aggs`` are
+    evaluated in the first counting pass; their values are in ``plan.extras``."""
+    n_rows = df.count() if n_rows is None else n_rows
+    frac = min(1.0, sample_rows / max(n_rows, 1))
+    m = max(1.0, frac * n_rows)
+    # Pass 1: sketch of a sample -> candidate brackets.
+    sample = df if frac >= 1.0 else df.where(F.rand(seed) < F.lit(frac))
+    sketches = []
     for i, c in enumerate(cols):
         qs = []
         for p in probs:
-            qs += [max(0.0, p - 3 * eps), min(1.0, p + 3 * eps)]
-        aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.min(c).alias(f"mn{i}"),
-            F.max(c).alias(f"mx{i}"),
-            F.percentile_approx(c, qs, accuracy).alias(f"ap{i}"),
-        ]
-    row = df.agg(*aggs).first()
+            d = 4.0 * math.sqrt(max(p * (1 - p), 1.0 / m) / m) + 2.0 / m + 2.0 / accuracy
+            qs += [max(0.0, p - d), min(1.0, p + d)]
+        sketches.append(F.percentile_approx(c, qs, accuracy).alias(f"ap{i}"))
+    sk = sample.agg(*sketches).first()
     targets: dict[tuple[str, float], _Target] = {}
     tid = 0
     for i, c in enumerate(cols):
-        n, mn, mx, ap = row[f"n{i}"], row[f"mn{i}"], row[f"mx{i}"], row[f"ap{i}"]
+        ap = sk[f"ap{i}"]
         for j, p in enumerate(probs):
-            t = _Target(tid=tid, col=c, p=p, n=n)
+            t = _Target(tid=tid, col=c, p=p)
             tid += 1
             targets[(c, p)] = t
-            if n == 0:
-                t.empty = True
-                continue
-            h = (n - 1) * p
-            t.r_lo = int(math.floor(h))
-            t.r_hi = min(t.r_lo + 1, n - 1)
-            t.frac = h - t.r_lo
-            if mn == mx:
-                t.resolve(mn, mn)
-                continue
             lo, hi = (ap[2 * j], ap[2 * j + 1]) if ap else (None, None)
-            if lo is None or hi is None or lo > hi:
-                lo, hi = mn, mx
-            t.lo, t.hi = lo, hi
-    # Pass 2: verify brackets exactly.
-    live = [t for t in targets.values() if t.open]
-    if live:
-        checks = []
-        for t in live:
-            v = F.col(t.col)
-            checks += [F.count_if(v < t.lo).alias(f"b{t.tid}"), F.count_if(v.between(t.lo, t.hi)).alias(f"i{t.tid}")]
-        r = df.agg(*checks).first()
-        for t in live:
-            below, inside = r[f"b{t.tid}"], r[f"i{t.tid}"]
-            if below <= t.r_lo and t.r_hi < below + inside:
-                t.below, t.inside = below, inside
-            else:
-                t.lo, t.hi, t.below, t.inside = row[f"mn{cols.index(t.col)}"], row[f"mx{cols.index(t.col)}"], 0, t.n
-            if t.lo == t.hi:
-                t.resolve(t.lo, t.lo)
-    # Pass 3..: histogram refinement of brackets that are still large.
+            if lo is not None and hi is not None and lo <= hi:
+                t.lo, t.hi = lo, hi
+    # Pass 2: exact ranges, the caller's extra statistics and counts around each bracket.
+    aggs: list[Column] = []
+    for i, c in enumerate(cols):
+        aggs += [F.expr(f"count({q(c)})").alias(f"__n{i}"), F.expr(f"min({q(c)})").alias(f"__mn{i}"),
+                 F.expr(f"max({q(c)})").alias(f"__mx{i}")]
+    aggs += list(extra_aggs or [])
+    for t in targets.values():
+        if t.lo is not None:
+            aggs += _count_aggs(t)
+    r = df.agg(*aggs).first()
+    extras = r.asDict()
+    ranges = {c: (r[f"__n{i}"], r[f"__mn{i}"], r[f"__mx{i}"]) for i, c in enumerate(cols)}
+    for t in targets.values():
+        n, mn, mx = ranges[t.col]
+        t.n = n
+        if n == 0:
+            t.empty = True
+            continue
+        h = (n - 1) * t.p
+        t.r_lo = int(math.floor(h))
+        t.r_hi = min(t.r_lo + 1, n - 1)
+        t.frac = h - t.r_lo
+        if mn == mx:
+            t.resolve(mn, mn)
+    todo = [t for t in targets.values() if t.open]
     for _ in range(max_rounds):
-        wide = [t for t in targets.values() if t.open and t.inside > leaf]
-        if not wide:
-            break
-        items = []
-        for t in wide:
-            v = F.col(t.col)
-            bucket = F.least(F.floor((v - F.lit(t.lo)) / F.lit(t.hi - t.lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-            items.append(F.when(v.between(t.lo, t.hi), F.struct(F.lit(t.tid).alias("t"), bucket.alias("b"), v.alias("v"))))
-        hist = (
-            df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e"))
-            .select("e.t", "e.b", "e.v")
-            .groupBy("t", "b")
-            .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect()
-        )
-        by_t: dict[int, list] = {}
-        for h in hist:
-            by_t.setdefault(h["t"], []).append(h)
-        for t in wide:
-            buckets = sorted(by_t.get(t.tid, []), key=lambda h: h["b"])
-            cum = t.below
-            lo_b = hi_b = None
-            below_new = t.below
-            inside_new = 0
-            for h in buckets:
-                if lo_b is None and cum <= t.r_lo < cum + h["c"]:
-                    lo_b, below_new = h, cum
-                if lo_b is not None:
-                    inside_new += h["c"]
-                if cum <= t.r_hi < cum + h["c"]:
-                    hi_b = h
-                    break
-                cum += h["c"]
-            if lo_b is not hi_b:
-                # x(r_hi) = x(r_lo + 1) lies in a later bucket: x(r_lo) closes its
-                # bucket and x(r_hi) opens the next non-empty one -- both are known.
-                t.resolve(lo_b["hi"], hi_b["lo"])
+        retry = []
+        for t in todo:
+            ok = t.lo is not None and f"b{t.tid}" in r.asDict()
+            if ok:
+                t.below, t.eq_lo, t.mid, t.eq_hi = r[f"b{t.tid}"], r[f"e{t.tid}"], r[f"m{t.tid}"], r[f"h{t.tid}"]
+                ok = t.below <= t.r_lo and t.r_hi < t.below + t.eq_lo + t.mid + t.eq_hi
+            if not ok:
+                # the sample missed the rank: count again around the full range
+                _, t.lo, t.hi = ranges[t.col]
+                retry.append(t)
                 continue
-            t.lo, t.hi, t.below, t.inside = lo_b["lo"], lo_b["hi"], below_new, inside_new
-            if t.lo == t.hi:
-                t.resolve(t.lo, t.lo)
+            a, b = t.at_edges(t.r_lo), t.at_edges(t.r_hi)
+            if a is not None and b is not None:
+                t.resolve(a, b)
+        # Pass 3: histogram refinement of brackets whose interior is still large.
+        wide = [t for t in todo if t.open and t not in retry and t.mid > leaf]
+        if wide:
+            for t in _refine(df, wide, bins):
+                retry.append(t)
+        todo = [t for t in retry if t.open]
+        if not todo:
+            break
+        r = df.agg(*[a for t in todo for a in _count_aggs(t)]).first()
     else:
         raise RuntimeError("quantile brackets did not converge")
-    return QuantilePlan(targets)
+    return QuantilePlan(targets, extras)
+
+
+def _refine(df: DataFrame, wide: list[_Target], bins: int) -> list[_Target]:
+    """One histogram pass over the bracket interiors; returns the targets that
+    need re-counting (the others got resolved)."""
+    items = []
+    for t in wide:
+        v = F.col(t.col)
+        bucket = F.least(F.floor((v - F.lit(t.lo)) / F.lit(t.hi - t.lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
+        items.append(F.when((v > F.lit(t.lo)) & (v < F.lit(t.hi)),
+                            F.struct(F.lit(t.tid).alias("t"), bucket.alias("b"), v.alias("v"))))
+    hist = (
+        df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e"))
+        .select("e.t", "e.b", "e.v")
+        .groupBy("t", "b")
+        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .collect()
+    )
+    by_t: dict[int, list] = {}
+    for h in hist:
+        by_t.setdefault(h["t"], []).append(h)
+    again = []
+    for t in wide:
+        # interior values start after the `below` + `eq_lo` values
+        cum = t.below + t.eq_lo
+        lo_b = hi_b = None
+        for h in sorted(by_t.get(t.tid, []), key=lambda h: h["b"]):
+            if lo_b is None and cum <= t.r_lo < cum + h["c"]:
+                lo_b = h
+            if cum <= t.r_hi < cum + h["c"]:
+                hi_b = h
+                break
+            cum += h["c"]
+        if lo_b is None or hi_b is None:
+            # a rank sits on an edge value: exact from the counts
+            a, b = t.at_edges(t.r_lo), t.at_edges(t.r_hi)
+            lo_v = a if a is not None else (lo_b["hi"] if lo_b else None)
+            hi_v = b if b is not None else (hi_b["lo"] if hi_b else None)
+            t.resolve(lo_v, hi_v)
+            continue
+        if lo_b is not hi_b:
+            # x(r_lo + 1) lies in a later bucket: x(r_lo) closes its bucket and
+            # x(r_hi) opens the next non-empty one -- both are known.
+            t.resolve(lo_b["hi"], hi_b["lo"])
+            continue
+        t.lo, t.hi = lo_b["lo"], lo_b["hi"]
+        if t.lo == t.hi:
+            t.resolve(t.lo, t.lo)
+        else:
+            again.append(t)
+    return again
+
+
+def quantile_frame(df: DataFrame, plan: QuantilePlan) -> DataFrame:
+    """One-row frame of the final collections (rows outside every open bracket
+    interior are filtered out before the collecting aggregate)."""
+    aggs = plan.aggs()
+    if not aggs:
+        return df.agg(F.count(F.lit(1)).alias("__rows"))
+    return df.where(F.expr(plan.row_filter())).agg(*aggs)

@@ -23,6 +23,7 @@ from pyspark.sql.types import (
 )
 
 from prism.functions.missing import is_missing
+from prism.operators.working import spread
 
 # Fixed byte widths of the logical size estimate (P7): width of one value by Spark type name.
 FIXED_WIDTHS = {
@@ -70,6 +71,7 @@ def column_profile(df: DataFrame) -> DataFrame:
     Distinct counts exclude missing values (NaN included), as pandas ``nunique``.
     """
     fields = df.schema.fields
+    df = spread(df)
     aggs = []
     for i, f in enumerate(fields):
         miss = is_missing(f.name, f.dataType)
