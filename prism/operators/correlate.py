@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prism.functions.missing import clean_numeric
 from prism.functions.sqltext import clean_double, dlit, q
 from prism.operators.roles import roles
+from prism.operators.working import release_with, working_set
 
 
 def _clean(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -50,7 +51,8 @@ def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple
     return df.select(*kept), len(facts) - len(kept), kept
 
 
-def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: float = 1e-12) -> DataFrame:
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: float = 1e-12,
+                       persist: bool = True) -> DataFrame:
     """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal.
 
     Two global aggregates. The first gives each column's mean and non-null count
@@ -62,6 +64,8 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: fl
     """
     cols = list(cols) if cols is not None else roles(df).numeric
     work = _clean(df, cols)
+    if persist:
+        work = working_set(work)
     first = work.agg(F.count(F.lit(1)).alias("N"),
                      *[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"))]).first()
     total = first["N"]
@@ -101,7 +105,8 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: fl
                 den = f"sqrt(({centred_var(n, sa, qa)}) * ({centred_var(n, sb, qb)}))"
                 r = f"greatest(least(coalesce(try_divide({cov}, {den}), 0.0D), 1.0D), -1.0D)"
             rows.append(f"named_struct('pos1', {i + 1}, 'var1', '{a}', 'pos2', {j + 1}, 'var2', '{b}', 'r', CAST({r} AS DOUBLE))")
-    return one.selectExpr(f"inline(array({', '.join(rows)}))")
+    out = one.selectExpr(f"inline(array({', '.join(rows)}))")
+    return release_with(out, work) if persist else out
 
 
 def top_correlations(matrix: DataFrame, n: int = 10) -> DataFrame:
@@ -127,10 +132,12 @@ def correlation_analysis(df: DataFrame, n: int = 10) -> CorrelationResult:
     num = roles(df).numeric
     if len(num) < 2:
         raise ValueError(f"too_few_numeric:{len(num)}")
-    _, removed, kept = drop_constant_columns(df, num)
+    work = working_set(_clean(df, num))
+    _, removed, kept = drop_constant_columns(work, num)
     if len(kept) < 2:
+        work.unpersist()
         raise ValueError(f"too_few_variable_columns:{', '.join(kept)}")
-    matrix = correlation_matrix(df, kept)
+    matrix = release_with(correlation_matrix(work, kept, persist=False), work)
     top = top_correlations(matrix, n)
     summary = correlation_summary_from(top, len(kept), len(num), kept)
     return CorrelationResult(matrix, top, summary, kept, removed)

@@ -9,7 +9,7 @@ from prism.functions.missing import clean_numeric, is_missing
 from prism.functions.sqltext import clean_double, dlit, q
 from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
 from prism.operators.roles import roles
-from prism.operators.working import release_with, working_set
+from prism.operators.working import release_with, spread, working_set
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -89,7 +89,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
 
 def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """A3: A2 with GK-sketch quantiles (one pass, bounded memory)."""
-    work, cols = _numeric_frame(df, cols)
+    work, cols = _numeric_frame(spread(df), cols)
     aggs = _moments(cols) + [
         F.percentile_approx(c, QUARTILES, accuracy).alias(f"ap{i}") for i, c in enumerate(cols)
     ]
