@@ -22,10 +22,18 @@ def working_set(df: DataFrame) -> DataFrame:
 
 def release_with(result: DataFrame, work: DataFrame) -> DataFrame:
     """Unpersist ``work`` once ``result`` is no longer referenced."""
-    weakref.finalize(result, work.unpersist)
+    fin = weakref.finalize(result, _quiet_unpersist, work)
+    fin.atexit = False  # the JVM may be gone at interpreter exit
     return result
 
 
+def _quiet_unpersist(work: DataFrame) -> None:
+    try:
+        work.unpersist()
+    except Exception:  # noqa: BLE001 -- session already stopped
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin repartition when the input has fewer splits than cores (no-op
     on inputs that are already split at least that finely)."""
