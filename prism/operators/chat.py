@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prism.functions.text import classify_type
-from prism.operators.roles import column_profile
+from prism.operators.roles import roles
 
 # Suggestion codes in the reference's order (analysis suggestions, first 6;
 # chart suggestions, first 5).
@@ -21,21 +21,16 @@ def intent_distribution(messages: DataFrame, text: str, by_role: str | None = No
 
 
 def role_profile(df: DataFrame, name: str) -> DataFrame:
-    """One row (dataset, numeric_columns, categorical_columns, numeric_names, categorical_names)
-    folded from the P1 profile; names are in schema order (bounded by the schema)."""
-    p = column_profile(df)
-
-    def names(role: str) -> Column:
-        return F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("pos", "column_name")))),
-            lambda x: x["column_name"])
-
-    return p.agg(
-        F.count_if(F.col("role") == "numeric").alias("numeric_columns"),
-        F.count_if(F.col("role") == "categorical").alias("categorical_columns"),
-        names("numeric").alias("numeric_names"),
-        names("categorical").alias("categorical_names"),
-    ).select(F.lit(name).alias("dataset"), "*")
+    """One row (dataset, rows, numeric_columns, categorical_columns, numeric_names,
+    categorical_names). Roles come from the schema (in schema order); the row
+    count is one aggregate over the data -- no per-column distinct work."""
+    r = roles(df)
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(name).alias("dataset"), "rows",
+        F.lit(len(r.numeric)).cast("bigint").alias("numeric_columns"),
+        F.lit(len(r.categorical)).cast("bigint").alias("categorical_columns"),
+        F.array(*[F.lit(c) for c in r.numeric]).cast("array<string>").alias("numeric_names"),
+        F.array(*[F.lit(c) for c in r.categorical]).cast("array<string>").alias("categorical_names"))
 
 
 def _first(codes: list[Column], k: int) -> Column:

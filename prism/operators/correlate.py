@@ -52,7 +52,7 @@ def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: float = 1e-12,
-                       persist: bool = True) -> DataFrame:
+                       persist: bool = False) -> DataFrame:
     """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal.
 
     Two global aggregates. The first gives each column's mean and non-null count
@@ -60,7 +60,9 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: fl
     plain ``sum`` aggregates, cheap and well conditioned because the centring
     removes the mean. Pairs involving a column with missing values sum over the
     pairwise-complete rows only. A variance below ``rel_tol`` of the sum of
-    squares counts as zero (no variance -> r = 0).
+    squares counts as zero (no variance -> r = 0). Both passes are cheap
+    code-generated aggregates, so by default the input is scanned twice rather
+    than cached (``persist=True`` caches the projection, for expensive inputs).
     """
     cols = list(cols) if cols is not None else roles(df).numeric
     work = _clean(df, cols)
@@ -132,12 +134,10 @@ def correlation_analysis(df: DataFrame, n: int = 10) -> CorrelationResult:
     num = roles(df).numeric
     if len(num) < 2:
         raise ValueError(f"too_few_numeric:{len(num)}")
-    work = working_set(_clean(df, num))
-    _, removed, kept = drop_constant_columns(work, num)
+    _, removed, kept = drop_constant_columns(df, num)
     if len(kept) < 2:
-        work.unpersist()
         raise ValueError(f"too_few_variable_columns:{', '.join(kept)}")
-    matrix = release_with(correlation_matrix(work, kept, persist=False), work)
+    matrix = correlation_matrix(df, kept)
     top = top_correlations(matrix, n)
     summary = correlation_summary_from(top, len(kept), len(num), kept)
     return CorrelationResult(matrix, top, summary, kept, removed)

@@ -9,7 +9,6 @@ from prism.functions.text import classify_type
 from prism.operators import joins as J
 from prism.operators import listing as L
 from prism.operators import workspace as WS
-from prism.operators.roles import column_profile
 from prism.plans.fixtures import EVENTS_ASOF, ORDERS_ASOF
 from prism.plans.registry import canon_sql as R, register, round_doubles, table
 
@@ -233,12 +232,10 @@ pre(preset, min_numeric_columns, min_categorical_columns) AS (VALUES """ + ", ".
 SELECT dataset, preset FROM prof JOIN pre ON numeric_columns >= min_numeric_columns
   AND categorical_columns >= min_categorical_columns""")
 def q_preset_eligibility(spark, sf):
+    from prism.operators.chat import role_profile
     prof = None
     for t in PROFILE_TABLES:
-        p = column_profile(table(spark, sf, t)).agg(
-            F.count_if(F.col("role") == "numeric").alias("numeric_columns"),
-            F.count_if(F.col("role") == "categorical").alias("categorical_columns"),
-        ).select(F.lit(t).alias("dataset"), "*")
+        p = role_profile(table(spark, sf, t), t).select("dataset", "numeric_columns", "categorical_columns")
         prof = p if prof is None else prof.unionByName(p)
     presets = spark.createDataFrame(PRESETS, "preset string, min_numeric_columns int, min_categorical_columns int")
     return J.preset_eligibility(prof, presets).select("dataset", "preset")
