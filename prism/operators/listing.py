@@ -80,13 +80,15 @@ def visualization_browser(df: DataFrame, *, type_col: str, type_value=None, sear
 def recent_per_owner(df: DataFrame, owner: str, ts: str, key: list[str], n: int) -> DataFrame:
     """Newest ``n`` items per owner with their rank (ties broken on ``key``)."""
     w = Window.partitionBy(owner).orderBy(F.col(ts).desc(), *[F.col(k).asc() for k in key])
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn(
+        "rank", F.col("rank").cast("bigint"))
 
 
 def last_messages(messages: DataFrame, session: str, order: str, n: int = 10) -> DataFrame:
     """Last ``n`` messages of each conversation."""
     w = Window.partitionBy(session).orderBy(F.col(order).desc())
-    return messages.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return messages.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn(
+        "rank", F.col("rank").cast("bigint"))
 
 
 def first_user_message(messages: DataFrame, session: str, order: str, role: str, text: str) -> DataFrame:

@@ -46,7 +46,7 @@ _C3 = " UNION ALL ".join(
     f"FROM d WHERE column_name IN ({', '.join(_q(c) for c in _FIRST5)})"
     for sp, name, s in [(1, CH.MEDIAN_SERIES, "median"), (2, CH.MEAN_SERIES, "mean")])
 _C4 = (f"SELECT 'category:' || column_name, CASE {_pos_case('column_name', LINEITEM_TEXT)} WHEN 1 THEN 'pie' WHEN 2 THEN 'doughnut' "
-       "WHEN 3 THEN 'polarArea' ELSE 'bar' END, 1, column_name, least(rank, 9), "
+       "WHEN 3 THEN 'polarArea' ELSE 'bar' END, 1, column_name, CAST(least(rank, 9) AS INTEGER), "
        f"CASE WHEN rank <= 8 THEN value ELSE {_q(CH.OTHER_LABEL)} END, CAST(sum(count) AS DOUBLE), NULL::VARCHAR FROM t "
        "GROUP BY column_name, least(rank, 9), CASE WHEN rank <= 8 THEN value ELSE 'Autres' END")
 _C5 = (f"SELECT 'completeness', 'pie', 1, 'Valeurs', 1, {_q(CH.COMPLETENESS_LABELS[0])}, CAST(count(*) * {NCOLS} - ({_TM}) AS DOUBLE), "
@@ -57,7 +57,7 @@ _DESC_CTES = (f"WITH src AS ({LINEITEM_NULLS_SQL}), d AS ({_describe_sql(LINEITE
 _CORR_CTES = (f"WITH src AS ({CORR_SRC_SQL}), m AS ({_matrix_sql(KEPT)}), "
               "top AS (SELECT row_number() OVER (ORDER BY abs(r) DESC, pos1, pos2) AS rank, var1, var2, r FROM m "
               "WHERE pos1 < pos2 QUALIFY rank <= 10) ")
-_C6 = (f"SELECT 'top_correlations', 'bar', 1, {_q(CH.CORRELATION_SERIES)}, rank, var1 || ' ↔ ' || var2, abs(r), "
+_C6 = (f"SELECT 'top_correlations', 'bar', 1, {_q(CH.CORRELATION_SERIES)}, CAST(rank AS INTEGER), var1 || ' ↔ ' || var2, abs(r), "
        f"CASE WHEN r > 0 THEN '{CH.POSITIVE_COLOR}' ELSE '{CH.NEGATIVE_COLOR}' END FROM top")
 _FIRST8 = KEPT[:8]
 _C7 = (f"SELECT 'correlation_profile', 'radar', 1, {_q(CH.CORRELATION_PROFILE_SERIES)}, {_pos_case('var1', _FIRST8)}, var1, "
@@ -241,10 +241,10 @@ def q_chart_export(spark, sf):
 
 @register("transcript_json", """
 SELECT conv_id AS session, CAST(-1 AS BIGINT) AS line_no,
-       to_json({'id': CAST(conv_id AS VARCHAR), 'title': 'Conversation ' || CAST(conv_id AS VARCHAR), 'n_messages': count(*)}) AS line
+       CAST(to_json({'id': CAST(conv_id AS VARCHAR), 'title': 'Conversation ' || CAST(conv_id AS VARCHAR), 'n_messages': count(*)}) AS VARCHAR) AS line
 FROM conversations GROUP BY conv_id
 UNION ALL
-SELECT conv_id, turn, to_json({'turn': turn, 'role': role, 'content': text}) FROM conversations""")
+SELECT conv_id, turn, CAST(to_json({'turn': turn, 'role': role, 'content': text}) AS VARCHAR) FROM conversations""")
 def q_transcript_json(spark, sf):
     return S.transcript_json(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 

@@ -55,7 +55,7 @@ def _tags(spark, sf):
                                           F.regexp_replace("p_name", " ", ", "), F.lit(" ")).alias("tags"))
 
 
-@register("tags_split", f"SELECT p_partkey, array_to_string({_SPLIT_SQL}, '|') AS tags, len({_SPLIT_SQL}) AS n_tags FROM part")
+@register("tags_split", f"SELECT p_partkey, array_to_string({_SPLIT_SQL}, '|') AS tags, CAST(len({_SPLIT_SQL}) AS INTEGER) AS n_tags FROM part")
 def q_tags_split(spark, sf):
     t = _tags(spark, sf).select("p_partkey", X.tags_split("tags").alias("a"))
     return t.select("p_partkey", F.array_join("a", "|").alias("tags"), F.size("a").alias("n_tags"))
@@ -67,7 +67,7 @@ def q_tags_join(spark, sf):
 
 
 @register("tags_overflow", f"SELECT p_partkey, array_to_string({_SPLIT_SQL}[1:3], '|') AS shown, "
-          f"greatest(len({_SPLIT_SQL}) - 3, 0) AS rest FROM part")
+          f"CAST(greatest(len({_SPLIT_SQL}) - 3, 0) AS INTEGER) AS rest FROM part")
 def q_tags_overflow(spark, sf):
     t = _tags(spark, sf).select("p_partkey", X.tags_overflow(X.tags_split("tags"), 3).alias("o"))
     return t.select("p_partkey", F.array_join("o.shown", "|").alias("shown"), F.col("o.rest").alias("rest"))

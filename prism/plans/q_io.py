@@ -19,12 +19,13 @@ def _csv_copy(spark, sf, name):
     return path
 
 
-@register("scan_csv", "SELECT * FROM nation")
+@register("scan_csv", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey "
+          "FROM nation")
 def q_scan_csv(spark, sf):
     return RD.scan_csv(spark, _csv_copy(spark, sf, "nation"))
 
 
-@register("scan_csv_customer", "SELECT * FROM customer")
+@register("scan_csv_customer", "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer")
 def q_scan_csv_customer(spark, sf):
     return round_doubles(RD.scan_csv(spark, _csv_copy(spark, sf, "customer")))
 

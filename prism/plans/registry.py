@@ -17,13 +17,30 @@ TABLES = (
 ).split()
 
 
+def _bigint_counts(sql: str) -> str:
+    """DuckDB types ``count_if`` as HUGEINT; write it as ``count(*) FILTER (...)``
+    (BIGINT, as Spark's ``count_if``)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "(count(*) FILTER (WHERE " + _bigint_counts(sql[j + len(key):k - 1]) + "))")
+        i = k
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = _bigint_counts(sql)
         return fn
 
     return deco
