@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from prism.functions.missing import clean_numeric
 from prism.operators.quality import drop_missing
 from prism.operators.roles import roles
+from prism.operators.working import release_with, working_set
 
 MIN_REGRESSION_ROWS = 5
 K_RANGE = (2, 20)
@@ -28,6 +29,11 @@ def regression_prep(df: DataFrame, target: str | None, features: list[str] | Non
     """M1: numeric features + target with NaN -> NULL, listwise deletion.
     Raises with a stable code for missing parameters, target among features,
     non-numeric columns or fewer than ``min_rows`` complete rows."""
+    return _prepare(df, target, features, min_rows)[0]
+
+
+def _prepare(df: DataFrame, target: str | None, features: list[str] | None,
+             min_rows: int = MIN_REGRESSION_ROWS) -> tuple[DataFrame, int]:
     if not target or not features:
         raise ValueError("missing_target_or_features")
     if target in features:
@@ -43,7 +49,7 @@ def regression_prep(df: DataFrame, target: str | None, features: list[str] | Non
     n = prepared.count()
     if n < min_rows:
         raise ValueError(f"too_few_rows:{n}")
-    return prepared
+    return prepared, n
 
 
 def train_test_split(df: DataFrame, key_expr: Column | None = None, test_mod: int = 5,
@@ -98,13 +104,14 @@ def regression_eval(test: DataFrame, target: str, coefs: dict[str, float], inter
 
 
 def regression_analysis(df: DataFrame, target: str, features: list[str], key_expr: Column | None = None) -> RegressionResult:
-    """M1 -> M2 -> M3 -> M4."""
-    prepared = regression_prep(df, target, features)
+    """M1 -> M2 -> M3 -> M4. Each pass is one cheap scan (the normal-equation
+    fit aggregates X'X in one pass), so the input is re-scanned, not cached."""
+    prepared, n = _prepare(df, target, features)
     train, test = train_test_split(prepared, key_expr)
     model = linear_regression(train, target, features)
     coefs = dict(zip(features, [float(c) for c in model.coefficients]))
     metrics = regression_eval(test, target, coefs, float(model.intercept))
-    return RegressionResult(coefficient_table(df.sparkSession, model, features), metrics, model, prepared.count())
+    return RegressionResult(coefficient_table(df.sparkSession, model, features), metrics, model, n)
 
 
 # ---------------------------------------------------------------- clustering
@@ -160,25 +167,26 @@ def kmeans(df: DataFrame, cols: list[str] | None = None, k: int | None = DEFAULT
     cols = list(cols) if cols else roles(df).numeric
     if len(cols) < 2:
         raise ValueError("too_few_numeric_for_clustering")
-    data = drop_missing(df.select(*[clean_numeric(c).alias(c) for c in cols]), cols)
+    data = working_set(drop_missing(df.select(*[clean_numeric(c).alias(c) for c in cols]), cols))
     n = data.count()
     if n < k:
+        data.unpersist()
         raise ValueError(f"too_few_rows_for_k:{n}")
     stats = scale_stats(data, cols)
     scaled_names = [f"{c}__z" for c in cols]
     scaled = standard_scale(data, cols, stats, suffix="__z")
-    vec = VectorAssembler(inputCols=scaled_names, outputCol="__v").transform(scaled).persist()
+    vec = VectorAssembler(inputCols=scaled_names, outputCol="__v").transform(scaled)
     best = None
     for seed in seeds:
         m = KMeans(k=k, seed=seed, featuresCol="__v", initMode="k-means||", maxIter=max_iter).fit(vec)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
-    vec.unpersist()
     centres = sorted([list(map(float, c)) for c in best[1].clusterCenters()])
     assigned = nearest_centroid(scaled, scaled_names, centres)
     inertia = float(assigned.agg(F.sum("dist2")).first()[0])
-    return ClusterResult(assigned, cluster_profile(assigned, "cluster", cols), inertia, centres, k)
+    profile = release_with(cluster_profile(assigned, "cluster", cols), data)
+    return ClusterResult(release_with(assigned, data), profile, inertia, centres, k)
 
 
 def cluster_profile(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
