@@ -37,6 +37,13 @@ def q_scan_json_records(spark, sf):
     return RD.scan_json_records(spark, path, "r_regionkey int, r_name string")
 
 
+@register("scan_json_columns", "SELECT * FROM nation")
+def q_scan_json_columns(spark, sf):
+    path = scratch_path(spark, "nation-json-columns")
+    RD.write_json_columns(table(spark, sf, "nation"), path)
+    return RD.scan_json_columns(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
 @register("format_dispatch", "SELECT * FROM part")
 def q_format_dispatch(spark, sf):
     path = scratch_path(spark, "part-json")

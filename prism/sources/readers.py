@@ -172,3 +172,23 @@ def write_json_records(df: DataFrame, path: str) -> None:
 
     (df.select(F.to_json(F.struct(*df.columns)).alias("j"))
      .mapInPandas(one_array, "value string").write.mode("overwrite").text(path))
+
+
+def write_json_columns(df: DataFrame, path: str) -> None:
+    """Write each partition as one column-oriented document ``{column: {row: value}}``
+    (the layout S4 reads; rows are labelled by their position in the partition).
+    A partition is bounded by the scan split size."""
+    cols = df.columns
+
+    def one_doc(batches):
+        import json as _json
+
+        import pandas as pd
+        frames = [b for b in batches]
+        if not frames:
+            return
+        part = pd.concat(frames, ignore_index=True)
+        doc = {c: {str(i): (None if pd.isna(v) else v) for i, v in enumerate(part[c].tolist())} for c in cols}
+        yield pd.DataFrame({"value": [_json.dumps(doc, default=str)]})
+
+    df.mapInPandas(one_doc, "value string").write.mode("overwrite").text(path)
