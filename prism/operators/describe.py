@@ -76,11 +76,14 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
             [], "column_name string, count bigint, mean double, std double, min double, q25 double, "
             "q50 double, q75 double, max double, median double")
     work = working_set(work)
-    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=_moments(cols))
+    extra = [F.expr(f"{fn}({q(c)}) AS {k}{i}") for i, c in enumerate(cols)
+             for fn, k in (("avg", "mean"), ("stddev_samp", "std"))]
+    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
     ex = plan.extras
+    own = {"n": "__n", "min": "__mn", "max": "__mx"}
 
     def stat(i: int, k: str) -> str:
-        v = ex[f"{k}{i}"]
+        v = ex[f"{own.get(k, k)}{i}"]
         return "NULL" if v is None else (str(int(v)) + "L" if k == "n" else dlit(v))
 
     out = _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
