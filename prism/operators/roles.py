@@ -65,10 +65,13 @@ def _long(rows: list[Column]) -> Column:
     return F.inline(F.array(*rows))
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """(pos, column_name, dtype, role, missing, distinct) -- one aggregate pass.
 
     Distinct counts exclude missing values (NaN included), as pandas ``nunique``.
+    Exact distinct counts expand each row once per column and shuffle on
+    (column, value); ``approx=True`` uses HyperLogLog++ sketches instead
+    (fixed-size buffers, no shuffle of values) for very wide or very large tables.
     """
     fields = df.schema.fields
     df = spread(df)
@@ -76,7 +79,8 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, f in enumerate(fields):
         miss = is_missing(f.name, f.dataType)
         aggs.append(F.count_if(miss).alias(f"m{i}"))
-        aggs.append(F.count_distinct(F.when(~miss, F.col(f.name))).alias(f"d{i}"))
+        present = F.when(~miss, F.col(f.name))
+        aggs.append((F.approx_count_distinct(present) if approx else F.count_distinct(present)).alias(f"d{i}"))
     one = df.agg(*aggs)
     rows = [
         F.struct(
