@@ -5,15 +5,16 @@ Spark's exact ``percentile`` keeps a value->count map per group, so for a
 continuous column its final merge holds every distinct value in one task.
 Instead the order statistics are located by narrowing a value bracket:
 
-1. a GK sketch (``percentile_approx``) over a Bernoulli sample of about
-   ``sample_rows`` rows proposes a bracket [lo, hi] per target; its cost does
+1. one global aggregate gives row count, per-column count/min/max and any extra
+   statistics the caller asks for (describe's moments ride along); then a GK
+   sketch (``percentile_approx``) over a Bernoulli sample of about
+   ``sample_rows`` rows proposes a bracket [lo, hi] per target -- its cost does
    not grow with the table;
 2. one global aggregate (declarative, whole-stage code generated) counts per
    bracket the values below ``lo``, equal to ``lo``, strictly inside and equal
-   to ``hi``, plus any extra statistics the caller asks for (describe's
-   moments ride along). A bracket that misses its rank falls back to [min, max];
-   ties on the edges (a hot value holding a third of the rows) are resolved by
-   the counts alone;
+   to ``hi``. A bracket that misses its rank falls back to [min, max]; ties on
+   the edges (a hot value holding a third of the rows) are resolved by the
+   counts alone;
 3. while the interior of a bracket holds more than ``leaf`` values, a bucket
    histogram of it (bounded: targets x ``bins`` rows) narrows it, and step 2
    re-counts;
@@ -138,10 +139,18 @@ def plan_exact_quantiles(
 ) -> QuantilePlan:
     """``df`` holds clean double columns (NaN already NULL). ``extra_aggs`` are
     evaluated in the first counting pass; their values are in ``plan.extras``."""
-    n_rows = df.count() if n_rows is None else n_rows
+    # Pass 1: exact ranges, row count and the caller's extra statistics.
+    aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.expr(f"count({q(c)})").alias(f"__n{i}"), F.expr(f"min({q(c)})").alias(f"__mn{i}"),
+                 F.expr(f"max({q(c)})").alias(f"__mx{i}")]
+    aggs += list(extra_aggs or [])
+    r_stats = df.agg(*aggs).first()
+    extras = r_stats.asDict()
+    n_rows = r_stats["__rows"] if n_rows is None else n_rows
     frac = min(1.0, sample_rows / max(n_rows, 1))
     m = max(1.0, frac * n_rows)
-    # Pass 1: sketch of a sample -> candidate brackets.
+    # Pass 2: sketch of a sample -> candidate brackets.
     sample = df if frac >= 1.0 else df.where(F.rand(seed) < F.lit(frac))
     sketches = []
     for i, c in enumerate(cols):
@@ -162,18 +171,9 @@ def plan_exact_quantiles(
             lo, hi = (ap[2 * j], ap[2 * j + 1]) if ap else (None, None)
             if lo is not None and hi is not None and lo <= hi:
                 t.lo, t.hi = lo, hi
-    # Pass 2: exact ranges and the caller's extra statistics; then counts around
-    # each bracket (two aggregates: one wide mixed aggregate is slower than both).
-    aggs: list[Column] = []
-    for i, c in enumerate(cols):
-        aggs += [F.expr(f"count({q(c)})").alias(f"__n{i}"), F.expr(f"min({q(c)})").alias(f"__mn{i}"),
-                 F.expr(f"max({q(c)})").alias(f"__mx{i}")]
-    aggs += list(extra_aggs or [])
-    stats = df.agg(*aggs).first()
-    extras = stats.asDict()
+    # Pass 3: exact counts around each bracket.
     counts = [a for t in targets.values() if t.lo is not None for a in _count_aggs(t)]
-    r = df.agg(*counts).first() if counts else stats
-    r_stats = stats
+    r = df.agg(*counts).first() if counts else r_stats
     ranges = {c: (r_stats[f"__n{i}"], r_stats[f"__mn{i}"], r_stats[f"__mx{i}"]) for i, c in enumerate(cols)}
     for t in targets.values():
         n, mn, mx = ranges[t.col]
