@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prism.functions.missing import clean_numeric
 from prism.functions.sqltext import clean_double, dlit, q
 from prism.operators.roles import roles
 from prism.operators.working import release_with, working_set

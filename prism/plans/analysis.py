@@ -7,6 +7,7 @@ analysis runs several actions over it (validation, quantile passes, model fits).
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -20,6 +21,7 @@ from prism.operators import model as M
 from prism.operators import quality as Q
 from prism.operators import timeseries as TS
 from prism.operators.roles import roles
+from prism.operators.working import _quiet_unpersist
 
 ANALYSIS_TYPES = ["descriptive", "correlation", "regression", "clustering", "timeseries"]
 
@@ -75,7 +77,10 @@ def run_analysis(df: DataFrame, analysis_type: str, params: dict | None = None)
             tables.update(clusters=res.profile.withColumn("inertia", F.lit(res.inertia)), assigned=res.assigned)
         elif analysis_type == "timeseries":
             tables["summary"] = TS.timeseries_summary(src, params.get("date_column"), params.get("value_column"))
-        return AnalysisResult("completed", tables=tables, charts=charts, validation=v, source=src)
+        result = AnalysisResult("completed", tables=tables, charts=charts, validation=v, source=src)
+        fin = weakref.finalize(result, _quiet_unpersist, src)  # also released when the result is dropped
+        fin.atexit = False
+        return result
     except ValueError as e:
         src.unpersist()
         return AnalysisResult("failed", str(e))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from prism.functions import scalar as X
-from prism.functions.text import (ANALYSIS_WORDS, CLASS_INFO, EXPLORATION_WORDS, VISUALIZATION_WORDS,
-                                  classify_message, classify_message_degraded)
+from prism.functions.text import (CLASS_INFO, EXPLORATION_WORDS, VISUALIZATION_WORDS, classify_message,
+                                  classify_message_degraded)
 from prism.operators import chat as T
 from prism.plans.q_workspace import PROFILE_TABLES, _class_sql
 from prism.plans.registry import canon_sql as R, register, round_doubles, table

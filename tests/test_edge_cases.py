@@ -1,9 +1,7 @@
 """Edge cases taken from the behaviours of the reference (FIXTURES.md, table C)."""
 
 import json
-import math
 
-import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F

@@ -17,7 +17,10 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def q(spark, sf_dir):
-    return lambda name: plan_of(E.queries()[name](spark, sf_dir))
+    def plan(name):
+        spark.catalog.clearCache()  # cached relations from other tests would replace the scans
+        return plan_of(E.queries()[name](spark, sf_dir))
+    return plan
 
 
 def test_top_k_per_group_limits_before_the_shuffle(q):
