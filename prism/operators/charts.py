@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.operators.describe import dataset_summary, missing_by_dataset
+from prism.session import cut_lineage
 
 # Chart labels and series names of the reference (French presentation defaults).
 COMPOSITION_LABELS = ["Colonnes Numériques", "Colonnes Catégorielles", "Valeurs Manquantes"]
@@ -170,9 +171,16 @@ def chart_custom(rows: DataFrame, title: str, chart_type: str) -> DataFrame:
 def auto_charts(analysis_type: str, *, df: DataFrame | None = None, describe: DataFrame | None = None,
                 top10: DataFrame | None = None, numeric_cols: list[str] | None = None,
                 categorical_cols: list[str] | None = None, top: DataFrame | None = None,
-                matrix: DataFrame | None = None, variables: list[str] | None = None) -> DataFrame | None:
+                matrix: DataFrame | None = None, variables: list[str] | None = None,
+                materialize: bool = True) -> DataFrame | None:
     """Every chart of an analysis type. descriptive: C1, C2, C3, C4 and C5
-    (only when cells are missing); correlation: C6, C7; regression/clustering: none."""
+    (only when cells are missing); correlation: C6, C7; regression/clustering: none.
+
+    Result tables feeding several charts are small (bounded by the schema); with
+    ``materialize`` they are checkpointed once into the shared folder so each
+    chart reads them instead of recomputing their passes."""
+    if materialize:
+        describe, top10, top, matrix = [cut_lineage(t) if t is not None else None for t in (describe, top10, top, matrix)]
     parts: list[DataFrame] = []
     if analysis_type == "descriptive":
         parts.append(chart_composition(df))

@@ -9,7 +9,7 @@ from prism.functions.missing import is_missing
 from prism.functions.sqltext import clean_double, dlit, q
 from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
 from prism.operators.roles import roles
-from prism.operators.working import release_with, spread, working_set
+from prism.operators.working import spread, working_set
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -66,19 +66,22 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
     """A2: per numeric column count, mean, std (ddof=1), min, q25, q50, q75, max, median.
 
     Exact quantiles with linear interpolation; see ``quantiles`` for how they stay
-    distributed. The moments ride along in the quantile counting pass (one
-    code-generated aggregate); the returned plan is the final, filtered
-    collection pass over ``df``.
+    distributed. The planning passes run over a cached working set (released
+    afterwards); the moments ride along in its statistics pass. The returned plan
+    is the final, filtered collection pass over ``df``.
     """
     work, cols = _numeric_frame(df, cols)
     if not cols:
         return df.sparkSession.createDataFrame(
             [], "column_name string, count bigint, mean double, std double, min double, q25 double, "
             "q50 double, q75 double, max double, median double")
-    work = working_set(work)
+    cached = working_set(work)
     extra = [F.expr(f"{fn}({q(c)}) AS {k}{i}") for i, c in enumerate(cols)
              for fn, k in (("avg", "mean"), ("stddev_samp", "std"))]
-    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
+    try:
+        plan = plan_exact_quantiles(cached, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
+    finally:
+        cached.unpersist()
     ex = plan.extras
     own = {"n": "__n", "min": "__mn", "max": "__mx"}
 
@@ -86,8 +89,9 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
         v = ex[f"{own.get(k, k)}{i}"]
         return "NULL" if v is None else (str(int(v)) + "L" if k == "n" else dlit(v))
 
-    out = _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
-    return release_with(out, work)
+    # the final collection is a filtered scan of the source projection: it needs
+    # neither the cache nor the spread
+    return _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
 
 
 def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:

@@ -22,6 +22,7 @@ from prism.operators import quality as Q
 from prism.operators import timeseries as TS
 from prism.operators.roles import roles
 from prism.operators.working import _quiet_unpersist
+from prism.session import cut_lineage
 
 ANALYSIS_TYPES = ["descriptive", "correlation", "regression", "clustering", "timeseries"]
 
@@ -56,17 +57,20 @@ def run_analysis(df: DataFrame, analysis_type: str, params: dict | None = None)
         if analysis_type == "descriptive":
             tables["summary"] = D.dataset_summary(src)
             if r.numeric:
-                tables["numeric_stats"] = D.describe_numeric(src)
+                tables["numeric_stats"] = cut_lineage(D.describe_numeric(src))
             if r.categorical:
                 tables["categorical_unique"] = D.categorical_nunique(src)
-                tables["categorical_top10"] = D.categorical_top10(src)
+                tables["categorical_top10"] = cut_lineage(D.categorical_top10(src))
             charts = CH.auto_charts("descriptive", df=src, describe=tables.get("numeric_stats"),
                                     top10=tables.get("categorical_top10"), numeric_cols=r.numeric,
-                                    categorical_cols=r.categorical)
+                                    categorical_cols=r.categorical, materialize=False)
         elif analysis_type == "correlation":
             res = C.correlation_analysis(src)
-            tables.update(matrix=res.matrix, strong_correlations=res.top, summary=res.summary)
-            charts = CH.auto_charts("correlation", top=res.top, matrix=res.matrix, variables=res.kept)
+            matrix = cut_lineage(res.matrix)
+            top = cut_lineage(C.top_correlations(matrix))
+            tables.update(matrix=matrix, strong_correlations=top,
+                          summary=C.correlation_summary_from(top, len(res.kept), len(r.numeric), res.kept))
+            charts = CH.auto_charts("correlation", top=top, matrix=matrix, variables=res.kept, materialize=False)
         elif analysis_type == "regression":
             res = M.regression_analysis(src, params.get("target_column"), params.get("feature_columns"),
                                         params.get("split_key"))
