@@ -16,7 +16,15 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 
+CACHE_CONF = "spark.prism.cacheWorkingSets"
+
+
 def working_set(df: DataFrame) -> DataFrame:
+    """Spread and persist ``df`` for several passes. Set ``spark.prism.cacheWorkingSets``
+    to ``false`` where re-reading the (compressed, column-pruned) source is cheaper
+    than caching the projection, e.g. very wide scans on a cluster with slow local disks."""
+    if df.sparkSession.conf.get(CACHE_CONF, "true").lower() == "false":
+        return df
     return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
