@@ -11,10 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _ts(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def since(ts: str, asof: str, days: int) -> Column:
     """``ts >= asof - days`` with an explicit ``asof`` instead of now()."""
     return F.col(ts) >= (F.lit(asof).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))

@@ -19,7 +19,6 @@ from prism.sources import sinks as S
 
 NCOLS = len(LINEITEM_COLS)
 _TM = _total_missing_sql(LINEITEM_COLS, LINEITEM_TYPES)
-ROWS = ", ".join(CH.ROW_COLS)
 
 
 def _q(s: str) -> str:
