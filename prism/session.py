@@ -3,7 +3,6 @@ shared folder used for checkpoints and written intermediate tables."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -28,27 +27,45 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pri
     )
 
 
+#: Private folders of local sessions without ``spark.checkpoint.dir`` (tests), by application id.
+_LOCAL_DIRS: dict[str, str] = {}
+#: Scratch tables written by this process, for :func:`clear_scratch`.
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private folder
-    is created and registered, so a cluster never falls back to a machine-local path.
+    Read from the session and never changed there. Only when it is unset on a local
+    master (tests) a private folder is made, so a cluster never falls back to a
+    machine-local path.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        path = tempfile.mkdtemp(prefix="prism-ckpt-")  # local mode only (tests)
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="prism-ckpt-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for a written intermediate table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables this process has written; call it when no DataFrame
+    built on them is needed any more. Returns how many folders went."""
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
