@@ -89,10 +89,12 @@ def shares(facts: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     # a source whose crossing bucket gives nothing still takes the buckets before it
     edge = reached.select("source", F.col("bucket").alias("edge")).alias("e")
     i = inside.alias("i")
-    return (t.join(edge, F.col("t.source").eqNullSafe(F.col("e.source")), "left")
+    per = (t.join(edge, F.col("t.source").eqNullSafe(F.col("e.source")), "left")
             .join(i, F.col("t.source").eqNullSafe(F.col("i.source")), "left")
             .select("t.source", "t.source_size", "t.target", "t.whole",
                     F.coalesce(F.col("i.cut"), F.col("e.edge")).alias("cut")))
+    # written: the size of one row a source is then known, so few sources are broadcast and no hot one is shuffled to
+    return cut_lineage(per, "mix-shares")
 
 
 def _facts(docs: DataFrame, seed: int) -> DataFrame:

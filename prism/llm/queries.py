@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.llm import chat, mixing
+from prism.llm import ann, bpe, chat, licenses, linededup, mixing, perplexity, simhash, toxicity, urlfilter
 from prism.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,94 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        "formatted_chars")
+
+
+@register("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.scorer(model)(F.col("text")).alias("toxicity"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         F.col("toxicity.score").alias("score"),
+                         (F.col("toxicity.score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+                         F.size("toxicity.spans").alias("n_spans"))
+
+
+@register("op2_line_dedup", r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, len(lines) AS n, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM d),
+a AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+r AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 1000003 + h) % 2147483647 AS r FROM a),
+b AS (
+  SELECT *, CASE WHEN i BETWEEN 1 AND n - 2 AND r < lag(r) OVER (PARTITION BY doc_id ORDER BY i)
+                      AND r <= lead(r) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS ends FROM r),
+s AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS part FROM b),
+p AS (SELECT *, (i - min(i) OVER (PARTITION BY doc_id, part)) // 32 AS piece FROM s),
+c AS (
+  SELECT doc_id, part, piece, min(i) AS at, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM p GROUP BY doc_id, part, piece),
+k AS (
+  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY n_lines >= 2, chunk ORDER BY doc_id, at) > 1 AS gone FROM c)
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines,
+       coalesce(length(string_agg(chunk, chr(10) ORDER BY at) FILTER (WHERE NOT gone)), 0)::BIGINT AS n_chars_kept,
+       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM k GROUP BY doc_id""")
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    out = linededup.dedup_lines(docs)
+    return out.select("doc_id", F.size(F.split("before", "\n")).cast("long").alias("n_lines"),
+                      F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, ids and the bytes they decode to, by the public byte-level vocabulary."""
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.decode(spark, bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(tokens(spark, table(spark, sf_dir, "documents")))
+
+
+@register("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", *perplexity.BASE_FIELDS, "base_failed", "kept", "perplexity")
+
+
+@register("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", licenses.scanner()(F.col("text")).alias("scan"))
+    base = F.filter("scan.matches", lambda m: m["kind"] == "base")
+    first = F.transform(base, lambda m: m["first"])
+    return found.select(
+        "doc_id", "scan.n_words", F.size(base).cast("long").alias("n_base"), F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"]))), ",").alias("base_labels"),
+        F.array_join(licenses.labels(F.col("scan")), ",").alias("labels"), licenses.score(F.col("scan")).alias("score"))
+
+
+@register("op1_inverted_multi_index")
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@register("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
