@@ -5,7 +5,7 @@ cells. A query walks the pairs in the order of summed squared distance with a he
 multi-sequence walk) until the visited cells hold ``max(MIN_ENTRIES, SHARE * vectors)``
 entries; all entries of those cells are reranked by exact Euclidean distance.
 
-``SHARE`` is a half: on vectors without clusters, as in the test tables, fewer entries do not reach a
+``SHARE`` is 0.6: on vectors without clusters, as in the test tables, fewer entries do not reach a
 recall of 0.9 (measured in README.md). The codebooks are fitted on at most ``SAMPLE``
 vectors, the first by a digest of their id; every vector is indexed.
 
@@ -37,7 +37,7 @@ from prism.session import cut_lineage
 
 CODES = 32
 SAMPLE = 8_192
-SHARE, MIN_ENTRIES = 0.5, 1_000
+SHARE, MIN_ENTRIES = 0.6, 1_000
 #: Entries of a shard, queries of a block.
 SHARD, QUERY_BLOCK = 16_384, 512
 SLACK = 16

@@ -86,7 +86,7 @@ def sentence_hits(text: str, vocabulary: dict, memo: dict) -> Iterator[tuple[int
     lowered = text.lower()
     if len(lowered) != len(text):  # a letter whose lower case is longer: keep the offsets
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    known = set()
+    known: dict[str, tuple] = {}
     for word in set(WORDS.findall(lowered)):
         found = memo.get(word)
         if found is None:
@@ -94,11 +94,11 @@ def sentence_hits(text: str, vocabulary: dict, memo: dict) -> Iterator[tuple[int
                 memo.clear()
             found = memo[word] = tuple(vocabulary[f] for f in word_features(word) if f in vocabulary)
         if found:
-            known.add(word)
+            known[word] = found
     if not known:
         return
     for m in SENTENCE.finditer(lowered):
-        hits = {f for w in known.intersection(WORDS.findall(m[0])) for f in memo[w]}
+        hits = {f for w in known.keys() & WORDS.findall(m[0]) for f in known[w]}
         yield m.start(), m.end(), hits
 
 
