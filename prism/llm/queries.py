@@ -154,9 +154,9 @@ def tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return bpe.decode(spark, bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
 
 
-def token_digests(encoded: DataFrame) -> DataFrame:
+def token_digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
