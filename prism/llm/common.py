@@ -29,6 +29,11 @@ def free_name(df: DataFrame, *others: DataFrame, stem: str) -> str:
     return name
 
 
+def of(df: DataFrame, name: str) -> Column:
+    """The frame's own column of that very name."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def col(name: str) -> Column:
     """The top-level column of that very name, also where the name has dots or quotes."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prism.llm.common import free_name
+from prism.llm.common import free_name, of
 from prism.session import cut_lineage
 
 MAX_LINES = 32
@@ -105,4 +105,4 @@ def dedup_lines(docs: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     kept = _let(_lines(docs["text"]), lambda lines: F.array_join(F.transform(F.filter(
         pieces(lines, max_lines), lambda p, i: ~F.array_contains(chunks, i)), lambda p: _chunk_text(lines, p)), "\n"))
     text = F.when(chunks.isNull(), docs["text"]).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[text.alias(c) if c == "text" else of(docs, c) for c in docs.columns])

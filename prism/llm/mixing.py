@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prism.llm.common import WORD, free_name
+from prism.llm.common import WORD, free_name, of
 from prism.session import cut_lineage
 
 SEED = 8
@@ -128,4 +128,4 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS,
     repeats = _repeats(digest(seed), s[whole], s[cut], max_epochs).cast("int")
     nth = free_name(docs, stem="mix_nth")
     return (joined.where(repeats > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), repeats)))
-            .select(*[docs[c] for c in docs.columns]))
+            .select(*[of(docs, c) for c in docs.columns]))

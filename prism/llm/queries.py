@@ -127,13 +127,13 @@ b AS (
 s AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS part FROM b),
 p AS (SELECT *, (i - min(i) OVER (PARTITION BY doc_id, part)) // 32 AS piece FROM s),
 c AS (
-  SELECT doc_id, part, piece, min(i) AS at, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk
+  SELECT doc_id, part, piece, min(i) AS i, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS chunk
   FROM p GROUP BY doc_id, part, piece),
 k AS (
-  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY n_lines >= 2, chunk ORDER BY doc_id, at) > 1 AS gone FROM c)
+  SELECT *, n_lines >= 2 AND row_number() OVER (PARTITION BY (n_lines >= 2), chunk ORDER BY doc_id, i) > 1 AS gone FROM c)
 SELECT doc_id, sum(n_lines)::BIGINT AS n_lines,
-       coalesce(length(string_agg(chunk, chr(10) ORDER BY at) FILTER (WHERE NOT gone)), 0)::BIGINT AS n_chars_kept,
-       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       coalesce(length(string_agg(chunk, chr(10) ORDER BY i) FILTER (WHERE NOT gone)), 0)::BIGINT AS n_chars_kept,
+       sha256(coalesce(string_agg(chunk, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM k GROUP BY doc_id""")
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))

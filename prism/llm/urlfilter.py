@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prism.llm.common import ascii_lower, free_name
+from prism.llm.common import ascii_lower, free_name, of
 from prism.session import cut_lineage
 
 #: The rules (verdict, rule); a rule is a host with a path.
@@ -145,5 +145,5 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, order: i
     ratio = F.coalesce(s[names["ratio"]], F.lit(0.0))
     new = {"host": host_of(url), "path": path_of(url), "rule": rule["rule"],
            "verdict": F.coalesce(rule["verdict"], F.when(ratio >= edge, "allow").otherwise("block")), "ratio": ratio}
-    kept = [pages[c] for c in pages.columns if c.lower() not in new]
+    kept = [of(pages, c) for c in pages.columns if c.lower() not in new]
     return joined.select(*kept, *[c.alias(n) for n, c in new.items()])
