@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prism.llm import linededup, mixing, queries, simhash, toxicity
-from prism.llm.common import table
+from prism.llm.common import of, table
 from prism.session import cut_lineage
 
 ORACLE_SQL = None
@@ -31,7 +31,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """All documents, without chunks of lines that occurred before; n_chars follows the text."""
     kept = linededup.dedup_lines(docs)
     length = F.length("text").cast("long").alias("n_chars")
-    return kept.select(*[length if c == "n_chars" else kept[c] for c in kept.columns])
+    return kept.select(*[length if c == "n_chars" else of(kept, c) for c in kept.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
