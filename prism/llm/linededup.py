@@ -88,7 +88,8 @@ def repeated_chunks(docs: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     texts = _let(_lines(F.col("k.text")), lambda lines: _let(pieces(lines, max_lines), lambda ps: F.transform(
         "f.found", lambda c: F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"),
                                       _chunk_text(lines, F.get(ps, c["seq"])).alias("chunk")))))
-    differing = (k.join(f, same).select(F.explode(texts).alias("c")).select("c.h1", "c.h2", "c.chunk")
+    # a list for each document has no size bound, so neither join broadcasts it
+    differing = (k.join(f.hint("merge"), same).select(F.explode(texts).alias("c")).select("c.h1", "c.h2", "c.chunk")
                  .groupBy("h1", "h2").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
                  .where("least <> most").select("h1", "h2"))
     return (lists.select("doc_id", "text_hash", F.explode("found").alias("c")).where("not c.first")
@@ -101,7 +102,7 @@ def dedup_lines(docs: DataFrame, max_lines: int = MAX_LINES) -> DataFrame:
     r = repeated_chunks(docs, max_lines)
     r = r.toDF(*[free_name(docs, stem=f"line_{c}") for c in r.columns])
     doc_id, text_hash, chunks = (r[c] for c in r.columns)
-    joined = docs.join(r, docs["doc_id"].eqNullSafe(doc_id) & (F.xxhash64(docs["text"]) == text_hash), "left")
+    joined = docs.join(r.hint("merge"), docs["doc_id"].eqNullSafe(doc_id) & (F.xxhash64(docs["text"]) == text_hash), "left")
     kept = _let(_lines(docs["text"]), lambda lines: F.array_join(F.transform(F.filter(
         pieces(lines, max_lines), lambda p, i: ~F.array_contains(chunks, i)), lambda p: _chunk_text(lines, p)), "\n"))
     text = F.when(chunks.isNull(), docs["text"]).otherwise(kept)
