@@ -252,6 +252,11 @@ def test_words_encode_as_tiktoken(word):
     assert bpe.encode_word(word, RANKS) == TIKTOKEN._encode_single_piece(word)
 
 
+@pytest.mark.parametrize("positions", [[], [0], [127, 128, 16383, 16384, 2**21, 2**28, 2**32 - 1, 5]])
+def test_positions_pack_and_unpack(positions):
+    assert bpe._unpack(bpe._pack(np.array(positions, np.uint32))).tolist() == positions
+
+
 # --- licences ----------------------------------------------------------------
 
 def slow_scan(text):
