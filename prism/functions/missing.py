@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType
 
+from prism.functions.sqltext import column
+
 
 def is_float_type(dtype: DataType) -> bool:
     return isinstance(dtype, (DoubleType, FloatType))
@@ -13,7 +15,7 @@ def is_float_type(dtype: DataType) -> bool:
 
 def is_missing(name: str, dtype: DataType) -> Column:
     """True where the cell is missing: NULL, or NaN for floating columns."""
-    c = F.col(name)
+    c = column(name)
     if is_float_type(dtype):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -21,5 +23,5 @@ def is_missing(name: str, dtype: DataType) -> Column:
 
 def clean_numeric(name: str, dtype: DataType | None = None) -> Column:
     """Column as double with NaN turned into NULL, so aggregates skip it."""
-    c = F.col(name).cast("double")
+    c = column(name).cast("double")
     return F.when(~F.isnan(c), c)

@@ -9,12 +9,25 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def q(name: str) -> str:
     """Backtick-quoted column name."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def slit(text: str) -> str:
+    """String literal of SQL text (also with quotes and backslashes in it)."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def column(name: str) -> Column:
+    """The column of that very name, also where it holds dots, quotes or spaces."""
+    return F.col(q(name))
+
+
 def dlit(x: float) -> str:
     """Exact double literal (shortest round-trip repr)."""
     x = float(x)

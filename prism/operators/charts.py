@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import column
+from prism.operators.correlate import top_correlations
 from prism.operators.describe import dataset_summary, missing_by_dataset
 from prism.session import cut_lineage
 
@@ -57,8 +59,8 @@ def chart_composition(df: DataFrame) -> DataFrame:
                         for i, (lab, v) in enumerate(zip(COMPOSITION_LABELS, vals))])
 
 
-def chart_five_number(describe: DataFrame, numeric_cols: list[str], n: int = 6) -> DataFrame:
-    """Min, q25, median, q75, max of the first ``n`` numeric columns (radar)."""
+def chart_five_number(describe: DataFrame, numeric_cols: list[str], n: int | None = None) -> DataFrame:
+    """Min, q25, median, q75, max of the numeric columns (radar); ``n`` shows the first n only."""
     first = numeric_cols[:n]
     d = describe.where(F.col("column_name").isin(first)).withColumn("sp", _position("column_name", first))
     stats = ["min", "q25", "median", "q75", "max"]
@@ -67,8 +69,8 @@ def chart_five_number(describe: DataFrame, numeric_cols: list[str], n: int = 6)
                         for i, (lab, s) in enumerate(zip(FIVE_NUMBER_LABELS, stats))])
 
 
-def chart_median_vs_mean(describe: DataFrame, numeric_cols: list[str], n: int = 5) -> DataFrame:
-    """Median and mean series over the first ``n`` numeric columns (bar)."""
+def chart_median_vs_mean(describe: DataFrame, numeric_cols: list[str], n: int | None = None) -> DataFrame:
+    """Median and mean series over the numeric columns (bar); ``n`` shows the first n only."""
     first = numeric_cols[:n]
     d = describe.where(F.col("column_name").isin(first)).withColumn("lp", _position("column_name", first))
     return _explode(d, [
@@ -77,18 +79,26 @@ def chart_median_vs_mean(describe: DataFrame, numeric_cols: list[str], n: int =
     ])
 
 
-def chart_category_topk_other(top10: DataFrame, categorical_cols: list[str], k: int = 8, n: int = 4) -> DataFrame:
-    """C4: per categorical column (first ``n``) its ``k`` most frequent values plus
-    ``Autres`` = the rest *of the top-10 list*; chart type rotates pie, doughnut,
-    polarArea, bar."""
+def chart_category_topk_other(top: DataFrame, categorical_cols: list[str], k: int = 8, n: int | None = None,
+                              totals: DataFrame | None = None) -> DataFrame:
+    """C4: per categorical column its ``k`` most frequent values plus ``Autres``; the chart
+    type rotates pie, doughnut, polarArea, bar; ``n`` shows the first n columns only.
+
+    ``totals`` (column_name, n) makes ``Autres`` all other values of the column; without it
+    it is the rest of the ``top`` list only, as on the reference's screen."""
     first = categorical_cols[:n]
-    t = top10.where(F.col("column_name").isin(first)).withColumn("cp", _position("column_name", first))
-    folded = (t.groupBy("column_name", "cp",
-                        F.least(F.col("rank"), F.lit(k + 1)).alias("lp"),
-                        F.when(F.col("rank") <= k, F.col("value")).otherwise(F.lit(OTHER_LABEL)).alias("label"))
-              .agg(F.sum("count").alias("value")))
+    t = top.where(F.col("column_name").isin(first))
+    shown = t.where(F.col("rank") <= k).select("column_name", F.col("rank").alias("lp"), F.col("value").alias("label"),
+                                               F.col("count").alias("value"))
+    if totals is None:
+        other = t.where(F.col("rank") > k).groupBy("column_name").agg(F.sum("count").alias("value"))
+    else:
+        other = (totals.where(F.col("column_name").isin(first))
+                 .join(shown.groupBy("column_name").agg(F.sum("value").alias("s")), "column_name", "left")
+                 .select("column_name", (F.col("n") - F.coalesce("s", F.lit(0))).alias("value")))
+    folded = shown.unionByName(other.select("column_name", F.lit(k + 1).alias("lp"), F.lit(OTHER_LABEL).alias("label"), "value"))
     types = F.array(*[F.lit(x) for x in CATEGORY_CHART_TYPES])
-    return folded.where(F.col("value") > 0).select(
+    return folded.withColumn("cp", _position("column_name", first)).where(F.col("value") > 0).select(
         F.concat(F.lit("category:"), F.col("column_name")).alias("chart"),
         F.element_at(types, ((F.col("cp") - 1) % len(CATEGORY_CHART_TYPES) + 1).cast("int")).alias("chart_type"),
         F.lit(1).alias("series_pos"), F.col("column_name").alias("series"),
@@ -96,6 +106,12 @@ def chart_category_topk_other(top10: DataFrame, categorical_cols: list[str], k:
         F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("color"))
 
 
+def category_totals(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, n): non-null cells of each column, one aggregate."""
+    one = df.agg(*[F.count(column(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+    return _explode(one, [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n")) for i, c in enumerate(cols)])
+
+
 def chart_completeness(df: DataFrame, only_if_missing: bool = False) -> DataFrame:
     """Complete cells vs missing cells (pie); optionally only when cells are missing."""
     m = missing_by_dataset(df)
@@ -115,8 +131,8 @@ def chart_top_correlations(top: DataFrame) -> DataFrame:
         F.when(F.col("r") > 0, F.lit(POSITIVE_COLOR)).otherwise(F.lit(NEGATIVE_COLOR)).alias("color"))
 
 
-def chart_correlation_profile(matrix: DataFrame, variables: list[str], n: int = 8) -> DataFrame:
-    """Mean |r| of each of the first ``n`` variables with the other ones among them (radar);
+def chart_correlation_profile(matrix: DataFrame, variables: list[str], n: int | None = None) -> DataFrame:
+    """Mean |r| of each variable with the others (radar; ``n``: among the first n only);
     empty with fewer than two variables."""
     first = variables[:n]
     if len(first) < 2:
@@ -180,14 +196,18 @@ def auto_charts(analysis_type: str, *, df: DataFrame | None = None, describe: Da
     ``materialize`` they are checkpointed once into the shared folder so each
     chart reads them instead of recomputing their passes."""
     if materialize:
-        describe, top10, top, matrix = [cut_lineage(t) if t is not None else None for t in (describe, top10, top, matrix)]
+        descriptive = analysis_type == "descriptive"
+        describe, top10 = [cut_lineage(t) if t is not None and descriptive else t for t in (describe, top10)]
+        if matrix is not None and analysis_type == "correlation":
+            matrix = cut_lineage(matrix)
+            top = top_correlations(matrix)  # from the written matrix: it is aggregated once
     parts: list[DataFrame] = []
     if analysis_type == "descriptive":
         parts.append(chart_composition(df))
         if numeric_cols:
             parts += [chart_five_number(describe, numeric_cols), chart_median_vs_mean(describe, numeric_cols)]
         if categorical_cols:
-            parts.append(chart_category_topk_other(top10, categorical_cols))
+            parts.append(chart_category_topk_other(top10, categorical_cols, totals=category_totals(df, categorical_cols)))
         parts.append(chart_completeness(df, only_if_missing=True))
     elif analysis_type == "correlation":
         parts += [chart_top_correlations(top), chart_correlation_profile(matrix, variables)]
@@ -261,8 +281,8 @@ def chart_heatmap(matrix: DataFrame) -> DataFrame:
         F.col("r").alias("value"), F.lit(None).cast("string").alias("color"))
 
 
-def chart_box(describe: DataFrame, numeric_cols: list[str], n: int = 5) -> DataFrame:
-    """Box plot data: five-number summary of the first ``n`` numeric columns."""
+def chart_box(describe: DataFrame, numeric_cols: list[str], n: int | None = None) -> DataFrame:
+    """Box plot data: five-number summary of the numeric columns."""
     rows = chart_five_number(describe, numeric_cols, n)
     return rows.withColumn("chart", F.lit("box")).withColumn("chart_type", F.lit("boxplot"))
 

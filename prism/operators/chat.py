@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import column
 from prism.functions.text import classify_type
 from prism.operators.roles import roles
 
-# Suggestion codes in the reference's order (analysis suggestions, first 6;
-# chart suggestions, first 5).
-ANALYSIS_SUGGESTIONS_MAX = 6
-CHART_SUGGESTIONS_MAX = 5
 
 
 def intent_distribution(messages: DataFrame, text: str, by_role: str | None = None) -> DataFrame:
@@ -22,23 +19,29 @@ def intent_distribution(messages: DataFrame, text: str, by_role: str | None = No
 
 def role_profile(df: DataFrame, name: str) -> DataFrame:
     """One row (dataset, rows, numeric_columns, categorical_columns, numeric_names,
-    categorical_names). Roles come from the schema (in schema order); the row
-    count is one aggregate over the data -- no per-column distinct work."""
+    categorical_names): the columns, in schema order, whose values differ. A column without
+    values or with a single one is of no use to any suggestion. One aggregate."""
     r = roles(df)
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(name).alias("dataset"), "rows",
-        F.lit(len(r.numeric)).cast("bigint").alias("numeric_columns"),
-        F.lit(len(r.categorical)).cast("bigint").alias("categorical_columns"),
-        F.array(*[F.lit(c) for c in r.numeric]).cast("array<string>").alias("numeric_names"),
-        F.array(*[F.lit(c) for c in r.categorical]).cast("array<string>").alias("categorical_names"))
+    bounds = [x for c in (*r.numeric, *r.categorical) for x in (F.min(column(c)).alias(f"least {c}"), F.max(column(c)).alias(f"most {c}"))]
 
+    def varying(names: list[str]) -> Column:
+        kept = [F.when(column(f"least {c}") < column(f"most {c}"), F.lit(c)) for c in names]
+        return F.array_compact(F.array(*kept).cast("array<string>"))
 
-def _first(codes: list[Column], k: int) -> Column:
-    return F.slice(F.array_compact(F.array(*codes)), 1, k)
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *bounds)
+    return one.select(F.lit(name).alias("dataset"), "rows", varying(r.numeric).alias("numeric_names"),
+                      varying(r.categorical).alias("categorical_names")).select(
+        "dataset", "rows", F.size("numeric_names").cast("bigint").alias("numeric_columns"),
+        F.size("categorical_names").cast("bigint").alias("categorical_columns"), "numeric_names", "categorical_names")
 
 
-def analysis_suggestions(profiles: DataFrame) -> DataFrame:
-    """T4: (dataset, codes) -- ordered suggestions from a role profile, first 6."""
+def _first(codes: list[Column], k: int | None) -> Column:
+    given = F.array_compact(F.array(*codes))
+    return given if k is None else F.slice(given, 1, k)
+
+
+def analysis_suggestions(profiles: DataFrame, n_shown: int | None = None) -> DataFrame:
+    """T4: (dataset, codes) -- ordered suggestions from a role profile; ``n_shown`` keeps the first."""
     n, c = F.col("numeric_columns"), F.col("categorical_columns")
     codes = [
         F.lit("show_structure"),
@@ -47,22 +50,23 @@ def analysis_suggestions(profiles: DataFrame) -> DataFrame:
         F.when(c >= 1, F.lit("category_distribution")),
         F.lit("data_quality"), F.lit("suggest_visualizations"),
     ]
-    return profiles.select("dataset", _first(codes, ANALYSIS_SUGGESTIONS_MAX).alias("codes"))
+    return profiles.select("dataset", _first(codes, n_shown).alias("codes"))
 
 
-def chart_suggestions(profiles: DataFrame) -> DataFrame:
+def chart_suggestions(profiles: DataFrame, n_shown: int | None = None) -> DataFrame:
     """T5: (dataset, codes) -- scatter of the first two numeric columns, correlation
-    matrix, histogram of the first numeric, box plot, bar of the first categorical; first 5."""
+    matrix, histogram of the first numeric, box plot, bar of the first categorical;
+    ``n_shown`` keeps the first."""
     n, c = F.col("numeric_columns"), F.col("categorical_columns")
     num, cat = F.col("numeric_names"), F.col("categorical_names")
     codes = [
-        F.when(n >= 2, F.concat(F.lit("scatter:"), num[0], F.lit(" vs "), num[1])),
+        F.when(n >= 2, F.concat(F.lit("scatter:"), F.get(num, F.lit(0)), F.lit(" vs "), F.get(num, F.lit(1)))),
         F.when(n >= 2, F.lit("correlation_matrix")),
-        F.when(n >= 1, F.concat(F.lit("histogram:"), num[0])),
+        F.when(n >= 1, F.concat(F.lit("histogram:"), F.get(num, F.lit(0)))),
         F.when(n >= 1, F.lit("box_outliers")),
-        F.when(c >= 1, F.concat(F.lit("bar:"), cat[0])),
+        F.when(c >= 1, F.concat(F.lit("bar:"), F.get(cat, F.lit(0)))),
     ]
-    return profiles.select("dataset", _first(codes, CHART_SUGGESTIONS_MAX).alias("codes"))
+    return profiles.select("dataset", _first(codes, n_shown).alias("codes"))
 
 
 def feedback_rollup(messages: DataFrame, role: str, helpful: Column) -> DataFrame:

@@ -2,21 +2,23 @@
 
 Pearson r with pairwise deletion: for each pair only rows where both values are
 present count, and a pair without variance in its overlap gives 0 (the
-reference fills NaN with 0). Everything is global aggregation with map-side
-partial aggregation; the matrix itself has (#columns)^2 rows.
+reference fills NaN with 0). Tasks sum blocks of moments; the matrix itself has
+(#columns)^2 rows.
 ``F.corr`` is avoided: it raises on a zero variance under ANSI mode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prism.functions.sqltext import clean_double, dlit, q
+from prism.functions.sqltext import clean_double, q
 from prism.operators.roles import roles
-from prism.operators.working import release_with, working_set
 
 
 def _clean(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def constant_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else roles(df).numeric
     work = _clean(df, cols)
     one = work.agg(*[x for i, c in enumerate(cols) for x in
-                     (F.count(c).alias(f"n{i}"), F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}"))])
+                     (F.count(q(c)).alias(f"n{i}"), F.min(q(c)).alias(f"mn{i}"), F.max(q(c)).alias(f"mx{i}"))])
     return one.select(F.inline(F.array(*[
         F.struct(
             F.lit(i + 1).alias("pos"),
@@ -47,67 +49,102 @@ def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple
     Collects one row per column (bounded by the schema, not the data)."""
     facts = constant_columns(df, cols).orderBy("pos").collect()
     kept = [r["column_name"] for r in facts if not r["is_constant"]]
-    return df.select(*kept), len(facts) - len(kept), kept
-
-
-def correlation_matrix(df: DataFrame, cols: list[str] | None = None, rel_tol: float = 1e-12,
-                       persist: bool = False) -> DataFrame:
+    return df.select(*map(q, kept)), len(facts) - len(kept), kept
+
+
+def _pair_moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments of every ordered pair (i, j) over the rows of ``x`` (NaN: missing) that have both
+    values: n, and of column i its mean, centred sum of squares, least and greatest; and the
+    centred cross products. Each pair is centred on its own overlap."""
+    k, there = x.shape[1], ~np.isnan(x)
+    m = {"n": np.zeros((k, k)), "mean": np.zeros((k, k)), "square": np.zeros((k, k)), "cross": np.zeros((k, k)),
+         "least": np.full((k, k), np.inf), "most": np.full((k, k), -np.inf)}
+    whole = np.flatnonzero(there.all(0))
+    gaps = np.flatnonzero(~there.all(0) & there.any(0))
+
+    def put(i: np.ndarray, j: np.ndarray, own: np.ndarray, other: np.ndarray) -> None:
+        """Columns i against columns j over the same rows, both complete."""
+        mean_i, mean_j = own.mean(0), other.mean(0)
+        d, e = own - mean_i, other - mean_j
+        cross, at = d.T @ e, np.ix_(i, j)
+        back = np.ix_(j, i)
+        m["n"][at], m["n"][back] = len(own), len(own)
+        m["cross"][at], m["cross"][back] = cross, cross.T
+        for cols, values, mean, centred, place in ((i, own, mean_i, d, at), (j, other, mean_j, e, back)):
+            m["mean"][place], m["square"][place] = mean[:, None], (centred * centred).sum(0)[:, None]
+            m["least"][place], m["most"][place] = values.min(0)[:, None], values.max(0)[:, None]
+
+    if len(whole) and len(x):
+        put(whole, whole, x[:, whole], x[:, whole])
+    for place, j in enumerate(gaps):
+        rows = there[:, j]
+        if len(whole):
+            put(whole, np.array([j]), x[np.ix_(rows, whole)], x[rows][:, [j]])
+        for i in gaps[place:]:
+            both = rows & there[:, i]
+            if both.any():
+                put(np.array([i]), np.array([j]), x[both][:, [i]], x[both][:, [j]])
+    return m
+
+
+def _merge(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Moments of two sets of rows together (pairwise update of means and co-moments)."""
+    n = a["n"] + b["n"]
+    share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+    apart, weight = b["mean"] - a["mean"], a["n"] * share
+    return {"n": n, "mean": a["mean"] + apart * share, "square": a["square"] + b["square"] + apart * apart * weight,
+            "cross": a["cross"] + b["cross"] + apart * apart.T * weight,
+            "least": np.minimum(a["least"], b["least"]), "most": np.maximum(a["most"], b["most"])}
+
+
+def _partition_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            own = _pair_moments(x)
+            held = own if held is None else _merge(held, own)
+    if held is not None:
+        i, j = np.triu_indices(len(held["n"]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (i, j, held["n"][i, j], held["mean"][i, j], held["mean"][j, i], held["square"][i, j],
+                                   held["square"][j, i], held["cross"][i, j], held["least"][i, j], held["most"][i, j],
+                                   held["least"][j, i], held["most"][j, i])], MOMENTS)
+
+
+MOMENTS = ["i", "j", "n", "mean1", "mean2", "square1", "square2", "cross", "least1", "most1", "least2", "most2"]
+
+
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal.
 
-    Two global aggregates. The first gives each column's mean and non-null count
-    (one row); the second sums *centred* values, squares and cross products --
-    plain ``sum`` aggregates, cheap and well conditioned because the centring
-    removes the mean. Pairs involving a column with missing values sum over the
-    pairwise-complete rows only. A variance below ``rel_tol`` of the sum of
-    squares counts as zero (no variance -> r = 0). Both passes are cheap
-    code-generated aggregates, so by default the input is scanned twice rather
-    than cached (``persist=True`` caches the projection, for expensive inputs).
+    One scan: each task sums the moments of all pairs over its rows as blocks (columns
+    squared numbers, whatever the rows), every pair centred on its own overlap, and one row
+    a pair and task is shuffled. The tasks' moments are then joined around the common mean.
+    A pair whose overlap holds one distinct value of either column has r = 0.
     """
     cols = list(cols) if cols is not None else roles(df).numeric
-    work = _clean(df, cols)
-    if persist:
-        work = working_set(work)
-    first = work.agg(F.count(F.lit(1)).alias("N"),
-                     *[x for i, c in enumerate(cols) for x in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"))]).first()
-    total = first["N"]
-    mean = [first[f"m{i}"] if first[f"m{i}"] is not None else 0.0 for i in range(len(cols))]
-    full = [first[f"n{i}"] == total for i in range(len(cols))]
-    dev = [f"({q(c)} - {dlit(mean[i])})" for i, c in enumerate(cols)]
-    exprs: list[str] = []
-    for i in range(len(cols)):
-        exprs += [f"count({q(cols[i])}) AS n{i}", f"sum({dev[i]}) AS s{i}", f"sum({dev[i]} * {dev[i]}) AS q{i}"]
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            exprs.append(f"sum({dev[i]} * {dev[j]}) AS x{i}_{j}")
-            if not (full[i] and full[j]):
-                both = f"{q(cols[i])} IS NOT NULL AND {q(cols[j])} IS NOT NULL"
-                exprs += [f"count_if({both}) AS n{i}_{j}",
-                          f"sum(CASE WHEN {both} THEN {dev[i]} END) AS s{i}_{j}a",
-                          f"sum(CASE WHEN {both} THEN {dev[j]} END) AS s{i}_{j}b",
-                          f"sum(CASE WHEN {both} THEN {dev[i]} * {dev[i]} END) AS q{i}_{j}a",
-                          f"sum(CASE WHEN {both} THEN {dev[j]} * {dev[j]} END) AS q{i}_{j}b"]
-    one = work.agg(*[F.expr(e) for e in exprs])
-
-    def centred_var(n: str, s_: str, q_: str) -> str:
-        return f"CASE WHEN {n} > 0 AND ({q_} - {s_} * {s_} / {n}) > {dlit(rel_tol)} * {q_} THEN {q_} - {s_} * {s_} / {n} END"
-
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if i == j:
-                r = f"CASE WHEN ({centred_var(f'n{i}', f's{i}', f'q{i}')}) IS NOT NULL THEN 1.0D ELSE 0.0D END"
-            else:
-                x, y = min(i, j), max(i, j)
-                if full[x] and full[y]:
-                    n, sa, sb, qa, qb = f"n{x}", f"s{x}", f"s{y}", f"q{x}", f"q{y}"
-                else:
-                    n, sa, sb, qa, qb = f"n{x}_{y}", f"s{x}_{y}a", f"s{x}_{y}b", f"q{x}_{y}a", f"q{x}_{y}b"
-                cov = f"(x{x}_{y} - {sa} * {sb} / {n})"
-                den = f"sqrt(({centred_var(n, sa, qa)}) * ({centred_var(n, sb, qb)}))"
-                r = f"greatest(least(coalesce(try_divide({cov}, {den}), 0.0D), 1.0D), -1.0D)"
-            rows.append(f"named_struct('pos1', {i + 1}, 'var1', '{a}', 'pos2', {j + 1}, 'var2', '{b}', 'r', CAST({r} AS DOUBLE))")
-    out = one.selectExpr(f"inline(array({', '.join(rows)}))")
-    return release_with(out, work) if persist else out
+    spark = df.sparkSession
+    pairs = spark.createDataFrame([(i + 1, a, j + 1, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+                                  "pos1 int, var1 string, pos2 int, var2 string")
+    numbered = _clean(df, cols).toDF(*[f"c{i}" for i in range(len(cols))])
+    parts = numbered.mapInArrow(_partition_moments, "i long, j long, " + ", ".join(f"{c} double" for c in MOMENTS[2:]))
+    pair = Window.partitionBy("i", "j")
+    for k in "12":
+        common = F.sum(F.col("n") * F.col(f"mean{k}")).over(pair) / F.sum("n").over(pair)
+        parts = parts.withColumn(f"apart{k}", F.when(F.col("n") > 0, F.col(f"mean{k}") - common).otherwise(0.0))
+    parts = parts.where("n > 0")
+
+    def total(moment: str, one: str, two: str):
+        return F.sum(F.col(moment) + F.col("n") * F.col(f"apart{one}") * F.col(f"apart{two}"))
+
+    varies = [F.min(f"least{k}") < F.max(f"most{k}") for k in "12"]
+    r = F.when(varies[0] & varies[1], total("cross", "1", "2") / F.sqrt(total("square1", "1", "1") * total("square2", "2", "2")))
+    found = parts.groupBy("i", "j").agg(r.alias("r"))
+    r = F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.greatest(F.least(F.col("r"), F.lit(1.0)), F.lit(-1.0)))
+    one_way = (F.least("pos1", "pos2") - 1 == F.col("i")) & (F.greatest("pos1", "pos2") - 1 == F.col("j"))
+    r = F.when((F.col("pos1") == F.col("pos2")) & (r > 0), 1.0).otherwise(r)
+    return pairs.join(found, one_way, "left").select("pos1", "var1", "pos2", "var2", r.alias("r"))
 
 
 def top_correlations(matrix: DataFrame, n: int = 10) -> DataFrame:

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.functions.missing import is_missing
-from prism.functions.sqltext import clean_double, dlit, q
+from prism.functions.sqltext import clean_double, column, dlit, q, slit
 from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
 from prism.operators.roles import roles
-from prism.operators.working import spread, working_set
+from prism.operators.working import working_set
 
 QUARTILES = [0.25, 0.5, 0.75]
+DESCRIBE_SCHEMA = ("column_name string, count bigint, mean double, std double, min double, q25 double, "
+                   "q50 double, q75 double, max double, median double")
 
 
 def total_missing_expr(df: DataFrame) -> Column:
@@ -46,7 +48,7 @@ def _describe_long(one: DataFrame, cols: list[str], q_sql, stat_sql) -> DataFram
     """Unpivot the one-row result to one row per column (one SQL projection)."""
     rows = []
     for i, c in enumerate(cols):
-        fields = [("column_name", f"'{c}'"), ("count", f"CAST({stat_sql(i, 'n')} AS BIGINT)"),
+        fields = [("column_name", slit(c)), ("count", f"CAST({stat_sql(i, 'n')} AS BIGINT)"),
                   ("mean", f"CAST({stat_sql(i, 'mean')} AS DOUBLE)"), ("std", f"CAST({stat_sql(i, 'std')} AS DOUBLE)"),
                   ("min", f"CAST({stat_sql(i, 'min')} AS DOUBLE)"), ("q25", q_sql(i, c, 0.25)), ("q50", q_sql(i, c, 0.5)),
                   ("q75", q_sql(i, c, 0.75)), ("max", f"CAST({stat_sql(i, 'max')} AS DOUBLE)"), ("median", q_sql(i, c, 0.5))]
@@ -72,9 +74,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
     """
     work, cols = _numeric_frame(df, cols)
     if not cols:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, count bigint, mean double, std double, min double, q25 double, "
-            "q50 double, q75 double, max double, median double")
+        return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
     cached = working_set(work)
     extra = [F.expr(f"{fn}({q(c)}) AS {k}{i}") for i, c in enumerate(cols)
              for fn, k in (("avg", "mean"), ("stddev_samp", "std"))]
@@ -96,37 +96,47 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
 
 def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """A3: A2 with GK-sketch quantiles (one pass, bounded memory)."""
-    work, cols = _numeric_frame(spread(df), cols)
+    work, cols = _numeric_frame(df, cols)
+    if not cols:
+        return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
     aggs = _moments(cols) + [
-        F.percentile_approx(c, QUARTILES, accuracy).alias(f"ap{i}") for i, c in enumerate(cols)
+        F.percentile_approx(q(c), QUARTILES, accuracy).alias(f"ap{i}") for i, c in enumerate(cols)
     ]
     one = work.agg(*aggs)
     return _describe_long(one, cols, lambda i, c, p: f"ap{i}[{QUARTILES.index(p)}]", lambda i, k: f"{k}{i}")
 
 
 def _categorical_long(df: DataFrame, cols: list[str] | None) -> DataFrame:
+    """(column_name, value) of every non-null text cell, one narrow scan a column."""
     cols = list(cols) if cols is not None else roles(df).categorical
-    return (
-        df.select(*[F.col(c).cast("string").alias(c) for c in cols])
-        .unpivot([], cols, "column_name", "value")
-        .where(F.col("value").isNotNull())
-    )
+    out = df.sparkSession.createDataFrame([], "column_name string, value string")
+    for name in cols:
+        own = column(name).cast("string")
+        out = out.union(df.where(own.isNotNull()).select(F.lit(name).alias("column_name"), own.alias("value")))
+    return out
 
 
-def categorical_nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """A4: (column_name, unique_values): distinct non-null values per text column.
+def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """(column_name, n): exact distinct non-missing values of each column. Every column is a narrow scan of
+    its own (columnar files read each byte once), combined before the shuffle: no row is expanded, and only a
+    column's distinct values move."""
+    fields = [f for f in df.schema.fields if cols is None or f.name in cols]
+    out = df.sparkSession.createDataFrame([], "column_name string, n bigint")
+    for f in fields:
+        values = df.where(~is_missing(f.name, f.dataType)).select(column(f.name).alias("v")).groupBy("v").agg(F.lit(1).alias("one"))
+        out = out.union(values.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f.name).alias("column_name"), "n"))
+    return out
 
-    Shuffles on (column, value) after a map-side distinct, so a hot value or a
-    high-cardinality column is spread over all tasks.
-    """
+
+def categorical_nunique(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
+    """A4: (column_name, unique_values): distinct non-null values per text column;
+    ``approx`` uses HyperLogLog++ sketches in one scan."""
     cols = list(cols) if cols is not None else roles(df).categorical
-    if approx:
-        one = df.agg(*[F.approx_count_distinct(c).alias(f"u{i}") for i, c in enumerate(cols)])
-    else:
-        one = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(cols)])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").cast("bigint").alias("unique_values"))
-            for i, c in enumerate(cols)]
-    return one.select(F.inline(F.array(*rows)))
+    if not approx or not cols:
+        return distinct_counts(df, cols).select("column_name", F.col("n").alias("unique_values"))
+    one = df.agg(*[F.approx_count_distinct(q(c)).alias(f"u{i}") for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"u{i}").cast("bigint").alias("unique_values")) for i, c in enumerate(cols)])))
 
 
 def categorical_top10(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> DataFrame:

@@ -83,18 +83,19 @@ def similar_items(items: DataFrame, group_cols: list[str], id_col: str, order: l
     never quadratic in a group.
     """
     w = Window.partitionBy(*group_cols).orderBy(*order)
-    head = (items.withColumn("_gr", F.row_number().over(w)).where(F.col("_gr") <= n + 1)
-            .select(*[F.col(g).alias(f"_h_{g}") for g in group_cols], F.col(id_col).alias("similar_id"), "_gr"))
-    cond = [items[g] == head[f"_h_{g}"] for g in group_cols]
-    pairs = items.select(*group_cols, id_col).join(head, cond, "inner").where(F.col(id_col) != F.col("similar_id"))
-    w2 = Window.partitionBy(id_col).orderBy("_gr")
-    return (pairs.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
-            .select(id_col, "similar_id", F.col("rank").cast("bigint").alias("rank")))
+    heads = (items.withColumn("_gr", F.row_number().over(w)).where(F.col("_gr") <= n + 1)
+             .groupBy(*[F.col(g).alias(f"_h_{g}") for g in group_cols])
+             .agg(F.sort_array(F.collect_list(F.struct("_gr", F.col(id_col).alias("id")))).alias("_heads")))
+    cond = [items[g] == heads[f"_h_{g}"] for g in group_cols]
+    others = F.slice(F.filter("_heads", lambda h: h["id"] != F.col(id_col)), 1, n)
+    return (items.select(*group_cols, id_col).join(heads, cond, "inner")
+            .select(id_col, F.posexplode(others).alias("_at", "_head"))
+            .select(id_col, F.col("_head.id").alias("similar_id"), (F.col("_at") + 1).cast("bigint").alias("rank")))
 
 
 def preset_eligibility(profiles: DataFrame, presets: DataFrame) -> DataFrame:
     """Theta join -- presets whose minimum column counts a dataset meets.
-    ``presets`` is a fixed, small list (broadcast); profiles stream past it."""
+    Catalyst broadcasts ``presets`` if its size allows."""
     cond = ((profiles["numeric_columns"] >= presets["min_numeric_columns"])
             & (profiles["categorical_columns"] >= presets["min_categorical_columns"]))
-    return profiles.join(F.broadcast(presets), cond, "inner")
+    return profiles.join(presets, cond, "inner")

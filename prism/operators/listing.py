@@ -67,6 +67,14 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: list[str], after: list | None, size: int) -> DataFrame:
+    """F6 by key: the ``size`` rows that follow the row with the values ``after`` in the ascending total
+    ``order`` (None: the first page). A deep page costs a filter and a top-k, no offset."""
+    if after is not None:
+        df = df.where(F.struct(*order) > F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, after)]))
+    return df.orderBy(*order).limit(size)
+
+
 def visualization_browser(df: DataFrame, *, type_col: str, type_value=None, search_cols: list[str],
                           search: str | None, parent_col: str, parent=None, sort: str | None,
                           allowed: list[str], default: list[Column], key: list[str], number: int = 1,

@@ -13,6 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import column
 from prism.functions.missing import clean_numeric
 from prism.operators.quality import drop_missing
 from prism.operators.roles import roles
@@ -157,17 +158,18 @@ class ClusterResult:
     k: int
 
 
-def kmeans(df: DataFrame, cols: list[str] | None = None, k: int | None = DEFAULT_K, seeds: tuple[int, ...] = (42, 7, 1234),
+def kmeans(df: DataFrame, cols: list[str] | None = None, k: int | None = DEFAULT_K, seeds: tuple[int, ...] = (42,),
            max_iter: int = 50) -> ClusterResult:
-    """M6: k-means on standard-scaled numeric columns; best of several seeds by
-    training cost; labels canonicalised by sorting the centres."""
+    """M6: k-means on standard-scaled numeric columns (the best of ``seeds`` by training
+    cost); labels are canonicalised by sorting the centres. ``assigned`` keeps all input
+    columns of the complete rows and adds the scaled columns, ``cluster`` and ``dist2``."""
     k = DEFAULT_K if k in (None, "") else int(k)
     if not (K_RANGE[0] <= k <= K_RANGE[1]):
         raise ValueError(f"k_out_of_range:{k}")
     cols = list(cols) if cols else roles(df).numeric
     if len(cols) < 2:
         raise ValueError("too_few_numeric_for_clustering")
-    data = working_set(drop_missing(df.select(*[clean_numeric(c).alias(c) for c in cols]), cols))
+    data = working_set(drop_missing(df.select(*[clean_numeric(c).alias(c) if c in cols else column(c) for c in df.columns]), cols))
     n = data.count()
     if n < k:
         data.unpersist()

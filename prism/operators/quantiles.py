@@ -158,7 +158,7 @@ def plan_exact_quantiles(
         for p in probs:
             d = 4.0 * math.sqrt(max(p * (1 - p), 1.0 / m) / m) + 2.0 / m + 2.0 / accuracy
             qs += [max(0.0, p - d), min(1.0, p + d)]
-        sketches.append(F.percentile_approx(c, qs, accuracy).alias(f"ap{i}"))
+        sketches.append(F.percentile_approx(q(c), qs, accuracy).alias(f"ap{i}"))
     sk = sample.agg(*sketches).first()
     targets: dict[tuple[str, float], _Target] = {}
     tid = 0

@@ -6,6 +6,7 @@ integral/fractional/decimal type (bool excluded), categorical is text.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql.types import (
 )
 
 from prism.functions.missing import is_missing
-from prism.operators.working import spread
+from prism.functions.sqltext import column, q
 
 # Fixed byte widths of the logical size estimate (P7): width of one value by Spark type name.
 FIXED_WIDTHS = {
@@ -66,58 +67,64 @@ def _long(rows: list[Column]) -> Column:
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """(pos, column_name, dtype, role, missing, distinct) -- one aggregate pass.
+    """(pos, column_name, dtype, role, missing, distinct).
 
-    Distinct counts exclude missing values (NaN included), as pandas ``nunique``.
-    Exact distinct counts expand each row once per column and shuffle on
-    (column, value); ``approx=True`` uses HyperLogLog++ sketches instead
-    (fixed-size buffers, no shuffle of values) for very wide or very large tables.
+    Missing cells of all columns are one aggregate. Distinct counts exclude missing values
+    (NaN included), as pandas ``nunique``; see :func:`prism.operators.describe.distinct_counts`.
+    ``approx=True`` uses HyperLogLog++ sketches in the same single pass.
     """
+    from prism.operators.describe import distinct_counts
+
     fields = df.schema.fields
-    df = spread(df)
-    aggs = []
-    for i, f in enumerate(fields):
-        miss = is_missing(f.name, f.dataType)
-        aggs.append(F.count_if(miss).alias(f"m{i}"))
-        present = F.when(~miss, F.col(f.name))
-        aggs.append((F.approx_count_distinct(present) if approx else F.count_distinct(present)).alias(f"d{i}"))
-    one = df.agg(*aggs)
-    rows = [
+    aggs = [F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]
+    if approx:
+        aggs += [F.approx_count_distinct(F.when(~is_missing(f.name, f.dataType), column(f.name))).alias(f"d{i}")
+                 for i, f in enumerate(fields)]
+    rows = df.agg(*aggs).select(_long([
         F.struct(
             F.lit(i + 1).alias("pos"),
             F.lit(f.name).alias("column_name"),
             F.lit(f.dataType.simpleString()).alias("dtype"),
             F.lit(role_of(f.dataType)).alias("role"),
             F.col(f"m{i}").alias("missing"),
-            F.col(f"d{i}").alias("distinct"),
+            *([F.col(f"d{i}").alias("distinct")] if approx else []),
         )
         for i, f in enumerate(fields)
-    ]
-    return one.select(_long(rows))
+    ]))
+    if approx:
+        return rows
+    return (rows.join(distinct_counts(df).withColumnRenamed("n", "distinct"), "column_name")
+            .select("pos", "column_name", "dtype", "role", "missing", "distinct"))
 
 
 def numeric_projection(df: DataFrame) -> DataFrame:
     """Only the numeric columns."""
-    return df.select(*roles(df).numeric)
-
-
-def date_candidates(df: DataFrame, n: int = 100) -> DataFrame:
-    """(column_name, is_date) for every text column whose first ``n`` non-null
-    values all parse as timestamps. Each probe reads at most ``n`` rows."""
-    out = None
-    for name in roles(df).categorical:
-        probe = (
-            df.select(F.col(name).alias("v")).where(F.col("v").isNotNull()).limit(n)
-            .agg(
-                F.coalesce(F.bool_and(F.try_to_timestamp(F.col("v")).isNotNull()), F.lit(False)).alias("is_date"),
-                F.count(F.lit(1)).alias("n"),
-            )
-            .select(F.lit(name).alias("column_name"), (F.col("is_date") & (F.col("n") > 0)).alias("is_date"))
-        )
-        out = probe if out is None else out.unionByName(probe)
-    if out is None:
+    return df.select(*map(q, roles(df).numeric))
+
+
+def date_candidates(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """(column_name, is_date) for every text column: do all its non-null values parse as
+    timestamps, in ISO form or in one of ``formats``? One aggregate over all rows; a
+    column without values is no date."""
+    names = roles(df).categorical
+    if not names:
         return df.sparkSession.createDataFrame([], "column_name string, is_date boolean")
-    return out
+    one = df.agg(*[F.bool_and(parse_timestamp(column(n), formats).isNotNull() | column(n).isNull()).alias(f"a{i}")
+                   for i, n in enumerate(names)],
+                 *[F.count(column(n)).alias(f"n{i}") for i, n in enumerate(names)])
+    return one.select(_long([
+        F.struct(F.lit(n).alias("column_name"), (F.coalesce(F.col(f"a{i}"), F.lit(False)) & (F.col(f"n{i}") > 0)).alias("is_date"))
+        for i, n in enumerate(names)]))
+
+
+#: The day-first and other common forms tried after ISO; a value takes the first that fits.
+DATE_FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd"]
+
+
+def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
+    """Text as timestamp, else null: ISO first, then ``formats`` (default: day-first forms)."""
+    return F.coalesce(F.try_to_timestamp(text),
+                      *[F.try_to_timestamp(text, F.lit(f)) for f in (DATE_FORMATS if formats is None else formats)])
 
 
 def preview_head(df: DataFrame, key: list[str] | str, n: int = 10) -> DataFrame:
@@ -132,8 +139,12 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def dtype_histogram(df: DataFrame) -> DataFrame:
-    """Number of columns per dtype, folded from the P1 profile rows."""
-    return column_profile(df).groupBy("dtype").agg(F.count(F.lit(1)).alias("n"))
+    """(dtype, n, n_empty): columns per dtype, and how many of them hold no value; one aggregate."""
+    fields = df.schema.fields
+    one = df.agg(*[F.count_if(~is_missing(f.name, f.dataType)).alias(f"n{i}") for i, f in enumerate(fields)])
+    rows = one.select(_long([F.struct(F.lit(f.dataType.simpleString()).alias("dtype"), (F.col(f"n{i}") == 0).alias("empty"))
+                             for i, f in enumerate(fields)]))
+    return rows.groupBy("dtype").agg(F.count(F.lit(1)).alias("n"), F.count_if("empty").alias("n_empty"))
 
 
 def size_expr(df: DataFrame) -> Column:
@@ -142,13 +153,13 @@ def size_expr(df: DataFrame) -> Column:
     for f in df.schema.fields:
         t = f.dataType.simpleString()
         if t in FIXED_WIDTHS:
-            parts.append(F.count(F.col(f.name)) * F.lit(FIXED_WIDTHS[t]))
+            parts.append(F.count(column(f.name)) * F.lit(FIXED_WIDTHS[t]))
         elif isinstance(f.dataType, (StringType, VarcharType, CharType)):
-            parts.append(F.coalesce(F.sum(F.octet_length(F.col(f.name))), F.lit(0)))
+            parts.append(F.coalesce(F.sum(F.octet_length(column(f.name))), F.lit(0)))
         elif isinstance(f.dataType, DecimalType):
-            parts.append(F.count(F.col(f.name)) * F.lit(16))
+            parts.append(F.count(column(f.name)) * F.lit(16))
         else:
-            parts.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(F.col(f.name))))), F.lit(0)))
+            parts.append(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(column(f.name))))), F.lit(0)))
     total = parts[0]
     for p in parts[1:]:
         total = total + p
@@ -163,7 +174,7 @@ def size_estimate(df: DataFrame) -> DataFrame:
 
 
 def dataset_card(df: DataFrame, name: str) -> DataFrame:
-    """One-row card (name, rows, columns, numeric, categorical, missing cells, bytes)."""
+    """One-row card (name, rows, columns, columns per role and per dtype, missing cells, bytes)."""
     r = roles(df)
     miss = [F.count_if(is_missing(f.name, f.dataType)) for f in df.schema.fields]
     total_missing = miss[0]
@@ -180,6 +191,8 @@ def dataset_card(df: DataFrame, name: str) -> DataFrame:
         F.lit(len(r.numeric)).cast("bigint").alias("numeric_columns"),
         F.lit(len(r.categorical)).cast("bigint").alias("categorical_columns"),
         F.lit(len(r.boolean)).cast("bigint").alias("boolean_columns"),
+        F.lit(", ".join(f"{t}: {k}" for t, k in sorted(Counter(f.dataType.simpleString() for f in df.schema.fields).items())))
+        .alias("dtypes"),
         "missing_cells",
         "bytes",
     )

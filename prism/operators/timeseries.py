@@ -8,23 +8,25 @@ from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampT
 
 from prism.functions.missing import clean_numeric
 from prism.functions.scalar import fn_iso_timestamp
+from prism.functions.sqltext import column
+from prism.operators.roles import parse_timestamp
 
 
-
-def as_timestamp(df: DataFrame, name: str):
-    """Column ``name`` as timestamp: real temporal types pass, text is parsed with
-    ``try_to_timestamp`` (unparsable text becomes NULL instead of failing)."""
+def as_timestamp(df: DataFrame, name: str, formats: list[str] | None = None):
+    """Column ``name`` as timestamp: real temporal types pass, text is parsed as ISO or by
+    ``formats`` (unparsable text becomes NULL instead of failing)."""
     t = df.schema[name].dataType
     if isinstance(t, (TimestampType, TimestampNTZType)):
-        return F.col(name)
+        return column(name)
     if isinstance(t, DateType):
-        return F.col(name).cast("timestamp_ntz")
+        return column(name).cast("timestamp_ntz")
     if isinstance(t, StringType):
-        return F.try_to_timestamp(F.col(name))
+        return parse_timestamp(column(name), formats)
     return F.lit(None).cast("timestamp_ntz")
 
 
-def timeseries_summary(df: DataFrame, date_column: str | None, value_column: str | None) -> DataFrame:
+def timeseries_summary(df: DataFrame, date_column: str | None, value_column: str | None,
+                       formats: list[str] | None = None) -> DataFrame:
     """(date_column, value_column, start, end, mean, std, min, max, n_observations, message).
 
     Rows missing a date or a value are dropped; a text date that fails to parse
@@ -42,8 +44,8 @@ def timeseries_summary(df: DataFrame, date_column: str | None, value_column: str
                 ("min", "double"), ("max", "double"), ("n_observations", "bigint")]],
             F.lit("missing_parameters").alias("message"),
         )
-    ts = as_timestamp(df, date_column)
-    raw = F.col(date_column)
+    ts = as_timestamp(df, date_column, formats)
+    raw = column(date_column)
     work = df.select(ts.alias("t"), raw.isNotNull().alias("has_raw"), clean_numeric(value_column).alias("v"))
     ok = F.col("t").isNotNull() & F.col("v").isNotNull()
     one = work.agg(

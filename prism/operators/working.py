@@ -2,9 +2,7 @@
 
 Exact quantiles, correlation and k-means read their (projected, cleaned) input
 several times. The projection is persisted once (MEMORY_AND_DISK: a lost
-executor only recomputes its blocks from lineage) and, when the input arrives
-in fewer splits than the cluster has cores (a file with a single row group),
-spread with a round-robin repartition first. The cache is released when the
+executor only recomputes its blocks from lineage). The cache is released when the
 result DataFrame that depends on it is garbage-collected.
 """
 
@@ -20,12 +18,12 @@ CACHE_CONF = "spark.prism.cacheWorkingSets"
 
 
 def working_set(df: DataFrame) -> DataFrame:
-    """Spread and persist ``df`` for several passes. Set ``spark.prism.cacheWorkingSets``
+    """Persist ``df`` for several passes. Set ``spark.prism.cacheWorkingSets``
     to ``false`` where re-reading the (compressed, column-pruned) source is cheaper
     than caching the projection, e.g. very wide scans on a cluster with slow local disks."""
     if df.sparkSession.conf.get(CACHE_CONF, "true").lower() == "false":
         return df
-    return spread(df).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def release_with(result: DataFrame, work: DataFrame) -> DataFrame:
@@ -40,10 +38,3 @@ def _quiet_unpersist(work: DataFrame) -> None:
         work.unpersist()
     except Exception:  # noqa: BLE001 -- session already stopped
         pass
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition when the input has fewer splits than cores (no-op
-    on inputs that are already split at least that finely)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

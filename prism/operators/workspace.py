@@ -63,6 +63,14 @@ def recent_activity_counts(df: DataFrame, owner: str, ts: str, asof: str, days:
     return df.groupBy(F.col(owner).alias("owner")).agg(F.count_if(since(ts, asof, days)).alias("n_recent"))
 
 
+def recent_activity(owners: DataFrame, owner_key: str, children: dict[str, tuple[DataFrame, str, str, str]],
+                    days: int = 7) -> DataFrame:
+    """A16 over several entities: (owner, one count a child) for every owner, 0 where idle.
+    ``children``: name -> (frame, owner column, time column, asof). Only recent rows are counted, per owner, before the joins."""
+    return workspace_counts(owners, owner_key, {
+        name: per_owner_counts(df.where(since(ts, asof, days)), owner, name) for name, (df, owner, ts, asof) in children.items()})
+
+
 def active_days(df: DataFrame, owner: str, ts: str, asof: str, days: int = 30) -> DataFrame:
     """(owner, days_active) -- distinct calendar days with activity in the window."""
     return (df.where(since(ts, asof, days))
@@ -99,21 +107,26 @@ def session_rollup(sessions: DataFrame, session_key: str, messages: DataFrame, m
             .select("session", "last_ts", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 
 
-def avg_per_session(messages: DataFrame, session_key: str) -> DataFrame:
-    """Total messages / max(number of sessions, 1)."""
-    return messages.agg(
-        (F.count(F.lit(1)) / F.greatest(F.count_distinct(session_key), F.lit(1))).alias("avg_messages_per_session"))
-
-
-def chat_stats(messages: DataFrame, session_key: str, role: str, message_class: Column) -> DataFrame:
-    """One row -- total sessions, active sessions (with a user message),
-    total messages and analysis messages (class data_analysis/data_exploration)."""
-    return messages.agg(
-        F.count_distinct(session_key).alias("total_sessions"),
-        F.count_distinct(F.when(F.col(role) == "user", F.col(session_key))).alias("active_sessions"),
-        F.count(F.lit(1)).alias("total_messages"),
-        F.count_if((F.col(role) == "user") & message_class.isin("data_analysis", "data_exploration")).alias("analysis_messages"),
-    )
+def avg_per_session(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Total messages / max(number of sessions, 1); sessions without messages count."""
+    counts = messages.agg(F.count(F.lit(1)).alias("m"), F.lit(0).cast("bigint").alias("s")).unionByName(
+        sessions.agg(F.lit(0).cast("bigint").alias("m"), F.count(F.lit(1)).alias("s")))
+    return counts.agg((F.sum("m") / F.greatest(F.sum("s"), F.lit(1))).alias("avg_messages_per_session"))
+
+
+def chat_stats(messages: DataFrame, session_key: str, role: str, message_class: Column, sessions: DataFrame,
+               key: str) -> DataFrame:
+    """One row -- all rows of ``sessions``, those with a user message, total messages and
+    analysis messages (class data_analysis/data_exploration). Messages are combined per
+    session before they meet the sessions."""
+    per = messages.groupBy(F.col(session_key).alias("_s")).agg(
+        F.count(F.lit(1)).alias("m"), F.count_if(F.col(role) == "user").alias("u"),
+        F.count_if((F.col(role) == "user") & message_class.isin("data_analysis", "data_exploration")).alias("a"))
+    own = sessions.select(F.col(key).alias("_s"), F.lit(1).alias("own"))
+    return own.join(per, "_s", "full").agg(
+        F.count("own").alias("total_sessions"), F.count_if((F.col("own") == 1) & (F.col("u") > 0)).alias("active_sessions"),
+        F.coalesce(F.sum("m"), F.lit(0)).cast("bigint").alias("total_messages"),
+        F.coalesce(F.sum("a"), F.lit(0)).cast("bigint").alias("analysis_messages"))
 
 
 def session_counters(messages: DataFrame, session_key: str, role: str, message_class: Column) -> DataFrame:

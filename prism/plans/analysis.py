@@ -1,16 +1,15 @@
 """run_analysis: validate, run one analysis type, shape its charts.
 
 Returns an ``AnalysisResult`` with a status instead of mutating a database row.
-Result tables are lazy DataFrames; the input is persisted once because every
-analysis runs several actions over it (validation, quantile passes, model fits).
+Result tables are lazy DataFrames over the caller's input, which is neither cached
+nor uncached here: a caller that wants it kept between the passes persists it itself.
 """
 
 from __future__ import annotations
 
-import weakref
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,6 @@ from prism.operators import model as M
 from prism.operators import quality as Q
 from prism.operators import timeseries as TS
 from prism.operators.roles import roles
-from prism.operators.working import _quiet_unpersist
 from prism.session import cut_lineage
 
 ANALYSIS_TYPES = ["descriptive", "correlation", "regression", "clustering", "timeseries"]
@@ -34,22 +32,16 @@ class AnalysisResult:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     charts: DataFrame | None = None
     validation: dict | None = None
-    source: DataFrame | None = None
-
-    def release(self) -> None:
-        if self.source is not None:
-            self.source.unpersist()
 
 
 def run_analysis(df: DataFrame, analysis_type: str, params: dict | None = None) -> AnalysisResult:
     params = params or {}
     if analysis_type not in ANALYSIS_TYPES:
         return AnalysisResult("failed", f"unsupported_analysis_type:{analysis_type}")
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    src = df
     try:
         v = Q.validate(src, analysis_type).first().asDict()
         if not v["is_valid"]:
-            src.unpersist()
             return AnalysisResult("failed", "validation_failed:" + "; ".join(v["errors"]), validation=v)
         r = roles(src)
         tables: dict[str, DataFrame] = {}
@@ -81,10 +73,6 @@ def run_analysis(df: DataFrame, analysis_type: str, params: dict | None = None)
             tables.update(clusters=res.profile.withColumn("inertia", F.lit(res.inertia)), assigned=res.assigned)
         elif analysis_type == "timeseries":
             tables["summary"] = TS.timeseries_summary(src, params.get("date_column"), params.get("value_column"))
-        result = AnalysisResult("completed", tables=tables, charts=charts, validation=v, source=src)
-        fin = weakref.finalize(result, _quiet_unpersist, src)  # also released when the result is dropped
-        fin.atexit = False
-        return result
-    except ValueError as e:
-        src.unpersist()
+        return AnalysisResult("completed", tables=tables, charts=charts, validation=v)
+    except (ValueError, PySparkException) as e:  # a bad parameter, such as a column that is not there
         return AnalysisResult("failed", str(e))

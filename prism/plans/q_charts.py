@@ -35,7 +35,7 @@ _C1 = " UNION ALL ".join(
     f"{i + 1} AS label_pos, {_q(lab)} AS label, CAST({v} AS DOUBLE) AS value, NULL::VARCHAR AS color "
     f"FROM (SELECT ({_TM}) AS tm FROM src) a"
     for i, (lab, v) in enumerate(zip(CH.COMPOSITION_LABELS, ["8", "2", "tm"])))
-_FIRST6, _FIRST5 = LINEITEM_NUMERIC[:6], LINEITEM_NUMERIC[:5]
+_FIRST6 = _FIRST5 = LINEITEM_NUMERIC
 _C2 = " UNION ALL ".join(
     f"SELECT 'five_number', 'radar', {_pos_case('column_name', _FIRST6)}, column_name, {i + 1}, {_q(lab)}, {s}, NULL::VARCHAR "
     f"FROM d WHERE column_name IN ({', '.join(_q(c) for c in _FIRST6)})"
@@ -44,10 +44,18 @@ _C3 = " UNION ALL ".join(
     f"SELECT 'median_vs_mean', 'bar', {sp}, {_q(name)}, {_pos_case('column_name', _FIRST5)}, column_name, {s}, NULL::VARCHAR "
     f"FROM d WHERE column_name IN ({', '.join(_q(c) for c in _FIRST5)})"
     for sp, name, s in [(1, CH.MEDIAN_SERIES, "median"), (2, CH.MEAN_SERIES, "mean")])
-_C4 = (f"SELECT 'category:' || column_name, CASE {_pos_case('column_name', LINEITEM_TEXT)} WHEN 1 THEN 'pie' WHEN 2 THEN 'doughnut' "
-       "WHEN 3 THEN 'polarArea' ELSE 'bar' END, 1, column_name, CAST(least(rank, 9) AS INTEGER), "
-       f"CASE WHEN rank <= 8 THEN value ELSE {_q(CH.OTHER_LABEL)} END, CAST(sum(count) AS DOUBLE), NULL::VARCHAR FROM t "
-       "GROUP BY column_name, least(rank, 9), CASE WHEN rank <= 8 THEN value ELSE 'Autres' END")
+
+
+def _c4(cols: list[str]) -> str:
+    kind = f"CASE {_pos_case('column_name', cols)} WHEN 1 THEN 'pie' WHEN 2 THEN 'doughnut' WHEN 3 THEN 'polarArea' ELSE 'bar' END"
+    totals = " UNION ALL ".join(f"SELECT {_q(c)} AS column_name, count({c}) AS n FROM src" for c in cols)
+    return (f"SELECT 'category:' || column_name, {kind}, 1, column_name, CAST(rank AS INTEGER), value, CAST(count AS DOUBLE), NULL::VARCHAR "
+            f"FROM t WHERE rank <= 8 UNION ALL SELECT 'category:' || column_name, {kind}, 1, column_name, 9, 'Autres', CAST(n - shown AS DOUBLE), "
+            f"NULL::VARCHAR FROM (SELECT o.column_name, o.n, coalesce(sum(t.count), 0) AS shown FROM ({totals}) o LEFT JOIN t "
+            "ON t.column_name = o.column_name AND t.rank <= 8 GROUP BY ALL) WHERE n > shown")
+
+
+_C4 = _c4(LINEITEM_TEXT)
 _C5 = (f"SELECT 'completeness', 'pie', 1, 'Valeurs', 1, {_q(CH.COMPLETENESS_LABELS[0])}, CAST(count(*) * {NCOLS} - ({_TM}) AS DOUBLE), "
        f"NULL::VARCHAR FROM src HAVING ({_TM}) > 0 UNION ALL SELECT 'completeness', 'pie', 1, 'Valeurs', 2, "
        f"{_q(CH.COMPLETENESS_LABELS[1])}, CAST({_TM} AS DOUBLE), NULL::VARCHAR FROM src HAVING ({_TM}) > 0")
@@ -58,7 +66,7 @@ _CORR_CTES = (f"WITH src AS ({CORR_SRC_SQL}), m AS ({_matrix_sql(KEPT)}), "
               "WHERE pos1 < pos2 QUALIFY rank <= 10) ")
 _C6 = (f"SELECT 'top_correlations', 'bar', 1, {_q(CH.CORRELATION_SERIES)}, CAST(rank AS INTEGER), var1 || ' ↔ ' || var2, abs(r), "
        f"CASE WHEN r > 0 THEN '{CH.POSITIVE_COLOR}' ELSE '{CH.NEGATIVE_COLOR}' END FROM top")
-_FIRST8 = KEPT[:8]
+_FIRST8 = KEPT
 _C7 = (f"SELECT 'correlation_profile', 'radar', 1, {_q(CH.CORRELATION_PROFILE_SERIES)}, {_pos_case('var1', _FIRST8)}, var1, "
        f"avg(abs(r)), NULL::VARCHAR FROM m WHERE var1 <> var2 AND var1 IN ({', '.join(_q(c) for c in _FIRST8)}) "
        f"AND var2 IN ({', '.join(_q(c) for c in _FIRST8)}) GROUP BY var1")
@@ -92,16 +100,16 @@ def q_chart_median_vs_mean(spark, sf):
 
 @register("chart_category_topk_other", _rows_sql(_DESC_CTES[:-1], _C4))
 def q_chart_category_topk_other(spark, sf):
-    _, _, t = _desc_inputs(spark, sf)
-    return round_doubles(CH.chart_category_topk_other(t, LINEITEM_TEXT))
+    li = lineitem_nulls(spark, sf)
+    return round_doubles(CH.chart_category_topk_other(D.categorical_top10(li), LINEITEM_TEXT, totals=CH.category_totals(li, LINEITEM_TEXT)))
 
 
 @register("chart_category_topk_other_part", _rows_sql(
-    f"WITH t AS ({_top_sql('SELECT * FROM part', ['p_name', 'p_brand', 'p_type'])})",
-    _C4.replace(_pos_case('column_name', LINEITEM_TEXT), _pos_case('column_name', ['p_name', 'p_brand', 'p_type']))))
+    f"WITH src AS (SELECT * FROM part), t AS ({_top_sql('SELECT * FROM part', ['p_name', 'p_brand', 'p_type'])})",
+    _c4(["p_name", "p_brand", "p_type"])))
 def q_chart_category_topk_other_part(spark, sf):
-    t = D.categorical_top10(table(spark, sf, "part"))
-    return round_doubles(CH.chart_category_topk_other(t, ["p_name", "p_brand", "p_type"]))
+    part, cols = table(spark, sf, "part"), ["p_name", "p_brand", "p_type"]
+    return round_doubles(CH.chart_category_topk_other(D.categorical_top10(part), cols, totals=CH.category_totals(part, cols)))
 
 
 @register("chart_completeness", _rows_sql("WITH src AS (" + LINEITEM_NULLS_SQL + ")", _C5))
@@ -315,7 +323,7 @@ def q_chart_heatmap(spark, sf):
     _pos_case('column_name', _FIRST6), _pos_case('column_name', _FIRST5))))
 def q_chart_box(spark, sf):
     _, d, _ = _desc_inputs(spark, sf)
-    return round_doubles(CH.chart_box(d, LINEITEM_NUMERIC, 5))
+    return round_doubles(CH.chart_box(d, LINEITEM_NUMERIC))
 
 
 @register("chart_line", "SELECT 'daily' AS chart, 'line' AS chart_type, 1 AS series_pos, 'count' AS series, "

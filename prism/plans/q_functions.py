@@ -8,6 +8,7 @@ from prism.functions import scalar as X
 from prism.functions.text import (CLASS_INFO, EXPLORATION_WORDS, VISUALIZATION_WORDS, classify_message,
                                   classify_message_degraded)
 from prism.operators import chat as T
+from prism.operators.joins import preset_eligibility
 from prism.plans.q_workspace import PROFILE_TABLES, _class_sql
 from prism.plans.registry import canon_sql as R, register, round_doubles, table
 
@@ -199,36 +200,28 @@ def _profiles(spark, sf):
     return out
 
 
-def _analysis_codes(num, cat):
-    codes = ["show_structure"]
-    if len(num) >= 2:
-        codes += ["correlations", "outliers"]
-    if len(num) >= 1:
-        codes.append("descriptive_stats")
-    if cat:
-        codes.append("category_distribution")
-    return (codes + ["data_quality", "suggest_visualizations"])[:6]
+def _varying_sql(t: str) -> str:
+    """One row: the names of the columns of a table whose values differ, by role."""
+    def names(cols):
+        return "[" + ", ".join(f"CASE WHEN min({c}) < max({c}) THEN '{c}' END" for c in cols) + "]::VARCHAR[]"
+    num, cat = _PROFILES[t]
+    keep = "list_filter({}, lambda x: x IS NOT NULL)"
+    return f"SELECT '{t}' AS dataset, {keep.format(names(num))} AS num, {keep.format(names(cat))} AS cat FROM {t}"
 
 
-def _chart_codes(num, cat):
-    codes = []
-    if len(num) >= 2:
-        codes += [f"scatter:{num[0]} vs {num[1]}", "correlation_matrix"]
-    if num:
-        codes += [f"histogram:{num[0]}", "box_outliers"]
-    if cat:
-        codes.append(f"bar:{cat[0]}")
-    return codes[:5]
+_VARYING = "WITH p AS (" + " UNION ALL ".join(_varying_sql(t) for t in PROFILE_TABLES) + ") "
 
 
-# The SQL twins list each table's expected codes from its known column roles.
 def _suggest_sql(kind: str) -> str:
-    rows = []
-    for t in PROFILE_TABLES:
-        num, cat = _PROFILES[t]
-        codes = _analysis_codes(num, cat) if kind == "analysis" else _chart_codes(num, cat)
-        rows.append(f"SELECT '{t}' AS dataset, '{'|'.join(codes)}' AS codes")
-    return " UNION ALL ".join(rows)
+    if kind == "analysis":
+        codes = ["'show_structure'", "CASE WHEN len(num) >= 2 THEN 'correlations' END", "CASE WHEN len(num) >= 2 THEN 'outliers' END",
+                 "CASE WHEN len(num) >= 1 THEN 'descriptive_stats' END", "CASE WHEN len(cat) >= 1 THEN 'category_distribution' END",
+                 "'data_quality'", "'suggest_visualizations'"]
+    else:
+        codes = ["CASE WHEN len(num) >= 2 THEN 'scatter:' || num[1] || ' vs ' || num[2] END",
+                 "CASE WHEN len(num) >= 2 THEN 'correlation_matrix' END", "CASE WHEN len(num) >= 1 THEN 'histogram:' || num[1] END",
+                 "CASE WHEN len(num) >= 1 THEN 'box_outliers' END", "CASE WHEN len(cat) >= 1 THEN 'bar:' || cat[1] END"]
+    return _VARYING + f"SELECT dataset, concat_ws('|', {', '.join(codes)}) AS codes FROM p"
 
 
 @register("analysis_suggestions", _suggest_sql("analysis"))
@@ -241,6 +234,21 @@ def q_chart_suggestions(spark, sf):
     return T.chart_suggestions(_profiles(spark, sf)).select("dataset", F.array_join("codes", "|").alias("codes"))
 
 
+# The preset catalogue (name, least numeric columns, least categorical columns).
+PRESETS = [
+    ("overview", 0, 0), ("distribution", 1, 0), ("correlation", 2, 0), ("regression", 2, 0),
+    ("clustering", 2, 0), ("categories", 0, 1), ("segment_compare", 1, 1), ("full_report", 3, 2),
+]
+
+
+@register("preset_eligibility", _VARYING + """, pre(preset, n, c) AS (VALUES ('overview', 0, 0), ('distribution', 1, 0),
+  ('correlation', 2, 0), ('regression', 2, 0), ('clustering', 2, 0), ('categories', 0, 1), ('segment_compare', 1, 1), ('full_report', 3, 2))
+SELECT dataset, preset FROM p JOIN pre ON len(num) >= n AND len(cat) >= c""")
+def q_preset_eligibility(spark, sf):
+    presets = spark.createDataFrame(PRESETS, "preset string, min_numeric_columns int, min_categorical_columns int")
+    return preset_eligibility(_profiles(spark, sf), presets).select("dataset", "preset")
+
+
 @register("feedback_rollup", "SELECT d.lang AS role, l.quality = 1 AS is_helpful, count(*) AS count FROM documents d "
           "LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1, 2")
 def q_feedback_rollup(spark, sf):

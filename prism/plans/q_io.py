@@ -52,7 +52,21 @@ def q_format_dispatch(spark, sf):
 
 @register("ingest_metadata", "SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns FROM lineitem")
 def q_ingest_metadata(spark, sf):
-    return RD.ingest_metadata(spark, f"{sf}/lineitem.parquet").select("rows", "columns")
+    return RD.ingest_metadata(spark, f"{sf}/lineitem.parquet").select("rows", "columns")  # bytes: tests/test_sources.py
+
+
+def _quoted(spark, sf):
+    """Documents with quotes, separators and line ends in a text field, as CSV with doubled quotes."""
+    path = scratch_path(spark, "documents-csv")
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit('"'), "text", F.lit('", he said,\n10D')).alias("quoted"), F.concat("doc_id", F.lit("D")).alias("code"))
+    d.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return path
+
+
+@register("scan_csv_quoted", "SELECT doc_id, '\"' || text || '\", he said,' || chr(10) || '10D' AS quoted, doc_id || 'D' AS code FROM documents")
+def q_scan_csv_quoted(spark, sf):
+    return RD.scan_csv(spark, _quoted(spark, sf))
 
 
 @register("scan_parquet", "SELECT * FROM nation")
@@ -66,7 +80,7 @@ def q_scan_parquet(spark, sf):
 def q_stream_daily_counts(spark, sf):
     s = ST.parquet_stream(spark, sf, "events.parquet")
     out = ST.run_to_table(spark, ST.stream_daily_counts(s, "ts", ["event_type"]), ["window", "event_type"], "daily")
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "count")
+    return out.select(ST.utc_day(F.col("window.start")).alias("window_start"), "event_type", "count")
 
 
 @register("stream_interaction_counters", "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS item, event_type AS type, "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prism.operators import model as M
 from prism.operators.quality import drop_missing
-from prism.plans.fixtures import CUSTOMER_NULLS_SQL, customer_nulls
+from prism.plans.fixtures import CUSTOMER_NULLS_SQL, LINEITEM_NULLS_SQL, customer_nulls, lineitem_nulls
 from prism.plans.registry import canon, canon_sql as R, register, round_doubles, table
 
 TARGET, FEATURES = "l_extendedprice", ["l_quantity", "l_discount"]
@@ -21,10 +21,11 @@ def _prepared(spark, sf):
     return M.regression_prep(table(spark, sf, "lineitem"), TARGET, FEATURES)
 
 
-@register("regression_prep", "SELECT count(*) AS n_rows FROM lineitem WHERE l_extendedprice IS NOT NULL "
-          "AND l_quantity IS NOT NULL AND l_discount IS NOT NULL")
+@register("regression_prep", f"WITH src AS ({LINEITEM_NULLS_SQL}) SELECT count(*) AS n_rows, {R('sum(l_tax)')} AS sum_tax FROM src "
+          "WHERE l_extendedprice IS NOT NULL AND l_tax IS NOT NULL AND NOT isnan(l_tax) AND l_discount IS NOT NULL")
 def q_regression_prep(spark, sf):
-    return _prepared(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+    prepared = M.regression_prep(lineitem_nulls(spark, sf), TARGET, ["l_tax", "l_discount"])
+    return round_doubles(prepared.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("l_tax").alias("sum_tax")))
 
 
 @register("train_test_split", f"SELECT CASE WHEN {KEY_SQL} % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n "
@@ -106,6 +107,16 @@ def q_cluster_profile(spark, sf):
     return round_doubles(M.cluster_profile(a, "cluster", SCALE_COLS))
 
 
+@register("kmeans_step", _NC_SQL + f"SELECT cluster, count(*) AS size, {R('avg(za)')} AS centre_acctbal, {R('avg(zn)')} AS centre_nationkey, "
+          f"{R('sum(dist2)')} AS inertia FROM a GROUP BY cluster")
+def q_kmeans_step(spark, sf):
+    """One assign and update step of M6 from fixed centres."""
+    a = M.nearest_centroid(_scaled(spark, sf), ["c_acctbal__z", "c_nationkey__z"], CENTROIDS)
+    return round_doubles(a.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"), F.avg("c_acctbal__z").alias("centre_acctbal"),
+        F.avg("c_nationkey__z").alias("centre_nationkey"), F.sum("dist2").alias("inertia")))
+
+
 @register("kmeans")
 def q_kmeans(spark, sf):
     """Property-checked (tests): sizes sum to n, cost non-increasing in k; no SQL twin."""

@@ -81,16 +81,22 @@ def q_numeric_projection(spark, sf):
     return round_doubles(RL.numeric_projection(table(spark, sf, "lineitem")))
 
 
-@register("date_candidates",
-          "WITH src AS (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate_text, o_orderpriority, o_orderstatus FROM orders) "
-          + " UNION ALL ".join(
-              f"SELECT '{c}' AS column_name, coalesce(bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL), false) AS is_date "
-              f"FROM (SELECT {c} AS v FROM src WHERE {c} IS NOT NULL LIMIT 100)"
-              for c in ["o_orderdate_text", "o_orderpriority", "o_orderstatus"]))
+_DATE_COLUMNS = """
+  SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS iso_text, strftime(o_orderdate, '%d/%m/%Y') AS day_first_text,
+         CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS one_bad,
+         o_orderpriority, CASE WHEN false THEN 'x' END AS no_values FROM orders"""
+
+
+@register("date_candidates", f"WITH src AS ({_DATE_COLUMNS}) " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, coalesce(bool_and(coalesce(TRY_CAST({c} AS TIMESTAMP), try_strptime({c}, '%d/%m/%Y')) IS NOT NULL) "
+    f"FILTER (WHERE {c} IS NOT NULL), false) AS is_date FROM src"
+    for c in ["iso_text", "day_first_text", "one_bad", "o_orderpriority", "no_values"]))
 def q_date_candidates(spark, sf):
-    o = table(spark, sf, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate_text"), "o_orderpriority", "o_orderstatus")
-    return RL.date_candidates(o)
+    o = table(spark, sf, "orders")
+    return RL.date_candidates(o.select(
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("iso_text"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_first_text"),
+        F.when(F.col("o_orderkey") == o.agg(F.max("o_orderkey")).first()[0], "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("one_bad"),
+        "o_orderpriority", F.lit(None).cast("string").alias("no_values")))
 
 
 @register("preview_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
@@ -103,10 +109,12 @@ def q_shape(spark, sf):
     return RL.shape(table(spark, sf, "lineitem"))
 
 
-@register("dtype_histogram", "SELECT dtype, count(*) AS n FROM (VALUES "
-          + ", ".join(f"('{t}')" for t in LINEITEM_TYPES) + ") AS t(dtype) GROUP BY dtype")
+@register("dtype_histogram", LI_SRC + "SELECT dtype, count(*) AS n, count_if(filled = 0) AS n_empty FROM ("
+          + " UNION ALL ".join(f"SELECT '{t}' AS dataset_type, '{t}' AS dtype, count({c}) AS filled FROM src"
+                               for c, t in [*zip(LINEITEM_COLS, LINEITEM_TYPES), ("l_empty", "string")]).replace("src", "(SELECT *, NULL AS l_empty FROM src)")
+          + ") GROUP BY dtype")
 def q_dtype_histogram(spark, sf):
-    return RL.dtype_histogram(table(spark, sf, "lineitem"))
+    return RL.dtype_histogram(lineitem_nulls(spark, sf).withColumn("l_empty", F.lit(None).cast("string")))
 
 
 _WIDTH = {"bigint": 8, "int": 4, "double": 8, "timestamp_ntz": 8}
@@ -123,6 +131,7 @@ def q_size_estimate(spark, sf):
 
 @register("dataset_card", LI_SRC + f"SELECT 'lineitem' AS name, count(*) AS rows, CAST({NCOLS} AS BIGINT) AS columns, "
           "CAST(8 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS categorical_columns, CAST(0 AS BIGINT) AS boolean_columns, "
+          "'bigint: 3, double: 4, int: 1, string: 2, timestamp_ntz: 1' AS dtypes, "
           f"CAST({_total_missing_sql(LINEITEM_COLS, LINEITEM_TYPES)} AS BIGINT) AS missing_cells, "
           f"CAST({_SIZE_SQL} AS BIGINT) AS bytes FROM src")
 def q_dataset_card(spark, sf):

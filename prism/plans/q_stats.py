@@ -71,6 +71,49 @@ def q_correlation_summary(spark, sf):
     return round_doubles(C.correlation_summary(corr_frame(spark, sf)))
 
 
+# 52 derived columns with NULLs in different rows
+N_WIDE = 52
+_WIDE_SQL = "SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey + {i}) % {i + 3} <> 0 THEN l_quantity * {i % 7 + 1} + l_extendedprice * {i * 7 % 5} / 100 + (l_partkey % {i + 2}) END AS w{i}"
+    for i in range(N_WIDE)) + " FROM lineitem"
+
+
+def wide_frame(spark, sf):
+    return table(spark, sf, "lineitem").select(*[
+        F.when((F.col("l_orderkey") + i) % (i + 3) != 0, F.col("l_quantity") * (i % 7 + 1) + F.col("l_extendedprice") * (i * 7 % 5) / 100
+               + F.col("l_partkey") % (i + 2)).alias(f"w{i}") for i in range(N_WIDE)])
+
+
+@register("correlation_wide", f"WITH src AS ({_WIDE_SQL}), one AS (SELECT " + ", ".join(
+    f"corr(w{i}, w{j}) AS r{i}_{j}" for i in range(N_WIDE) for j in range(i + 1, N_WIDE)) + " FROM src), "
+    "long AS (UNPIVOT one ON COLUMNS(*) INTO NAME pair VALUE r) "
+    f"SELECT 'w' || split_part(pair[2:], '_', 1) AS var1, 'w' || split_part(pair[2:], '_', 2) AS var2, {R('r')} AS r FROM long")
+def q_correlation_wide(spark, sf):
+    m = C.correlation_matrix(wide_frame(spark, sf))
+    return round_doubles(m.where("pos1 < pos2").select("var1", "var2", "r"))
+
+
+# names as users have them
+ODD_NAMES = {"l_quantity": "chiffre d'affaires", "l_tax": "a.b", "l_discount": "Prix HT"}
+
+
+@register("odd_names", "WITH src AS (SELECT l_quantity AS \"chiffre d'affaires\", CASE WHEN l_linenumber <> 3 THEN l_tax END AS \"a.b\", "
+          "l_discount AS \"Prix HT\" FROM lineitem), n AS (SELECT * FROM (VALUES (1), (2), (3))) " + " UNION ALL ".join(
+              f"""SELECT '{c.replace("'", "''")}' AS column_name, count("{c}") AS count, {R(f'avg("{c}")')} AS mean, {R(f'median("{c}")')} AS q50,
+  count(DISTINCT "{c}") AS "distinct", count(*) - count("{c}") AS missing, {R(f'corr("{c}", "Prix HT")')} AS r_price FROM src"""
+              for c in ODD_NAMES.values()))
+def q_odd_names(spark, sf):
+    from prism.functions.sqltext import column
+    from prism.operators import describe as D
+    from prism.operators import roles as RL
+
+    li = corr_frame(spark, sf).select(*[column(c).alias(n) for c, n in ODD_NAMES.items()])
+    d = D.describe_numeric(li).select("column_name", "count", "mean", "q50")
+    p = RL.column_profile(li).select("column_name", "distinct", "missing")
+    m = C.correlation_matrix(li).where(F.col("var2") == "Prix HT").select(F.col("var1").alias("column_name"), F.col("r").alias("r_price"))
+    return round_doubles(d.join(p, "column_name").join(m, "column_name"))
+
+
 def _ts_sql(tab: str, d: str, v: str) -> str:
     return (f"SELECT '{d}' AS date_column, '{v}' AS value_column, {iso_sql(f'min({d})')} AS start, "
             f"{iso_sql(f'max({d})')} AS \"end\", {R(f'avg({v})')} AS mean, {R(f'stddev_samp({v})')} AS std, "

@@ -115,19 +115,18 @@ def q_session_rollup(spark, sf):
     return _rollup(spark, sf)
 
 
-@register("avg_per_session", f"SELECT {R('count(*) / greatest(count(DISTINCT conv_id), 1)')} AS avg_messages_per_session "
-          "FROM conversations")
+@register("avg_per_session", f"SELECT {R('(SELECT count(*) FROM lineitem) / greatest((SELECT count(*) FROM orders), 1)')} AS avg_messages_per_session")
 def q_avg_per_session(spark, sf):
-    return round_doubles(WS.avg_per_session(table(spark, sf, "conversations"), "conv_id"))
+    return round_doubles(WS.avg_per_session(table(spark, sf, "lineitem"), table(spark, sf, "orders")))
 
 
-@register("chat_stats", "SELECT count(DISTINCT conv_id) AS total_sessions, "
-          "count(DISTINCT CASE WHEN role = 'user' THEN conv_id END) AS active_sessions, count(*) AS total_messages, "
+@register("chat_stats", "SELECT (SELECT count(*) FROM documents) AS total_sessions, "  # documents stand in for the sessions
+          "count(DISTINCT CASE WHEN role = 'user' AND conv_id IN (SELECT doc_id FROM documents) THEN conv_id END) AS active_sessions, count(*) AS total_messages, "
           f"count_if(role = 'user' AND ({_class_sql('text')}) IN ('data_analysis', 'data_exploration')) AS analysis_messages "
           "FROM conversations")
 def q_chat_stats(spark, sf):
     c = table(spark, sf, "conversations")
-    return WS.chat_stats(c, "conv_id", "role", classify_type(F.col("text")))
+    return WS.chat_stats(c, "conv_id", "role", classify_type(F.col("text")), table(spark, sf, "documents"), "doc_id")
 
 
 @register("session_counters", "SELECT conv_id AS session, count(*) AS message_count, "
@@ -215,32 +214,9 @@ def q_similar_items(spark, sf):
                            [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 4)
 
 
-# Default preset catalogue (name, min numeric columns, min categorical columns).
-PRESETS = [
-    ("overview", 0, 0), ("distribution", 1, 0), ("correlation", 2, 0), ("regression", 2, 0),
-    ("clustering", 2, 0), ("categories", 0, 1), ("segment_compare", 1, 1), ("full_report", 3, 2),
-]
 PROFILE_TABLES = ["lineitem", "orders", "customer", "part", "events", "documents", "labels", "conversations"]
 
 
-@register("preset_eligibility", """
-WITH prof(dataset, numeric_columns, categorical_columns) AS (VALUES
-  ('lineitem', 8, 2), ('orders', 3, 2), ('customer', 3, 2), ('part', 3, 3), ('events', 3, 2),
-  ('documents', 2, 3), ('labels', 3, 0), ('conversations', 2, 2)),
-pre(preset, min_numeric_columns, min_categorical_columns) AS (VALUES """ + ", ".join(
-    f"('{n}', {a}, {b})" for n, a, b in PRESETS) + """)
-SELECT dataset, preset FROM prof JOIN pre ON numeric_columns >= min_numeric_columns
-  AND categorical_columns >= min_categorical_columns""")
-def q_preset_eligibility(spark, sf):
-    from prism.operators.chat import role_profile
-    prof = None
-    for t in PROFILE_TABLES:
-        p = role_profile(table(spark, sf, t), t).select("dataset", "numeric_columns", "categorical_columns")
-        prof = p if prof is None else prof.unionByName(p)
-    presets = spark.createDataFrame(PRESETS, "preset string, min_numeric_columns int, min_categorical_columns int")
-    return J.preset_eligibility(prof, presets).select("dataset", "preset")
-
-
 # ---------------------------------------------------------------- F1-F7
 @register("filter_equals", "SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
 def q_filter_equals(spark, sf):
@@ -346,3 +322,18 @@ def q_activity_feed(spark, sf):
         F.col("user_id").alias("owner"), F.col("event_id").alias("item_id"), F.col("event_type").alias("title"),
         F.col("props").alias("description"), "ts")
     return L.activity_feed(a, d)
+
+
+@register("recent_activity", f"SELECT c_custkey AS owner, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= {OR_ASOF} - INTERVAL 90 DAY) AS n_orders, "
+          f"(SELECT count(*) FROM events WHERE user_id = c_custkey AND ts >= {EV_ASOF} - INTERVAL 90 DAY) AS n_events FROM customer")
+def q_recent_activity(spark, sf):
+    return WS.recent_activity(table(spark, sf, "customer"), "c_custkey", {
+        "n_orders": (table(spark, sf, "orders"), "o_custkey", "o_orderdate", ORDERS_ASOF),
+        "n_events": (table(spark, sf, "events"), "user_id", "ts", EVENTS_ASOF)}, days=90)
+
+
+@register("page_after", "SELECT o_orderdate, o_orderkey FROM orders WHERE (o_orderdate, o_orderkey) > (TIMESTAMP '1998-01-01', 100) "
+          "ORDER BY o_orderdate, o_orderkey LIMIT 15")
+def q_page_after(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderdate", "o_orderkey")
+    return L.page_after(o, ["o_orderdate", "o_orderkey"], ["1998-01-01 00:00:00", 100], 15)

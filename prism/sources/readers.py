@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from prism.functions.sqltext import column
+
 # The default missing-value tokens of pandas ``read_csv``.
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -20,6 +22,10 @@ DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 
+# What reads as a number (a cast alone would also take suffixes, as in ``10D``).
+INTEGER = r"^[+-]?\d+$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?([iI]nf(inity)?|INF(INITY)?)$"
+
 FORMATS = {".csv": "csv", ".xlsx": "excel", ".json": "json", ".parquet": "parquet"}
 
 
@@ -36,19 +42,19 @@ def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     bools = TRUE_TOKENS + FALSE_TOKENS
     checks = []
     for i, c in enumerate(cols):
-        v = F.col(c)
+        v = column(c)
         present = v.isNotNull()
         checks += [
             F.count_if(present).alias(f"n{i}"),
-            F.count_if(present & v.try_cast("bigint").isNotNull() & ~F.trim(v).contains(".")).alias(f"i{i}"),
-            F.count_if(present & v.try_cast("double").isNotNull()).alias(f"d{i}"),
+            F.count_if(present & F.trim(v).rlike(INTEGER) & v.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.count_if(present & F.trim(v).rlike(NUMBER) & v.try_cast("double").isNotNull()).alias(f"d{i}"),
             F.count_if(present & v.isin(*bools)).alias(f"b{i}"),
         ]
     r = df.agg(*checks).first()
     out = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
-        v = F.col(c)
+        v = column(c)
         if n and r[f"i{i}"] == n:
             out.append(v.try_cast("bigint").alias(c))
         elif n and r[f"d{i}"] == n:
@@ -60,23 +66,28 @@ def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
         else:
             out.append(v)
     cast = {c: e for c, e in zip(cols, out)}
-    return df.select(*[cast.get(c, F.col(c)) for c in df.columns])
+    return df.select(*[cast.get(c, column(c)) for c in df.columns])
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             na_values: list[str] | None = None, infer: bool = True) -> DataFrame:
+             na_values: list[str] | None = None, infer: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV with a header row; NA tokens become NULL; types inferred as pandas
-    does (dates stay text). With ``schema`` the given types are used."""
+    does (dates stay text). With ``schema`` the given types are used.
+
+    The dialect is pandas': a quote inside quotes is doubled, and quoted fields may hold line
+    ends. For the latter a file is read by one task; ``multi_line=False`` splits large files
+    and is right where no field holds a line end."""
     na = DEFAULT_NA if na_values is None else na_values
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    clean = raw.select(*[_na_to_null(F.col(c), na).alias(c) for c in raw.columns])
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+           .option("escape", '"').option("multiLine", multi_line).csv(path))
+    clean = raw.select(*[_na_to_null(column(c), na).alias(c) for c in raw.columns])
     if schema is not None:
         st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-        return clean.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])
+        return clean.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])
     return infer_types(clean) if infer else clean
 
 
-def scan_json_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def scan_json_records(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None) -> DataFrame:
     """S3: files holding a JSON array of records (one document per file)."""
     r = spark.read.option("multiLine", True)
     if schema is not None:
@@ -84,7 +95,7 @@ def scan_json_records(spark: SparkSession, path: str, schema: StructType | str |
     return r.json(path)
 
 
-def scan_json_columns(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+def scan_json_columns(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None) -> DataFrame:
     """pandas' default column-oriented JSON ``{column: {row_label: value}}``.
 
     Each file is parsed as one document; cells are exploded to
@@ -101,20 +112,30 @@ def scan_json_columns(spark: SparkSession, path: str, schema: StructType | str |
         names = [f.name for f in st.fields]
     else:
         names = [r["column_name"] for r in cells.select("column_name").distinct().orderBy("column_name").collect()]
-    wide = (cells.groupBy("_file", "row_label").pivot("column_name", names).agg(F.first("value"))
-            .withColumn("_row", F.col("row_label").try_cast("bigint")))
-    ordered = wide.orderBy("_file", "_row", "row_label").drop("_file", "row_label", "_row")
+    wide = cells.groupBy("_file", "row_label").pivot("column_name", names).agg(F.first("value")).drop("_file", "row_label")
     if schema is not None:
-        return ordered.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])
-    return infer_types(ordered)
-
-
-def scan_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON as pandas ``read_json``: a top-level array is records, an object is columns."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if first and first[0]["value"].lstrip().startswith("["):
-        return scan_json_records(spark, path, schema)
-    return scan_json_columns(spark, path, schema)
+        return wide.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])
+    return infer_types(wide)
+
+
+def scan_json(spark: SparkSession, path: str, schema=None, layout: str | None = None) -> DataFrame:
+    """JSON as pandas ``read_json``: a top-level array is records, an object is columns. Every
+    file is read by its own layout (``layout`` "records" or "columns" takes it as known);
+    a column that one layout's files lack is NULL in their rows."""
+    if layout is None:
+        start = F.substring(F.regexp_extract("value", r"^\s*(\S)", 1), 1, 1)
+        files = (spark.read.option("wholetext", True).text(path)
+                 .select(F.col("_metadata.file_path").alias("file"), (start == "[").alias("records")).distinct().collect())
+        by = {kind: sorted(r["file"] for r in files if r["records"] == kind) for kind in (True, False)}
+    else:
+        by = {layout == "records": [path]}
+    parts = [reader(spark, by[kind], schema) for kind, reader in ((True, scan_json_records), (False, scan_json_columns)) if by.get(kind)]
+    if len(parts) == 2 and schema is None:
+        shared = set(parts[0].columns) & set(parts[1].columns)
+        differ = {c for c in shared if parts[0].schema[c].dataType != parts[1].schema[c].dataType}
+        parts = [infer_types(p.select(*[column(c).cast("string").alias(c) if c in differ else column(c) for c in p.columns]), list(differ))
+                 if differ else p for p in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -148,47 +169,50 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 
 def ingest_metadata(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """(rows, columns, bytes) of a loaded file set; bytes sum the distinct
-    files' sizes from the scan's hidden ``_metadata`` column."""
-    kind = detect_format(path, fmt)
-    df = load(spark, path, kind)
-    reader_fmt = {"excel": "binaryFile"}.get(kind, kind)
-    files = (spark.read.format(reader_fmt).load(path) if reader_fmt != "csv"
-             else spark.read.option("header", True).csv(path))
-    nbytes = files.select("_metadata.file_path", "_metadata.file_size").distinct().agg(
-        F.coalesce(F.sum("file_size"), F.lit(0)).cast("bigint")).first()[0]
+    """(rows, columns, bytes) of a loaded file set; bytes are the files' lengths, which the
+    ``binaryFile`` source lists without reading a file."""
+    df = load(spark, path, detect_format(path, fmt))
+    length = F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes")
+    nbytes = spark.read.format("binaryFile").load(path).select("length").agg(length).first()["bytes"]
     return df.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), F.lit(nbytes).cast("bigint").alias("bytes"))
 
 
-def write_json_records(df: DataFrame, path: str) -> None:
-    """Write each partition as one file holding a JSON array of its records
-    (the layout S3 reads). A partition is bounded by the scan split size."""
-    def one_array(batches):
-        import pandas as pd
-        rows = [j for b in batches for j in b["j"].tolist()]
-        if rows:
-            yield pd.DataFrame({"value": ["[" + ",".join(rows) + "]"]})
-
-    (df.select(F.to_json(F.struct(*df.columns)).alias("j"))
-     .mapInPandas(one_array, "value string").write.mode("overwrite").text(path))
+#: Rows of one JSON document that the writers make.
+DOCUMENT_ROWS = 10_000
 
 
-def write_json_columns(df: DataFrame, path: str) -> None:
-    """Write each partition as one column-oriented document ``{column: {row: value}}``
-    (the layout S4 reads; rows are labelled by their position in the partition).
-    A partition is bounded by the scan split size."""
+def write_json_records(df: DataFrame, path: str, rows: int = DOCUMENT_ROWS) -> None:
+    """Write files of JSON arrays of at most ``rows`` records each (the layout S3 reads)."""
+    def arrays(batches):
+        import pandas as pd
+        held: list[str] = []
+        for batch in batches:
+            for record in batch["j"]:
+                held.append(record)
+                if len(held) == rows:
+                    yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
+                    held = []
+        if held:
+            yield pd.DataFrame({"value": ["[" + ",".join(held) + "]"]})
+
+    (df.select(F.to_json(F.struct(*[column(c) for c in df.columns])).alias("j"))
+     .mapInPandas(arrays, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
+
+
+def write_json_columns(df: DataFrame, path: str, rows: int = DOCUMENT_ROWS) -> None:
+    """Write column-oriented documents ``{column: {row: value}}`` of at most ``rows`` rows each
+    (the layout S4 reads; rows are labelled by their position in the document)."""
     cols = df.columns
 
-    def one_doc(batches):
+    def documents(batches):
         import json as _json
 
         import pandas as pd
-        frames = [b for b in batches]
-        if not frames:
-            return
-        part = pd.concat(frames, ignore_index=True)
-        doc = {c: {str(i): (None if pd.isna(v) else v) for i, v in enumerate(part[c].tolist())} for c in cols}
-        yield pd.DataFrame({"value": [_json.dumps(doc, default=str)]})
-
-    df.mapInPandas(one_doc, "value string").write.mode("overwrite").text(path)
+        for batch in batches:
+            for start in range(0, len(batch), rows):
+                part = batch.iloc[start:start + rows]
+                doc = {c: {str(i): (None if pd.isna(v) else v) for i, v in enumerate(part[c].tolist())} for c in cols}
+                yield pd.DataFrame({"value": [_json.dumps(doc, default=str)]})
+
+    df.mapInPandas(documents, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -4,8 +4,9 @@ the header).
 Spark has no built-in Excel source. Workbooks are read with the ``binaryFile``
 source (any Hadoop file system, one row per file), each is unzipped and its
 first sheet turned into long cells (file, row, column, text) by a
-``mapInPandas`` task, and rows are pivoted back on the header of the first
-workbook. Only the stdlib ``zipfile``/``xml`` parsers run in the task.
+``mapInPandas`` task, and rows are pivoted back by the *names* in each workbook's own
+header: columns may stand in any order, and one that a workbook lacks is NULL in its
+rows. Only the stdlib ``zipfile``/``xml`` parsers run in the task.
 Date cells are stored as serial numbers in the file and stay numbers
 (cell styles are not read).
 """
@@ -20,6 +21,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import column
 from prism.sources.readers import DEFAULT_NA, infer_types
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -93,15 +95,15 @@ def scan_xlsx(spark: SparkSession, folder: str, sheet: int = 0, na_values: list[
     cells = files.mapInPandas(lambda it: _cells_of(it, sheet), CELLS_SCHEMA)
     first_row = cells.groupBy("path").agg(F.min("r").alias("hr"))
     tagged = cells.join(first_row, "path")
-    header_file = first_row.agg(F.min("path")).first()[0]
-    if header_file is None:
+    header = tagged.where(F.col("r") == F.col("hr")).select("path", "c", F.col("v").alias("name"))
+    # a name that a workbook has twice keeps its first column; columns stand in the order of their first place
+    header = header.groupBy("path", "name").agg(F.min("c").alias("c"))
+    names = [r["name"] for r in header.groupBy("name").agg(F.min("c").alias("c")).orderBy("c", "name").collect()]
+    if not names:
         return spark.createDataFrame([], "value string")
-    header = (tagged.where((F.col("path") == header_file) & (F.col("r") == F.col("hr")))
-              .select("c", "v").orderBy("c").collect())
-    names = {h["c"]: h["v"] for h in header}
-    body = tagged.where(F.col("r") > F.col("hr")).where(F.col("c").isin(list(names)))
-    wide = body.groupBy("path", "r").pivot("c", list(names)).agg(F.first("v"))
+    body = tagged.where(F.col("r") > F.col("hr")).select("path", "r", "c", "v")
+    named = body.join(header, ["path", "c"], "left").where(F.col("name").isNotNull())
     na = DEFAULT_NA if na_values is None else na_values
-    out = wide.orderBy("path", "r").select(
-        *[F.when(~F.col(str(c)).isin(*na), F.col(str(c))).alias(n) for c, n in names.items()])
+    wide = named.groupBy("path", "r").pivot("name", names).agg(F.first("v"))
+    out = wide.select(*[F.when(~column(n).isin(*na), column(n)).alias(n) for n in names])
     return infer_types(out) if infer else out

@@ -11,16 +11,26 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
+from prism.functions.sqltext import column
 from prism.session import scratch_path
 
 
 def event_time(stream: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need ``timestamp`` (not ``timestamp_ntz``)."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Watermarks need ``timestamp``: a ``timestamp_ntz`` is read as UTC, whatever the session's zone."""
+    if stream.schema[ts].dataType != TimestampNTZType():
+        return stream.withColumn(ts, column(ts).cast("timestamp"))
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), column(ts)).cast("timestamp")
+    return stream.withColumn(ts, utc)
+
+
+def utc_day(day: Column) -> Column:
+    """A window's start as the UTC time it stands for (``timestamp_ntz``)."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), day.cast("timestamp_ntz"))
 
 
 def stream_daily_counts(stream: DataFrame, ts: str, by: list[str] | None = None, watermark: str = "1 day") -> DataFrame:
@@ -56,10 +66,21 @@ def start_upsert(agg: DataFrame, path: str, checkpoint: str, available_now: bool
 
 
 def read_upserts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current table of an upsert sink: the row of the latest batch per key."""
-    data = spark.read.option("basePath", path).parquet(os.path.join(path, "batch=*"))
-    latest = data.groupBy(*keys).agg(F.max("_batch").alias("_batch"))
-    return data.join(latest, keys + ["_batch"], "inner").drop("_batch", "batch")
+    """Current table of an upsert sink: the row of the latest batch per key, in one scan."""
+    data = spark.read.option("basePath", path).parquet(path).drop("batch")
+    rest = [c for c in data.columns if c not in (*keys, "_batch")]
+    latest = data.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_row"))
+    return latest.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], target: str) -> DataFrame:
+    """Write the current table to ``target`` as one batch, which a sink may go on from; the old
+    folder can be deleted when no reader uses it. Returns the compacted table."""
+    data = spark.read.option("basePath", path).parquet(path)
+    last = data.agg(F.max("_batch")).first()[0]
+    read_upserts(spark, path, keys).withColumn("_batch", F.lit(last)).write.mode("overwrite").parquet(
+        os.path.join(target, f"batch={last}"))
+    return read_upserts(spark, target, keys)
 
 
 def run_to_table(spark: SparkSession, agg: DataFrame, keys: list[str], name: str) -> DataFrame:

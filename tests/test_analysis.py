@@ -17,7 +17,6 @@ def test_descriptive(spark, sf_dir):
     charts = {r["chart"] for r in res.charts.select("chart").distinct().collect()}
     assert {"composition", "five_number", "median_vs_mean", "completeness"} <= charts
     assert any(c.startswith("category:") for c in charts)
-    res.release()
 
 
 def test_correlation(spark, sf_dir):
@@ -59,3 +58,12 @@ def test_timeseries(spark, sf_dir):
     assert res.status == "completed" and row["n_observations"] == ev.count() and row["message"] is None
     missing = run_analysis(ev, "timeseries", {})
     assert missing.tables["summary"].first()["message"] == "missing_parameters"
+
+
+def test_the_callers_cache_survives_and_bad_parameters_fail_cleanly(spark, sf_dir):
+    df = lineitem_nulls(spark, sf_dir).select("l_quantity", "l_tax", "l_shipdate").cache()
+    df.count()
+    run_analysis(df, "descriptive")
+    assert run_analysis(df, "timeseries", {"date_column": "no such", "value_column": "l_tax"}).status == "failed"
+    assert df.storageLevel.useMemory
+    df.unpersist()

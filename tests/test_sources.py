@@ -92,6 +92,14 @@ def test_s2_workbook_folder(spark, tmp_dir):
     assert RD.load(spark, os.path.join(folder, "a.xlsx")).count() == 2
 
 
+def test_s2_workbooks_with_other_columns_and_orders(spark, tmp_dir):
+    for name, rows in (("a", [["name", "qty"], ["pen", 3]]), ("b", [["qty", "name", "price"], [7, "cap", 2.5], [8, "hat", None]])):
+        with open(os.path.join(tmp_dir, f"{name}.xlsx"), "wb") as f:
+            f.write(_workbook(rows))
+    got = scan_xlsx(spark, tmp_dir)
+    assert sorted((r["name"], r["qty"], r["price"]) for r in got.collect()) == [("cap", 7, 2.5), ("hat", 8, None), ("pen", 3, None)]
+
+
 def test_s5_dispatch_errors(spark, tmp_dir):
     with pytest.raises(ValueError, match="unsupported_format"):
         RD.load(spark, os.path.join(tmp_dir, "x.txt"))
