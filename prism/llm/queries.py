@@ -190,7 +190,59 @@ def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
-@register("op3_url_filter")
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _fits_sql(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+def _order_sql(k: int) -> str:
+    """The step that takes the models from contexts of k - 1 characters to those of k."""
+    def longer(kind: str) -> str:
+        n, t = f"coalesce(c.n{kind}, 0)", f"coalesce(c.t{kind}, 0)"
+        return f"CASE WHEN {n} > 0 THEN (coalesce(g.{kind}, 0) + {t} * s.p{kind}) / ({n} + {t}) ELSE s.p{kind} END::DOUBLE AS p{kind}"
+    return (f"s{k} AS (SELECT s.w, {longer('a')}, {longer('b')} FROM s{k - 1} s "
+            f"LEFT JOIN g ON g.k = {k - 1} AND g.gram = substr(s.w, {6 - k}, {k}) "
+            f"LEFT JOIN c ON c.k = {k - 1} AND c.context = substr(s.w, {6 - k}, {k - 1}))")
+
+
+@register("op3_url_filter", f"""
+WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+u AS (
+  SELECT page_id, coalesce({_LOWER.format("regexp_extract(rest, '^[^/?#]*')")}, '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, {_LOWER.format("coalesce(rest, url, '')")} AS text FROM p),
+r AS (
+  SELECT *, CASE WHEN {_fits_sql("example.org", "/en/1")} THEN 'example.org/en/1' WHEN {_fits_sql("example.org", "/es/")} THEN 'example.org/es/'
+                 WHEN {_fits_sql("com", "/fr/")} THEN 'com/fr/' WHEN {_fits_sql("com", "/de/")} THEN 'com/de/'
+                 WHEN {_fits_sql("org", "/")} THEN 'org/' END AS rule FROM u),
+v AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM r),
+t AS (SELECT text, by_rule, substr(md5(text), 1, 1) IN ('0', '1', '2') AS fold, count(*) AS n FROM v GROUP BY ALL),
+x AS (SELECT *, substr(repeat(chr(2), 4) || text, i + 1, 5) AS w FROM (SELECT *, unnest(range(length(text))) AS i FROM t)),
+w AS (
+  SELECT w, coalesce(sum(n) FILTER (WHERE by_rule = 'allow'), 0) AS a, coalesce(sum(n) FILTER (WHERE by_rule = 'block'), 0) AS b
+  FROM x WHERE by_rule IS NOT NULL AND NOT fold GROUP BY w),
+g AS (
+  SELECT k, substr(w, 5 - k::INT, k::INT + 1) AS gram, substr(w, 5 - k::INT, k::INT) AS context, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b
+  FROM w, range(5) AS o(k) GROUP BY ALL),
+c AS (SELECT k, context, sum(a) AS na, sum(b) AS nb, count_if(a > 0)::DOUBLE AS ta, count_if(b > 0)::DOUBLE AS tb FROM g GROUP BY ALL),
+s0 AS (SELECT DISTINCT w, 1.0::DOUBLE / 256 AS pa, 1.0::DOUBLE / 256 AS pb FROM x),
+{", ".join(_order_sql(k) for k in range(1, 6))},
+m AS (SELECT text, round(avg(ln(pa) - ln(pb)), 9) AS ratio FROM x JOIN s5 USING (w) GROUP BY text),
+h AS (
+  SELECT greatest(least(floor(ratio * 64), 4096), -4096)::BIGINT AS step, coalesce(sum(n) FILTER (WHERE by_rule = 'allow'), 0) AS a,
+         coalesce(sum(n) FILTER (WHERE by_rule = 'block'), 0) AS b FROM t JOIN m USING (text) WHERE by_rule IS NOT NULL AND fold GROUP BY ALL),
+e AS (
+  SELECT step AS most, coalesce(lag(step) OVER (ORDER BY step) + 1, -4096) AS least,
+         coalesce(sum(a) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_a,
+         coalesce(sum(b) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_b FROM h
+  UNION ALL SELECT 4160, max(step) + 1, sum(a), sum(b) FROM h),
+f AS (
+  SELECT least(greatest(0, least), most) / 64.0 AS edge, most,
+         round((s.a - below_a) / s.a + below_b / s.b, 12) AS worth FROM e, (SELECT sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM h) s WHERE s.a > 0 AND s.b > 0),
+d AS (SELECT coalesce((SELECT edge FROM f ORDER BY worth DESC, abs(edge), most LIMIT 1), 0) AS edge)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(ratio, 0) >= edge THEN 'allow' ELSE 'block' END) AS verdict
+FROM v LEFT JOIN m USING (text), d""")
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")

@@ -113,14 +113,15 @@ def _threshold(scored: DataFrame) -> float:
     if not allowed or not blocked:
         return 0.0
     below_a = below_b = 0
-    best, edge = -1.0, 0.0
-    for r in [*rows, None]:  # an edge below each step, and one above all
-        step = r["step"] if r else rows[-1]["step"] + 1
+    best, edge, least = -1.0, 0.0, -64 * STEPS
+    for r in [*rows, None]:  # any edge above the step before and up to this one parts the examples alike
+        most = r["step"] if r else 65 * STEPS
         worth = round((allowed - below_a) / allowed + below_b / blocked, 12)
-        if worth > best or worth == best and abs(step / STEPS) < abs(edge):
-            best, edge = worth, step / STEPS
+        nearest = min(max(0, least), most) / STEPS
+        if worth > best or worth == best and abs(nearest) < abs(edge):
+            best, edge = worth, nearest
         if r:
-            below_a, below_b = below_a + r["a"], below_b + r["b"]
+            below_a, below_b, least = below_a + r["a"], below_b + r["b"], r["step"] + 1
     return edge
 
 
