@@ -52,38 +52,35 @@ def drop_constant_columns(df: DataFrame, cols: list[str] | None = None) -> tuple
     return df.select(*map(q, kept)), len(facts) - len(kept), kept
 
 
+#: A pair whose sum of squares falls below this share when it is centred on its overlap is centred again by itself.
+CANCELLED = 1e-6
+
+
 def _pair_moments(x: np.ndarray) -> dict[str, np.ndarray]:
     """Moments of every ordered pair (i, j) over the rows of ``x`` (NaN: missing) that have both
     values: n, and of column i its mean, centred sum of squares, least and greatest; and the
-    centred cross products. Each pair is centred on its own overlap."""
-    k, there = x.shape[1], ~np.isnan(x)
-    m = {"n": np.zeros((k, k)), "mean": np.zeros((k, k)), "square": np.zeros((k, k)), "cross": np.zeros((k, k)),
-         "least": np.full((k, k), np.inf), "most": np.full((k, k), -np.inf)}
-    whole = np.flatnonzero(there.all(0))
-    gaps = np.flatnonzero(~there.all(0) & there.any(0))
-
-    def put(i: np.ndarray, j: np.ndarray, own: np.ndarray, other: np.ndarray) -> None:
-        """Columns i against columns j over the same rows, both complete."""
-        mean_i, mean_j = own.mean(0), other.mean(0)
-        d, e = own - mean_i, other - mean_j
-        cross, at = d.T @ e, np.ix_(i, j)
-        back = np.ix_(j, i)
-        m["n"][at], m["n"][back] = len(own), len(own)
-        m["cross"][at], m["cross"][back] = cross, cross.T
-        for cols, values, mean, centred, place in ((i, own, mean_i, d, at), (j, other, mean_j, e, back)):
-            m["mean"][place], m["square"][place] = mean[:, None], (centred * centred).sum(0)[:, None]
-            m["least"][place], m["most"][place] = values.min(0)[:, None], values.max(0)[:, None]
-
-    if len(whole) and len(x):
-        put(whole, whole, x[:, whole], x[:, whole])
-    for place, j in enumerate(gaps):
-        rows = there[:, j]
-        if len(whole):
-            put(whole, np.array([j]), x[np.ix_(rows, whole)], x[rows][:, [j]])
-        for i in gaps[place:]:
-            both = rows & there[:, i]
-            if both.any():
-                put(np.array([i]), np.array([j]), x[both][:, [i]], x[both][:, [j]])
+    centred cross products. All pairs are block products of the columns around their own means;
+    pairs that this leaves badly conditioned (an overlap far from the mean, a constant) are done again one by one."""
+    there = ~np.isnan(x)
+    own = there.sum(0)
+    centre = np.where(own > 0, np.where(there, x, 0).sum(0) / np.maximum(own, 1), 0)
+    around, mask = np.where(there, x - centre, 0), there.astype(float)
+    n, s, q, c = mask.T @ mask, around.T @ mask, (around * around).T @ mask, around.T @ around
+    some = np.maximum(n, 1)
+    m = {"n": n, "mean": centre[:, None] + s / some, "square": q - s * s / some, "cross": c - s * s.T / some,
+         "least": np.broadcast_to(np.where(there, x, np.inf).min(0)[:, None], n.shape).copy(),
+         "most": np.broadcast_to(np.where(there, x, -np.inf).max(0)[:, None], n.shape).copy()}
+    again = (n > 0) & ~(m["square"] > CANCELLED * q)
+    for i, j in zip(*np.nonzero(np.triu(again | again.T))):
+        rows = there[:, i] & there[:, j]
+        a, b = x[rows, i], x[rows, j]
+        d, e = a - a.mean(), b - b.mean()
+        m["cross"][i, j] = m["cross"][j, i] = d @ e
+        for at, values, apart in (((i, j), a, d), ((j, i), b, e)):
+            m["mean"][at], m["square"][at] = values.mean(), apart @ apart
+            m["least"][at], m["most"][at] = values.min(), values.max()
+    for name, value in (("mean", 0), ("square", 0), ("cross", 0), ("least", np.inf), ("most", -np.inf)):
+        m[name][n == 0] = value
     return m
 
 
