@@ -10,6 +10,14 @@ Typical use::
     res.tables["numeric_stats"].show()
 """
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+# functions that run in Python workers travel with their task: executors need not have this package
+register_pickle_by_value(sys.modules[__name__])
+
+
 from prism.operators.correlate import correlation_analysis, correlation_matrix
 from prism.operators.describe import categorical_top10, dataset_summary, describe_numeric, describe_numeric_approx
 from prism.operators.model import kmeans, regression_analysis
