@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prism.functions.scalar import json_array_sizes
+from prism.functions.scalar import iso_sql, json_array_sizes
 from prism.operators import charts as CH
 from prism.operators import correlate as C
 from prism.operators import describe as D
@@ -270,6 +270,48 @@ def q_transcript_txt(spark, sf):
     return S.transcript_txt(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
+# orders stand in for the sessions (every third without a dataset), lineitem for their messages
+_SESSIONS_SQL = ("SELECT o_orderkey AS session, 'Analyse ' || o_orderpriority AS title, o_orderdate AS created_at, "
+                 "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS dataset FROM orders")
+_MESSAGES_SQL = ("SELECT l_orderkey AS session, concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS message_id, "
+                 "CASE l_linestatus WHEN 'O' THEN 'user' ELSE 'assistant' END AS role, l_returnflag AS content, "
+                 "CASE WHEN l_linenumber > 1 THEN 'text' END AS message_type, l_shipdate AS created_at FROM lineitem")
+
+
+def _session_tables(spark, sf):
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    sessions = o.select(F.col("o_orderkey").alias("session"), F.concat(F.lit("Analyse "), "o_orderpriority").alias("title"),
+                        F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")).alias("dataset"))
+    messages = li.select(F.col("l_orderkey").alias("session"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("message_id"),
+                         F.when(F.col("l_linestatus") == "O", "user").otherwise("assistant").alias("role"), F.col("l_returnflag").alias("content"),
+                         F.when(F.col("l_linenumber") > 1, "text").alias("message_type"), F.col("l_shipdate").alias("created_at"))
+    return sessions, messages
+
+
+@register("session_transcript_json", f"""
+WITH s AS ({_SESSIONS_SQL}), m AS ({_MESSAGES_SQL})
+SELECT session, NULL::TIMESTAMP AS created_at, NULL::VARCHAR AS message_id, 0 AS part,
+       CAST(to_json({{'id': CAST(session AS VARCHAR), 'title': title, 'created_at': {iso_sql('created_at')}, 'dataset': dataset}}) AS VARCHAR) AS line FROM s
+UNION ALL
+SELECT session, created_at, message_id, 0,
+       CAST(to_json({{'id': message_id, 'role': role, 'content': content, 'message_type': message_type, 'created_at': {iso_sql('created_at')}}}) AS VARCHAR) FROM m""")
+def q_session_transcript_json(spark, sf):
+    return S.session_transcript_json(*_session_tables(spark, sf))
+
+
+@register("session_transcript_txt", f"""
+WITH s AS ({_SESSIONS_SQL}), m AS ({_MESSAGES_SQL}),
+h AS (SELECT session, NULL::TIMESTAMP AS created_at, NULL::VARCHAR AS message_id,
+             unnest(['Conversation: ' || title, 'Date: ' || strftime(created_at, '%Y-%m-%d %H:%M:%S'), 'Dataset: ' || dataset, '', repeat('=', 50), '']) AS line,
+             unnest(range(6)) AS part FROM s),
+b AS (SELECT session, created_at, message_id,
+             unnest(['[' || strftime(created_at, '%H:%M:%S') || '] ' || CASE role WHEN 'user' THEN 'Utilisateur' ELSE 'Assistant' END || ':', content, '']) AS line,
+             unnest(range(3)) AS part FROM m)
+SELECT session, created_at, message_id, part::INTEGER AS part, line FROM (SELECT * FROM h UNION ALL SELECT * FROM b) WHERE line IS NOT NULL""")
+def q_session_transcript_txt(spark, sf):
+    return S.session_transcript_txt(*_session_tables(spark, sf))
+
+
 # ---------------------------------------------------------------- charts without a computation in the reference
 def _hist_frame(spark, sf):
     return table(spark, sf, "lineitem")

@@ -280,3 +280,26 @@ def q_missing_by_dataset(spark, sf):
 def q_describe_numeric_approx(spark, sf):
     """GK-sketch quantiles: checked by the rank-error bound in tests (no exact SQL twin)."""
     return round_doubles(D.describe_numeric_approx(lineitem_nulls(spark, sf)))
+
+
+@register("describe_approx_rank_error", LI_SRC + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS count, true AS q25_holds, true AS q50_holds, true AS q75_holds FROM src"
+    for c in LINEITEM_NUMERIC))
+def q_describe_approx_rank_error(spark, sf):
+    """Per column, whether each sketched quartile's rank lies within n / accuracy of the exact one."""
+    from prism.functions.sqltext import dlit, q
+
+    li, accuracy = lineitem_nulls(spark, sf), 10_000
+    found = {r["column_name"]: r for r in D.describe_numeric_approx(li, accuracy=accuracy).collect()}
+    clean = li.selectExpr(*[f"CASE WHEN NOT isnan(CAST({q(c)} AS DOUBLE)) THEN CAST({q(c)} AS DOUBLE) END AS {q(c)}" for c in found])
+    at = [(c, p, k) for c in found for p, k in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
+    one = clean.agg(*[F.expr(f"count({q(c)}) AS `n {c}`") for c in found],
+                    *[F.expr(f"count_if({q(c)} {op} {dlit(found[c][k])}) AS `{name} {c} {k}`") for c, _, k in at for op, name in (("<", "below"), ("<=", "upto"))])
+
+    def holds(c, p, k):
+        n = F.col(f"`n {c}`")
+        return (F.col(f"`below {c} {k}`") <= n * (p + 1 / accuracy) + 1) & (F.col(f"`upto {c} {k}`") >= n * (p - 1 / accuracy) - 1)
+
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`n {c}`").alias("count"), *[holds(x, p, k).alias(f"{k}_holds") for x, p, k in at if x == c])
+        for c in found])))

@@ -89,10 +89,45 @@ def transcript_txt(messages: DataFrame, session: str, order: str, role: str, tex
     return head.unionByName(body)
 
 
-def write_lines(lines: DataFrame, path: str, fmt: str = "text") -> None:
-    """Write (session, line_no, line) in order: range partitioning on (session,
-    line_no) keeps each session's lines contiguous and splits a huge session."""
-    ordered = lines.repartitionByRange("session", "line_no").sortWithinPartitions("session", "line_no")
+LINE_ORDER = ["session", "created_at", "message_id", "part"]
+
+
+def session_transcript_json(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """S10 from ``sessions`` (session, title, created_at, dataset) and ``messages`` (session,
+    message_id, role, content, message_type, created_at): JSON lines in the order of LINE_ORDER, a
+    session's own line first (its created_at and message_id are NULL). Sessions without messages have a line too;
+    messages of one second keep together and are ordered by id."""
+    keep = {"ignoreNullFields": "false"}
+    head = sessions.select("session", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("string").alias("message_id"),
+                           F.lit(0).alias("part"), F.to_json(F.struct(
+                               F.col("session").cast("string").alias("id"), "title", fn_iso_timestamp("created_at").alias("created_at"),
+                               "dataset"), keep).alias("line"))
+    body = messages.select("session", "created_at", "message_id", F.lit(0).alias("part"), F.to_json(F.struct(
+        F.col("message_id").alias("id"), "role", "content", "message_type", fn_iso_timestamp("created_at").alias("created_at")), keep).alias("line"))
+    return head.unionByName(body)
+
+
+def session_transcript_txt(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """S11 from the same tables: the lines ``Conversation:``, ``Date:``, ``Dataset:`` (if there is one), a rule, then
+    ``[HH:MM:SS] <Role>:`` / content / blank per message, in the order of LINE_ORDER."""
+    def lines(*texts: Column) -> Column:
+        return F.inline(F.filter(F.array(*[F.struct(F.lit(i).alias("part"), t.alias("line")) for i, t in enumerate(texts)]),
+                                 lambda x: x["line"].isNotNull()))
+
+    day = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    head = sessions.select("session", F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("string").alias("message_id"),
+                           lines(F.concat(F.lit("Conversation: "), "title"), F.concat(F.lit("Date: "), day),
+                                 F.concat(F.lit("Dataset: "), "dataset"), F.lit(""), F.lit(RULE), F.lit("")))
+    said = F.concat(F.lit("["), F.date_format("created_at", "HH:mm:ss"), F.lit("] "), _role_display(F.col("role")), F.lit(":"))
+    body = messages.select("session", "created_at", "message_id", lines(said, F.coalesce("content", F.lit("")), F.lit("")))
+    return head.unionByName(body)
+
+
+def write_lines(lines: DataFrame, path: str, fmt: str = "text", order: list[str] | None = None) -> None:
+    """Write lines in ``order`` (default session, line_no; LINE_ORDER for session transcripts): range
+    partitioning on it keeps each session's lines contiguous and splits a huge session."""
+    order = order or ["session", "line_no"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     if fmt == "text":
         ordered.select("line").write.mode("overwrite").text(path)
     else:
