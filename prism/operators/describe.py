@@ -9,7 +9,6 @@ from prism.functions.missing import is_missing
 from prism.functions.sqltext import clean_double, column, dlit, q, slit
 from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
 from prism.operators.roles import roles
-from prism.operators.working import working_set
 
 QUARTILES = [0.25, 0.5, 0.75]
 DESCRIBE_SCHEMA = ("column_name string, count bigint, mean double, std double, min double, q25 double, "
@@ -68,20 +67,16 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
     """A2: per numeric column count, mean, std (ddof=1), min, q25, q50, q75, max, median.
 
     Exact quantiles with linear interpolation; see ``quantiles`` for how they stay
-    distributed. The planning passes run over a cached working set (released
-    afterwards); the moments ride along in its statistics pass. The returned plan
-    is the final, filtered collection pass over ``df``.
+    distributed. Every pass is a column-pruned scan of ``df`` (nothing is cached: a
+    copy of the numeric columns would be larger than their files); the moments ride
+    along in the statistics pass. The returned plan is the final, filtered collection pass.
     """
     work, cols = _numeric_frame(df, cols)
     if not cols:
         return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
-    cached = working_set(work)
     extra = [F.expr(f"{fn}({q(c)}) AS {k}{i}") for i, c in enumerate(cols)
              for fn, k in (("avg", "mean"), ("stddev_samp", "std"))]
-    try:
-        plan = plan_exact_quantiles(cached, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
-    finally:
-        cached.unpersist()
+    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
     ex = plan.extras
     own = {"n": "__n", "min": "__mn", "max": "__mx"}
 
@@ -89,8 +84,6 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 5
         v = ex[f"{own.get(k, k)}{i}"]
         return "NULL" if v is None else (str(int(v)) + "L" if k == "n" else dlit(v))
 
-    # the final collection is a filtered scan of the source projection: it needs
-    # neither the cache nor the spread
     return _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
 
 
