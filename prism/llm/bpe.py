@@ -80,14 +80,22 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pack(positions: np.ndarray) -> bytes:
-    """Positions by byte plane, compressed: common words have small positions."""
-    planes = positions.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    """Positions with seven bits a byte (common words have small positions), compressed."""
+    at = positions.astype(np.int64)
+    sizes = 1 + sum((at >> 7 * k > 0).astype(np.int8) for k in range(1, 5))
+    coded = np.stack([(at >> 7 * k) & 127 for k in range(5)], axis=1).astype(np.uint8)
+    coded |= ((np.arange(5) + 1 < sizes[:, None]) * np.uint8(128)).astype(np.uint8)
+    return zstandard.ZstdCompressor(level=3).compress(coded[np.arange(5) < sizes[:, None]].tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    coded = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    ends = np.flatnonzero(coded < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[:len(ends)]
+    at, padded = np.zeros(len(ends), np.int64), np.concatenate([coded, np.zeros(5, np.uint8)])
+    for k in range(5):
+        at |= np.where(ends - starts >= k, (padded[starts + k].astype(np.int64) & 127) << 7 * k, 0)
+    return at
 
 
 def _block(number: int, words: dict[str, int], docs: list, lengths: list[int], places: array) -> pa.RecordBatch:
