@@ -79,23 +79,31 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+def _seven_bits(positions: np.ndarray) -> bytes:
+    at = positions.astype(np.uint32)
+    sizes = 1 + sum((at >> np.uint32(7 * k) > 0).astype(np.int8) for k in range(1, 5))
+    coded = np.stack([((at >> np.uint32(7 * k)) & np.uint32(127)).astype(np.uint8) for k in range(5)], axis=1)
+    coded[np.arange(1, 6) < sizes[:, None]] |= np.uint8(128)
+    return coded[np.arange(5) < sizes[:, None]].tobytes()
+
+
 def _pack(positions: np.ndarray) -> bytes:
     """Positions with seven bits a byte (common words have small positions), compressed."""
-    at = positions.astype(np.int64)
-    sizes = 1 + sum((at >> 7 * k > 0).astype(np.int8) for k in range(1, 5))
-    coded = np.stack([(at >> 7 * k) & 127 for k in range(5)], axis=1).astype(np.uint8)
-    coded |= ((np.arange(5) + 1 < sizes[:, None]) * np.uint8(128)).astype(np.uint8)
-    return zstandard.ZstdCompressor(level=3).compress(coded[np.arange(5) < sizes[:, None]].tobytes())
+    parts = [_seven_bits(positions[i:i + SLICE]) for i in range(0, len(positions), SLICE)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     coded = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    ends = np.flatnonzero(coded < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)[:len(ends)]
-    at, padded = np.zeros(len(ends), np.int64), np.concatenate([coded, np.zeros(5, np.uint8)])
-    for k in range(5):
-        at |= np.where(ends - starts >= k, (padded[starts + k].astype(np.int64) & 127) << 7 * k, 0)
-    return at
+    ends = np.flatnonzero(coded < 128).astype(np.uint32)
+    positions = np.zeros(len(ends), np.uint32)
+    for i in range(0, len(ends), SLICE):
+        last = ends[i:i + SLICE].astype(np.int64)
+        first = np.concatenate([[int(ends[i - 1]) + 1 if i else 0], last[:-1] + 1])
+        for k in range(5):
+            here = np.flatnonzero(last - first >= k)
+            positions[i + here] |= (coded[first[here] + k].astype(np.uint32) & np.uint32(127)) << np.uint32(7 * k)
+    return positions
 
 
 def _block(number: int, words: dict[str, int], docs: list, lengths: list[int], places: array) -> pa.RecordBatch:
