@@ -172,28 +172,50 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarr
     return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _assemble(texts: pa.Table, chunks: pa.Table) -> pa.Table:
-    """The ids of each text of a block, by position."""
-    places, sizes, flat = (_flat(chunks[c]) for c in ("places", "sizes", "ids"))
-    size_of, start_of = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-    size_of[places], start_of[places] = sizes, np.cumsum(sizes) - sizes
-    out = []
-    for row in range(texts.num_rows):
-        at, lengths = _unpack(texts["positions"][row].as_py()), _flat(texts["lengths"].slice(row, 1)).astype(np.int64)
-        docs, ends = texts["doc_ids"][row].values, np.cumsum(lengths)
-        first = 0
-        while first < len(lengths):
-            start = ends[first] - lengths[first]
-            last = max(first + 1, int(np.searchsorted(ends, start + SLICE, "right")))
-            here = at[start:ends[last - 1]]
-            counts = size_of[here]
-            ids = _gather(start_of[here], counts, flat)
-            upto = np.concatenate([[0], np.cumsum(counts)])
-            offsets = upto[np.concatenate([[0], ends[first:last] - start])]
-            out.append(pa.table({"doc_id": docs.slice(first, last - first), "ids": pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}))
-            first = last
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))})
+def _assemble(table):
+    """Function of a block's texts and its words' ids: the ids of each text, by position, and with
+    ``table`` (token bytes by id) also the bytes that these ids decode to."""
+    def run(texts: pa.Table, chunks: pa.Table) -> pa.Table:
+        places, sizes, flat = (_flat(chunks[c]) for c in ("places", "sizes", "ids"))
+        size_of, start_of = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        size_of[places], start_of[places] = sizes, np.cumsum(sizes) - sizes
+        out = []
+        for row in range(texts.num_rows):
+            at, lengths = _unpack(texts["positions"][row].as_py()), _flat(texts["lengths"].slice(row, 1)).astype(np.int64)
+            docs, ends = texts["doc_ids"][row].values, np.cumsum(lengths)
+            first = 0
+            while first < len(lengths):
+                start = ends[first] - lengths[first]
+                last = max(first + 1, int(np.searchsorted(ends, start + SLICE, "right")))
+                here = at[start:ends[last - 1]]
+                counts = size_of[here]
+                ids = _gather(start_of[here], counts, flat)
+                upto = np.concatenate([[0], np.cumsum(counts)])
+                offsets = upto[np.concatenate([[0], ends[first:last] - start])]
+                done = {"doc_id": docs.slice(first, last - first),
+                        "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))}
+                if table is not None:
+                    done["decoded"] = decode_ids(done["ids"], table.value)
+                out.append(pa.table(done))
+                first = last
+        empty = {"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32()))}
+        return pa.concat_tables(out) if out else pa.table(empty | ({} if table is None else {"decoded": pa.array([], pa.binary())}))
+
+    return run
+
+
+def decode_ids(ids: pa.ListArray, by_id: list[bytes]) -> pa.Array:
+    """The bytes of each list of ids."""
+    token = by_id.__getitem__
+    return pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token-byte table: the bytes of every id."""
+    by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        by_id[rank] = token
+    return by_id
 
 
 def _bucketed(blocks: DataFrame) -> DataFrame:
@@ -210,8 +232,10 @@ def _bucketed(blocks: DataFrame) -> DataFrame:
     return table
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id and ``ids`` of every document."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars: int = BLOCK_CHARS,
+           decoded: bool = False) -> DataFrame:
+    """doc_id and ``ids`` of every document; with ``decoded`` also the bytes that the ids
+    decode to, from the task that has them (a second Python worker a task costs memory)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
     blocks = _bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -220,21 +244,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_chars:
     chunks = (words.repartition("word").sortWithinPartitions("word")
               .mapInArrow(_encode_words(shared), "block long, places array<int>, sizes array<int>, ids array<int>"))
     texts = blocks.select("block", "doc_ids", "lengths", "positions")
-    return texts.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(_assemble, "doc_id long, ids array<int>")
+    table = spark.sparkContext.broadcast(token_bytes(ranks)) if decoded else None
+    return texts.groupBy("block").cogroup(chunks.groupBy("block")).applyInArrow(
+        _assemble(table), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(spark: SparkSession, tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``tokens`` with ``decoded``, the bytes of its ``ids``."""
-    size = max(ranks.values(), default=-1) + 1
-    by_id = [b""] * size
-    for token, rank in ranks.items():
-        by_id[rank] = token
-    table = spark.sparkContext.broadcast(by_id)
+    table = spark.sparkContext.broadcast(token_bytes(ranks))
 
     @F.arrow_udf("binary")
     def join_bytes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = table.value.__getitem__
         for ids in batches:
-            yield pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in ids], pa.binary())
+            yield decode_ids(ids, table.value)
 
     return tokens.withColumn("decoded", join_bytes(F.col("ids")))

@@ -148,10 +148,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def tokens(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, ids and the bytes they decode to, by the public byte-level vocabulary."""
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.decode(spark, bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True)
 
 
 def token_digests(encoded: DataFrame, *more: str) -> DataFrame:
@@ -163,7 +163,7 @@ def token_digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 @register("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(tokens(spark, table(spark, sf_dir, "documents")))
+    return token_digests(tokens(table(spark, sf_dir, "documents")))
 
 
 @register("op10_quality_rules")

@@ -228,7 +228,10 @@ TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable
 def check_tokens(spark, rows, **options):
     encoded = bpe.encode(documents(spark, rows, clash=True), RANKS, public_tokenizers.PATTERN, **options)
     got = Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in bpe.decode(spark, encoded, RANKS).collect())
-    assert got == Counter((r[0], tuple(TIKTOKEN.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows)
+    expected = Counter((r[0], tuple(TIKTOKEN.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows)
+    assert got == expected
+    both = bpe.encode(documents(spark, rows), RANKS, public_tokenizers.PATTERN, decoded=True, **options)
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both.collect()) == expected
 
 
 def test_bpe_odd_rows_and_small_blocks(spark):
