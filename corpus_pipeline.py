@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of the ids and of the bytes they decode to."""
-    return queries.token_digests(queries.tokens(spark, docs), "ids")
+    return queries.token_digests(queries.tokens(docs), "ids")
 
 
 STAGES = [
