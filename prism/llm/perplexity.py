@@ -8,9 +8,9 @@ arrays of n-gram hashes beside their log probabilities. Discounts D1, D2, D3+ co
 counts of counts of each order; lower orders use continuation counts.
 
 A document is rejected if it fails the base rules (too few words, too many words in
-repeated 8-word windows) or if its perplexity lies outside its language's band. A passage in
-another language is no lack of quality, so each segment of a text counts with the model that
-fits it best. Bands are quartiles of log perplexity over the documents that pass the base rules, widened by ``WIDTH``
+repeated 8-word windows) or if its perplexity lies outside its language's band. A text is
+scored by its own language's model. A short passage in another language is no lack of quality,
+so at most ``FOREIGN`` of a text's segments count with the model that fits them best. Bands are quartiles of log perplexity over the documents that pass the base rules, widened by ``WIDTH``
 interquartile ranges on either side. The band also allows for the length of a text, as
 the mean over n characters scatters with 1 / sqrt(n).
 
@@ -40,8 +40,8 @@ WIDTH = 3.0
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 #: Characters of a language that are counted at once.
 AT_ONCE = 2_000_000
-#: Characters of a segment, which is scored by the language that fits it best.
-SEGMENT = 128
+#: Characters of a segment, and the share of a text's segments that another model may score.
+SEGMENT, FOREIGN = 128, 0.25
 #: Characters that the scatter of a short text's mean is taken for.
 SCATTER_CHARS = 100.0
 #: The symbols that are counted, and the white space that ends words.
@@ -170,11 +170,20 @@ def log_probabilities(model: dict[str, np.ndarray], gram: np.ndarray) -> np.ndar
     return out
 
 
-def mean_log(models: dict[str, dict], known: dict[str, np.ndarray], found: np.ndarray) -> float:
-    """Mean negative log probability of a text's 4-gram codes, every segment under the language that
-    fits it best; ``known`` keeps what the sorted arrays gave for 4-grams met before."""
+def spared_mean(own: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> float:
+    """Mean negative log probability of a text from its segments' sums under its own language's
+    model; at most ``FOREIGN`` of the segments, those that gain most, count with ``other``."""
+    gain = np.maximum(other - own, 0)
+    spared = int(FOREIGN * len(own))
+    best = np.sort(gain)[len(gain) - spared:].sum()
+    return float(-(own.sum() + best) / sizes.sum())
+
+
+def mean_log(models: dict[str, dict], known: dict[str, np.ndarray], found: np.ndarray, own: str) -> float:
+    """Mean negative log probability of a text's 4-gram codes under its own language's model, short
+    passages under the language that fits them best; ``known`` keeps what the sorted arrays gave for 4-grams met before."""
     starts = np.arange(0, len(found), SEGMENT)
-    best = np.full(len(starts), -np.inf)
+    sums = {}
     for name, model in models.items():
         table = known.get(name)
         if table is None:
@@ -185,8 +194,8 @@ def mean_log(models: dict[str, dict], known: dict[str, np.ndarray], found: np.nd
             new = np.unique(found[missing])
             table[new] = log_probabilities(model, new)
             logs = table[found]
-        best = np.maximum(best, np.add.reduceat(logs, starts, dtype=np.float64))
-    return float(-best.sum() / len(found))
+        sums[name] = np.add.reduceat(logs, starts, dtype=np.float64)
+    return spared_mean(sums[own], np.max(list(sums.values()), axis=0), np.diff(np.append(starts, len(found))))
 
 
 def model_of(docs: DataFrame) -> dict[str | None, dict[str, np.ndarray]]:
@@ -256,7 +265,7 @@ def _score(model, fields: list[str]):
                 rows.append(base_counts(text))
                 langs.append(name)
                 chars.append(len(text))
-                logs.append(mean_log(model.value, tables, codes(text, classes)) if text else None)
+                logs.append(mean_log(model.value, tables, codes(text, classes), name) if text else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(BASE_FIELDS))),
                  pa.array(logs, pa.float64()), pa.array(chars, pa.int64())], fields)

@@ -388,6 +388,31 @@ def test_quality_rejects_noise_and_keeps_prose(spark):
     assert not any(kept[r[0]][0] for r in noise)
 
 
+def language_rows(names, n=40):
+    """Texts of languages with the same letters, each with its own odds of what letter follows: (rows, a function that makes a text)."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("aeinorst"))
+    steps = {x: np.cumsum(rng.dirichlet(np.full(8, 0.25), 8) * 0.9 + 0.1 / 8, axis=1) for x in names}
+
+    def text(lang, k=150):
+        at, out = 0, []
+        for u in rng.random(5 * k):
+            at = min(int(np.searchsorted(steps[lang][at], u)), 7)
+            out.append(letters[at])
+        return " ".join("".join(out[i:i + 5]) for i in range(0, 5 * k, 5)) + "."
+
+    return [(1000 * i + j, text(x), x, "a", 0) for i, x in enumerate(names) for j in range(n)], text
+
+
+def test_quality_scores_a_text_by_its_own_language(spark):
+    rows, text = language_rows(["en", "fr", "de"])
+    wrong = [(-1 - i, text(x), y, "a", 0) for i, (x, y) in enumerate([("fr", "en"), ("de", "fr"), ("en", "de")])]
+    passage = [(-10, text("en", 180) + text("fr", 20) + text("en", 100), "en", "a", 0)]
+    kept = {r.doc_id: r.kept for r in perplexity.judge(documents(spark, rows + wrong + passage)).collect()}
+    assert not any(kept[r[0]] for r in wrong)
+    assert kept[-10] and all(kept[r[0]] for r in rows)
+
+
 # --- toxicity ----------------------------------------------------------------
 
 def toxic_corpus(n=400):
