@@ -1,22 +1,23 @@
 """Quality rules with n-gram perplexity.
 
-Language model: modified Kneser-Ney over character 4-grams, one model a language, counted
-by Spark over all texts. Characters fall into 32 classes (the letters a-z without case,
-other letters, digits, spaces, line ends, marks, ...), so a language has at most 32**4
-n-grams whatever the corpus: the model has a proven size, and is broadcast as sorted
-arrays of n-gram hashes beside their log probabilities. Discounts D1, D2, D3+ come from the
-counts of counts of each order; lower orders use continuation counts.
+Language model: modified Kneser-Ney over 4-grams of whole code points, one model a language,
+counted by Spark over all texts. The counts, the contexts and the probabilities are tables
+keyed by (language, n-gram) that grow with the corpus and are joined in Spark; nothing of
+them is broadcast or collected, and neither languages nor n-grams are capped. Discounts D1,
+D2, D3+ come from the counts of counts of each order; lower orders use continuation counts.
+Texts are dealt into blocks of about ``BLOCK`` characters; each block's distinct n-grams get
+their log probabilities by a join, and the block is scored beside them.
 
 A document is rejected if it fails the base rules (too few words, too many words in
 repeated 8-word windows) or if its perplexity lies outside its language's band. A text is
 scored by its own language's model. A short passage in another language is no lack of quality,
-so at most ``FOREIGN`` of a text's segments count with the model that fits them best. Bands are quartiles of log perplexity over the documents that pass the base rules, widened by ``WIDTH``
+so at most ``FOREIGN`` of a text's segments, those that gain most, count with the model
+of all languages together where that fits better. Bands are quartiles of log perplexity over the documents that pass the base rules, widened by ``WIDTH``
 interquartile ranges on either side. The band also allows for the length of a text, as
 the mean over n characters scatters with 1 / sqrt(n).
 
 Defined cases: null and empty texts have no words, fail the base rules and have no
-perplexity; a null language is a language of its own; languages beyond the
-``MAX_LANGUAGES`` with most characters share one model and band; a band needs two
+perplexity; a null language is a language of its own; a band needs two
 documents, else all pass; repeated rows are judged alike; no rows give no rows.
 """
 
@@ -34,12 +35,16 @@ from prism.session import cut_lineage
 
 ORDER = 4
 CLASSES = 32
-MAX_LANGUAGES = 8
-OTHER = "other languages"
+#: Languages whose class counts a task holds at once (then they go out; no cap).
+HELD = 16
 WIDTH = 3.0
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
-#: Characters of a language that are counted at once.
-AT_ONCE = 2_000_000
+#: Characters that are counted at once, and characters of a block of texts.
+AT_ONCE, BLOCK = 2_000_000, 16_000_000
+#: Bits of a symbol: a code point + 1, or 0 for what stands before a text.
+BITS = 21
+#: Key of the model of all languages; a language's key begins with another sign.
+ALL = "*"
 #: Characters of a segment, and the share of a text's segments that another model may score.
 SEGMENT, FOREIGN = 128, 0.25
 #: Characters that the scatter of a short text's mean is taken for.
@@ -81,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine.append(codes(text.as_py() or "", classes))
             if sum(map(len, mine)) > AT_ONCE:
                 _add(counts, lang, waiting.pop(lang))
-        if len(counts) + len(waiting) > 2 * MAX_LANGUAGES:  # bounded memory: what is held goes out
+        if len(counts) + len(waiting) > HELD:  # bounded memory: what is held goes out
             for lang in list(waiting):
                 _add(counts, lang, waiting.pop(lang))
                 yield from _flush(counts)
@@ -179,40 +184,150 @@ def spared_mean(own: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> float:
     return float(-(own.sum() + best) / sizes.sum())
 
 
-def mean_log(models: dict[str, dict], known: dict[str, np.ndarray], found: np.ndarray, own: str) -> float:
-    """Mean negative log probability of a text's 4-gram codes under its own language's model, short
-    passages under the language that fits them best; ``known`` keeps what the sorted arrays gave for 4-grams met before."""
-    starts = np.arange(0, len(found), SEGMENT)
-    sums = {}
-    for name, model in models.items():
-        table = known.get(name)
-        if table is None:
-            table = known[name] = np.full(CLASSES**ORDER, np.nan, np.float32)
-        logs = table[found]
-        missing = np.isnan(logs)
-        if missing.any():
-            new = np.unique(found[missing])
-            table[new] = log_probabilities(model, new)
-            logs = table[found]
-        sums[name] = np.add.reduceat(logs, starts, dtype=np.float64)
-    return spared_mean(sums[own], np.max(list(sums.values()), axis=0), np.diff(np.append(starts, len(found))))
-
-
 def model_of(docs: DataFrame) -> dict[str | None, dict[str, np.ndarray]]:
-    """One model for each language: counted by Spark, at most 32**4 rows a language come back."""
+    """The same estimator over character classes, in memory, one model for each language; for
+    small corpora (:func:`judge` uses :func:`probabilities`)."""
     lang = F.coalesce(F.col("lang"), F.lit(""))
     counted = cut_lineage(docs.select(lang.alias("lang"), "text").mapInArrow(_count, "lang string, gram long, n long")
                           .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lm-counts")
-    largest = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n"))
-               .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    own = counted.where(F.col("lang").isin(largest)) if largest else counted
-    rest = counted.where(~F.col("lang").isin(largest)) if largest else counted.limit(0)
-    rows = own.unionByName(rest.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(OTHER).alias("lang"), "gram", "n"))
-    found = rows.orderBy("lang", "gram").toArrow()
+    found = counted.orderBy("lang", "gram").toArrow()
     langs, grams, ns = found["lang"].to_numpy(zero_copy_only=False), found["gram"].to_numpy(), found["n"].to_numpy()
     return {name: kneser_ney(grams[langs == name], ns[langs == name]) for name in dict.fromkeys(langs.tolist())}
 
 
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts, each behind ORDER - 1 zeros, and the places of their characters."""
+    pad = "\0" * (ORDER - 1)
+    flat = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32) + 1
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.cumsum(sizes + ORDER - 1) - sizes  # of each text's characters
+    for k in range(1, ORDER):
+        flat[starts - k] = 0
+    return flat, np.flatnonzero(flat)
+
+
+def _pack(dense: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    key = np.zeros(len(at), np.int64)
+    for back in range(ORDER - 1, -1, -1):
+        key = (key << bits) | dense[at - back]
+    return key
+
+
+def grams(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, last symbol, count) of the distinct 4-grams that end at the places. Symbols are
+    numbered densely so that a 4-gram fits 62 bits; places with too many symbols are halved."""
+    if not len(at):
+        return
+    used = np.zeros(0x110002, bool)
+    for back in range(ORDER):
+        used[flat[at - back]] = True
+    symbol = np.flatnonzero(used)
+    bits = max(1, int(len(symbol) - 1).bit_length())
+    if ORDER * bits > 62:
+        yield from grams(flat, at[:len(at) // 2])
+        yield from grams(flat, at[len(at) // 2:])
+        return
+    number = np.cumsum(used, dtype=np.int64) - 1
+    key, n = np.unique(_pack(number[flat], at, bits), return_counts=True)
+    parts = [symbol[(key >> (bits * back)) & ((1 << bits) - 1)] for back in range(ORDER - 1, -1, -1)]
+    context = np.zeros(len(key), np.int64)
+    for part in parts[:-1]:
+        context = (context << BITS) | part
+    yield context, parts[-1], n
+
+
+def log_lookup(flat: np.ndarray, at: np.ndarray, context: np.ndarray, last: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The row of ``values`` (columns beside context and last, which are distinct) of the 4-gram at each place."""
+    out = np.empty((values.shape[0], len(at)), np.float64)
+    if not len(at):
+        return out
+    used = np.zeros(0x110002, bool)
+    for back in range(ORDER):
+        used[flat[at - back]] = True
+    bits = max(1, int(used.sum() - 1).bit_length())
+    if ORDER * bits > 62:
+        half = len(at) // 2
+        out[:, :half], out[:, half:] = (log_lookup(flat, a, context, last, values) for a in (at[:half], at[half:]))
+        return out
+    number = np.cumsum(used, dtype=np.int64) - 1
+    parts = [(context >> (BITS * back)) & ((1 << BITS) - 1) for back in range(ORDER - 2, -1, -1)] + [last]
+    own = np.logical_and.reduce([used[p] for p in parts])
+    table = np.zeros(int(own.sum()), np.int64)
+    for part in parts:
+        table = (table << bits) | number[part[own]]
+    by = np.argsort(table)
+    table, rows = table[by], values[:, own][:, by]
+    key = _pack(number[flat], at, bits)
+    found = np.searchsorted(table, key)
+    if not len(table) or (table[np.minimum(found, len(table) - 1)] != key).any():
+        raise ValueError("a text has n-grams that were not counted")
+    return rows[:, found]
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
+    """(key, text) -> (key, texts), about AT_ONCE characters at once."""
+    waiting, held = {}, 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            key = tuple(key.values()) if isinstance(key, dict) else key
+            text = text.as_py()
+            if text:
+                waiting.setdefault(key, []).append(text)
+                held += len(text)
+            if held > AT_ONCE:
+                yield from waiting.items()
+                waiting, held = {}, 0
+    yield from waiting.items()
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, context, last, n), summed within about AT_ONCE characters."""
+    for key, texts in _by_language(batches):
+        for context, last, n in grams(*symbols(texts)):
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
+                                              "context": pa.array(context, pa.int64()), "last": pa.array(last, pa.int32()),
+                                              "n": pa.array(n, pa.int64())})
+
+
+def probabilities(texts: DataFrame) -> DataFrame:
+    """(key, text) -> key, context, last, p: the modified Kneser-Ney probability of every 4-gram
+    of each key, and of the key ALL, which has the counts of all keys together."""
+    counted = cut_lineage(texts.mapInArrow(_gram_counts, "key string, context long, last int, n long")
+                          .groupBy("key", "context", "last").agg(F.sum("n").alias("n")), "lm-counts")
+    level = cut_lineage(counted.unionByName(counted.groupBy("context", "last").agg(F.sum("n").alias("n"))
+                                            .select(F.lit(ALL).alias("key"), "context", "last", "n")), "lm-order-4")
+    levels = {ORDER: level}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: by how many symbols a gram is preceded
+        kept = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1).cast("long"))
+        level = cut_lineage(level.groupBy("key", kept.alias("context"), "last").agg(F.count(F.lit(1)).alias("n")), f"lm-order-{order}")
+        levels[order] = level
+    below = levels[1].groupBy("key").agg((1 / (F.count(F.lit(1)) + 1)).alias("lower"))  # order 0: uniform
+    for order in range(1, ORDER + 1):
+        ns = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+        n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(1.0)]
+        known = (n1 > 0) & (n2 > 0)
+        d = [F.when(known, F.least(F.greatest(x, F.lit(0.05)), F.lit(k - 0.05))).otherwise(0.5).alias(f"d{k}") for k, x in enumerate(d, 1)]
+        discounts = cut_lineage(levels[order].groupBy("key").agg(*ns).select("key", *d), "lm-discounts")  # a row a language
+        n = F.col("n")
+        contexts = levels[order].groupBy("key", "context").agg(
+            F.sum("n").alias("total"), F.count_if(n == 1).alias("c1"), F.count_if(n == 2).alias("c2"), F.count_if(n > 2).alias("c3"))
+        contexts = contexts.join(discounts, "key").withColumn(
+            "reserved", (F.col("c1") * F.col("d1") + F.col("c2") * F.col("d2") + F.col("c3") * F.col("d3")) / F.col("total"))
+        cut = F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = levels[order].join(contexts, ["key", "context"])
+        if order == 1:
+            rows = rows.join(below, "key")
+        else:
+            kept = F.col("context").bitwiseAND(F.lit((1 << (BITS * (order - 2))) - 1).cast("long"))
+            lower = below.select("key", F.col("context").alias("shorter"), "last", F.col("p").alias("lower"))
+            rows = rows.withColumn("shorter", kept).join(lower, ["key", "shorter", "last"])
+        p = (n - cut) / F.col("total") + F.col("reserved") * F.col("lower")
+        below = cut_lineage(rows.select("key", "context", "last", p.alias("p")), f"lm-p{order}")
+    return below
+
+
 def repeated_window_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words in windows of ``width`` words that the text holds twice or more, the first included.
     Windows are named exactly by doubling: 1, 2, 4, ... words get a number each."""
@@ -253,45 +368,77 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
             repeated_window_words(words))
 
 
-def _score(model, fields: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, tables = character_classes(), {}
-        for batch in batches:
-            rows, langs, logs, chars = [], [], [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py() or ""
-                name = lang or ""
-                name = name if name in model.value else OTHER
-                rows.append(base_counts(text))
-                langs.append(name)
-                chars.append(len(text))
-                logs.append(mean_log(model.value, tables, codes(text, classes), name) if text else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(BASE_FIELDS))),
-                 pa.array(logs, pa.float64()), pa.array(chars, pa.int64())], fields)
-
-    return run
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text, block) -> (block, key, context, last), distinct within about AT_ONCE characters."""
+    pairs = (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(3), b.column(1)], ["block", "key"]), b.column(2)], ["of", "text"])
+             for b in batches)
+    for (block, key), texts in _by_language(pairs):
+        for context, last, n in grams(*symbols(texts)):
+            nth = pa.array(np.zeros(len(n), np.int32))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()).take(nth), "key": pa.array([key], pa.string()).take(nth),
+                                              "context": pa.array(context, pa.int64()), "last": pa.array(last, pa.int32())})
+
+
+SCORED = "doc_id long, key string, " + "".join(f"{f} long, " for f in BASE_FIELDS) + "log_ppl double, chars long"
+
+
+def _score(docs: pa.Table, models: pa.Table) -> pa.Table:
+    """The documents of a block with their base counts and mean negative log probability."""
+    texts = [t or "" for t in docs["text"].to_pylist()]
+    keys, logs = np.array(docs["key"].to_pylist(), object), np.full(len(texts), np.nan)
+    owners = models["key"].to_numpy() if models.num_rows else np.array([], object)
+    context, last = (models[c].to_numpy().astype(np.int64) for c in ("context", "last"))
+    values = np.stack([models[c].to_numpy() for c in ("own", "other")])
+    for key in dict.fromkeys(keys.tolist()):
+        mine = owners == key
+        table = context[mine], last[mine], values[:, mine]
+        rows = np.array([i for i in np.flatnonzero(keys == key) if texts[i]], np.int64)
+        ends = np.cumsum([len(texts[i]) for i in rows])
+        for part in np.split(rows, np.flatnonzero(np.diff(ends // AT_ONCE)) + 1) if len(rows) else []:
+            own, other = log_lookup(*symbols([texts[i] for i in part]), *table)
+            first = 0
+            for i in part:
+                n = len(texts[i])
+                starts = np.arange(first, first + n, SEGMENT)
+                sums = [np.add.reduceat(x[:first + n], starts) for x in (own, other)]
+                logs[i] = spared_mean(*sums, np.diff(np.append(starts, first + n)))
+                first += n
+    counts = np.array([base_counts(t) for t in texts], np.int64).reshape(-1, len(BASE_FIELDS))
+    return pa.table({"doc_id": docs["doc_id"], "key": docs["key"], **{f: pa.array(counts[:, k]) for k, f in enumerate(BASE_FIELDS)},
+                     "log_ppl": pa.array(logs, pa.float64(), from_pandas=True),
+                     "chars": pa.array([len(t) for t in texts], pa.int64())})
+
+
+def scores(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the language), the base counts, log_ppl and chars of every document."""
+    key = F.when(F.col("lang").isNull(), "-").otherwise(F.concat(F.lit("="), "lang"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
+    p = probabilities(keyed.select("key", "text"))
+    own = p.where(F.col("key") != ALL).select("key", "context", "last", F.log("p").alias("own"))
+    models = own.join(p.where(F.col("key") == ALL).select("context", "last", F.log("p").alias("other")), ["context", "last"])
+    chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = 1 + chars // BLOCK
+    # by text and id: rows that repeat both are few or judged in one block, all else is spread
+    dealt = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    # all columns of ``dealt`` go in, so that its shuffle is the one that the scoring reads
+    asked = (dealt.mapInArrow(_block_grams, "block int, key string, context long, last int").distinct().join(models, ["key", "context", "last"]))
+    return cut_lineage(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score, SCORED), "lm-scores")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, perplexity, its band (lower, upper) and kept."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(model_of(docs))
-    fields = ["doc_id", "lang", *BASE_FIELDS, "log_ppl", "chars"]
-    kinds = "doc_id long, lang string, " + "".join(f"{f} long, " for f in BASE_FIELDS) + "log_ppl double, chars long"
-    scored = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-                         .mapInArrow(_score(model, fields), kinds), "lm-scores")
+    scored = scores(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     quartiles = F.percentile_approx("log_ppl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
-    bands = scored.where("not base_failed").groupBy("lang").agg(quartiles.alias("q"), F.count("log_ppl").alias("n"))
+    bands = scored.where("not base_failed").groupBy("key").agg(quartiles.alias("q"), F.count("log_ppl").alias("n"))
     spread = F.greatest(F.get("q", F.lit(2)) - F.get("q", F.lit(0)), F.lit(0.01))
-    bands = bands.select("lang", F.get("q", F.lit(1)).alias("middle"), (F.get("q", F.lit(0)) - WIDTH * spread).alias("low"),
+    bands = bands.select("key", F.get("q", F.lit(1)).alias("middle"), (F.get("q", F.lit(0)) - WIDTH * spread).alias("low"),
                          (F.get("q", F.lit(2)) + WIDTH * spread).alias("high"), "n")
     wider = F.sqrt(1 + SCATTER_CHARS / F.greatest("chars", F.lit(1)))
     inside = F.col("log_ppl").between(F.col("middle") + (F.col("low") - F.col("middle")) * wider,
                                       F.col("middle") + (F.col("high") - F.col("middle")) * wider)
-    return scored.join(bands, "lang", "left").select(
+    return scored.join(bands, "key", "left").select(
         "doc_id", *BASE_FIELDS, "base_failed", F.exp("log_ppl").alias("perplexity"), F.exp("low").alias("lower"),
         F.exp("high").alias("upper"),
         (~F.col("base_failed") & F.coalesce(inside | (F.col("n") < 2), F.lit(True))).alias("kept"))

@@ -370,6 +370,66 @@ def test_kneser_ney_against_brute_force(spark):
     assert np.exp(perplexity.log_probabilities(model, own)).sum() == pytest.approx(1, rel=1e-4)
 
 
+def slow_code_points(texts):
+    """Probability function of a modified Kneser-Ney model of 4-grams of code points, from dictionaries."""
+    counts = {4: Counter()}
+    for t in texts:
+        c = (0, 0, 0, *(ord(x) + 1 for x in t))
+        counts[4].update(c[i:i + 4] for i in range(len(t)))
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    d = {n: perplexity._discounts(np.array(list(c.values()))) for n, c in counts.items()}
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (len(counts[1]) + 1)
+        own = [c for g, c in counts[n].items() if g[:-1] == gram[:-1]]
+        c = counts[n][gram]
+        return (c - d[n][min(c, 3)]) / sum(own) + sum(d[n][min(x, 3)] for x in own) / sum(own) * p(gram[1:])
+
+    return {g: p(g) for g in counts[4]}
+
+
+def test_code_point_model_against_brute_force(spark, monkeypatch):
+    texts = {"en": ["the cat sat on the mat", "the dog. \x00the 2 dogs #", "a cat", "zz top"], "ru": ["кот и мат и кот", "\U0001f600 кит"], "": ["the"], None: ["она"]}
+    docs = spark.createDataFrame([(k, t) for k, v in texts.items() for t in [*v, None, ""]], "key string, text string").fillna("none", ["key"])
+    got = {}
+    for r in perplexity.probabilities(docs).collect():
+        symbols = [(r.context >> (21 * k)) & (2**21 - 1) for k in (2, 1, 0)]
+        got[r.key, (*symbols, r.last)] = r.p
+    expected = {(k or ("none" if k is None else k), g): p for k, v in texts.items() for g, p in slow_code_points(v).items()}
+    expected |= {(perplexity.ALL, g): p for g, p in slow_code_points([t for v in texts.values() for t in v]).items()}
+    assert got == pytest.approx(expected, rel=1e-9)
+
+
+def test_grams_of_many_symbols_are_whole():
+    texts = ["".join(map(chr, range(0x4E00, 0x4E00 + 20_000))) + "".join(map(chr, range(0x20000, 0x20000 + 40_000))), "ab", "abab"]
+    found = Counter()
+    for context, last, n in perplexity.grams(*perplexity.symbols(texts)):
+        for c, x, k in zip(context.tolist(), last.tolist(), n.tolist()):
+            found[c >> 42, (c >> 21) % 2**21, c % 2**21, x] += k
+    expected = Counter()
+    for t in texts:
+        c = (0, 0, 0, *(ord(x) + 1 for x in t))
+        expected.update(c[i:i + 4] for i in range(len(t)))
+    assert found == expected
+    keys = np.array([[(a << 42) | (b << 21) | c, d] for a, b, c, d in found]).T
+    places = perplexity.symbols(texts)
+    logs = perplexity.log_lookup(*places, *keys, np.arange(len(found), dtype=float)[None])[0]
+    order = list(found)
+    assert [order[int(x)][3] for x in logs] == [ord(x) + 1 for t in texts for x in t]
+
+
+def test_quality_tells_letters_beyond_a_to_z_apart(spark):
+    rows, text = language_rows(["ru", "other"])
+    cyrillic = str.maketrans("aeinorst", "аеинорст")
+    rows = [(d, t.translate(cyrillic), x, s, n) for d, t, x, s, n in rows if x == "ru"]
+    wrong = (-1, text("other").translate(cyrillic), "ru", "a", 0)
+    kept = {r.doc_id: r.kept for r in perplexity.judge(documents(spark, [*rows, wrong])).collect()}
+    assert not kept[-1] and all(kept[r[0]] for r in rows)
+
+
 def test_quality_odd_rows(spark):
     judged = perplexity.judge(documents(spark, clash=True)).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in judged) == Counter(
