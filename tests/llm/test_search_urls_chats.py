@@ -90,6 +90,19 @@ def test_search_in_small_shards_and_blocks(spark, monkeypatch):
     same(as_dict(ann.search(vectors, vectors.where("vec_id < 20"))), slow_search(rows, rows[:20], 10))
 
 
+def test_search_keeps_all_ties_and_near_entries_far_from_the_origin(spark):
+    # 60 entries of one cell at one distance from the query: the smallest ids win
+    ties = [(0, [0.0] * 59 + [0.0, 1.0, 1.0])] + [(200 - i, [float(j == i) for j in range(60)] + [1.0, 1.0]) for i in range(60)]
+    ties[0] = (0, [0.0] * 60 + [1.0, 1.0])
+    got = ann.search(spark.createDataFrame(ties, VECTORS), spark.createDataFrame(ties[:1], VECTORS)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == sorted(i for i, _ in ties[1:])[:10]
+    rng = np.random.default_rng(5)
+    far = [(i, (1e8 + rng.random(8)).tolist()) for i in range(400)]
+    exact = "vec_id long, embedding array<double>"
+    got = ann.search(spark.createDataFrame(far, exact), spark.createDataFrame(far[:5], exact))
+    same(as_dict(got), slow_search(far, far[:5], 10))
+
+
 def test_query_recall(spark, sf_dir):
     found = as_dict(queries.QUERIES["op1_inverted_multi_index"](spark, sf_dir))
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
