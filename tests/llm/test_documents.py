@@ -421,6 +421,16 @@ def test_grams_of_many_symbols_are_whole():
     assert [order[int(x)][3] for x in logs] == [ord(x) + 1 for t in texts for x in t]
 
 
+def test_quality_has_a_model_for_each_of_many_languages(spark):
+    names = [f"l{i}" for i in range(10)]
+    rows, text = language_rows(names)
+    # the last two languages have the fewest characters
+    rows = [r for r in rows if r[2] not in names[8:] or r[0] % 1000 < 30]
+    wrong = [(-1, text("l8"), "l9", "a", 0), (-2, text("l9"), "l8", "a", 0)]
+    kept = {r.doc_id: r.kept for r in perplexity.judge(documents(spark, rows + wrong)).collect()}
+    assert not kept[-1] and not kept[-2]
+
+
 def test_quality_tells_letters_beyond_a_to_z_apart(spark):
     rows, text = language_rows(["ru", "other"])
     cyrillic = str.maketrans("aeinorst", "аеинорст")
