@@ -13,7 +13,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prism.llm import ann, bpe, chat, licenses, linededup, mixing, perplexity, simhash, toxicity, urlfilter
+from prism.llm import (
+    ann,
+    bpe,
+    chat,
+    codes,
+    decontaminate,
+    licenses,
+    linededup,
+    mixing,
+    perplexity,
+    simhash,
+    toxicity,
+    urlfilter,
+    whiten,
+)
 from prism.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +260,77 @@ FROM v LEFT JOIN m USING (text), d""")
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op11_decontaminate", f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, k, k + least(10, len(w)) - 1) AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+x AS (
+  SELECT row, n, k, list_slice(w, k, k + n - 1) AS gram
+  FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g))),
+h AS (SELECT x.row, x.k, x.n, g.item_id FROM x JOIN g ON x.n = g.n AND x.gram = g.gram),
+hit AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(k, k + n)) AS place FROM h) GROUP BY row),
+item AS (
+  SELECT row, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(item.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN item USING (row)""")
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find(docs, items)
+    hit, items = decontaminate.hit_words(F.col("leak")), F.col("leak.items")
+    return found.select("doc_id", "leak.n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def _assign_sql(n: int) -> str:
+    """Assignment to the codebooks b{n}: index and squared distance of each part's nearest entry."""
+    return (f"a{n} AS (SELECT p.row, p.part, any_value(p.x) AS x, min(list_sum(list_transform(list_zip(p.x, b.x), "
+            f"lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + b.entry) AS best FROM p JOIN b{n} b USING (part) GROUP BY p.row, p.part)")
+
+
+def _refine_sql(n: int) -> str:
+    """The codebooks b{n + 1}: floored means of the parts that a{n} gives to each entry."""
+    return (f"s{n} AS (SELECT part, best % 64 AS entry, place, sum(x[place])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, 5) o(place) GROUP BY ALL), "
+            f"m{n} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS x FROM s{n} GROUP BY part, entry), "
+            f"b{n + 1} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{n} b LEFT JOIN m{n} m USING (part, entry))")
+
+
+@register("op12_vector_codes", f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT row, part, list_slice(x, part * 4 + 1, part * 4 + 4) AS x FROM v, range(16) o(part)),
+b0 AS (SELECT part, row - 1 AS entry, x FROM p WHERE row <= 64),
+{_assign_sql(0)}, {_refine_sql(0)}, {_assign_sql(1)}, {_refine_sql(1)}, {_assign_sql(2)},
+c AS (
+  SELECT row, string_agg(lower(format('{{:02x}}', best % 64)), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY row)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM v JOIN c USING (row)""")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", codes.hex_code(F.col("code")).alias("code"), "error", "label_error",
+                        F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = whiten.prepared(table(spark, sf_dir, "embeddings"))
+    model, distinct = whiten.fit(points)
+    if model is None or not model.values:  # no spread, no components
+        none = {"component": "int", "n": "long", "deviation": "long", "whitened": "double", "explained": "double", "identity_error": "double"}
+        return points.limit(0).select("vec_id", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    error, n = whiten.identity_error(model, distinct), len(model.values)
+    rows = whiten.whiten(points, model).select(
+        "vec_id", "deviation", "whitened", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("component"))
+    explained = F.array(*[F.lit(v / model.trace) for v in model.values])
+    return rows.select("vec_id", "component", F.lit(model.centre.n).cast("long").alias("n"), "deviation",
+                       F.get("whitened", F.col("component") - 1).alias("whitened"),
+                       F.get(explained, F.col("component") - 1).alias("explained"), F.lit(error).alias("identity_error"))
