@@ -23,8 +23,9 @@ from pyspark.sql.types import (
     CharType,
 )
 
+from prism.functions.dates import date_text, forms_of, read_dates
 from prism.functions.missing import is_missing
-from prism.functions.sqltext import column, q
+from prism.functions.sqltext import column, q, slit
 
 # Fixed byte widths of the logical size estimate (P7): width of one value by Spark type name.
 FIXED_WIDTHS = {
@@ -103,28 +104,24 @@ def numeric_projection(df: DataFrame) -> DataFrame:
 
 
 def date_candidates(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
-    """(column_name, is_date) for every text column: do all its non-null values parse as
-    timestamps, in ISO form or in one of ``formats``? One aggregate over all rows; a
-    column without values is no date."""
-    names = roles(df).categorical
+    """(column_name, is_date, form) for every text column: the first of the date forms (or of ISO and
+    ``formats``) that fits all its values, see :mod:`prism.functions.dates`. One aggregate over all
+    rows and columns; a column without values is no date."""
+    names, forms = roles(df).categorical, forms_of(formats)
     if not names:
-        return df.sparkSession.createDataFrame([], "column_name string, is_date boolean")
-    one = df.agg(*[F.bool_and(parse_timestamp(column(n), formats).isNotNull() | column(n).isNull()).alias(f"a{i}")
-                   for i, n in enumerate(names)],
-                 *[F.count(column(n)).alias(f"n{i}") for i, n in enumerate(names)])
-    return one.select(_long([
-        F.struct(F.lit(n).alias("column_name"), (F.coalesce(F.col(f"a{i}"), F.lit(False)) & (F.col(f"n{i}") > 0)).alias("is_date"))
-        for i, n in enumerate(names)]))
-
-
-#: The day-first and other common forms tried after ISO; a value takes the first that fits.
-DATE_FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy/MM/dd"]
-
-
-def parse_timestamp(text: Column, formats: list[str] | None = None) -> Column:
-    """Text as timestamp, else null: ISO first, then ``formats`` (default: day-first forms)."""
-    return F.coalesce(F.try_to_timestamp(text),
-                      *[F.try_to_timestamp(text, F.lit(f)) for f in (DATE_FORMATS if formats is None else formats)])
+        return df.sparkSession.createDataFrame([], "column_name string, is_date boolean, form string")
+    texts = {n: f"c{i}" for i, n in enumerate(names)}
+    read, readings = read_dates(df.select(*[date_text(n).alias(t) for n, t in texts.items()]), list(texts.values()), formats)
+    # one row for each value and reading, counted before it is shuffled: at most columns x forms rows a task
+    each = read.selectExpr("inline(array(" + ", ".join(
+        f"struct({i} AS pos, {t} IS NOT NULL AND {k} = 0 AS value, {f} AS form, {time} IS NOT NULL AS fits)"
+        for i, t in enumerate(texts.values()) for k, (f, time) in enumerate(readings[t])) + "))")
+    order = "array_position(array(" + ", ".join(map(slit, forms)) + "), form)"
+    counts = (each.groupBy("pos", "form").agg(F.count_if("value").alias("n"), F.count_if("fits").alias("fits"))
+              .groupBy("pos").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.expr(order).alias("place"), "form", "fits")).alias("forms")))
+    whole = F.array_min(F.filter("forms", lambda f: f["form"].isNotNull() & (f["fits"] == F.col("n")) & (F.col("n") > 0)))["form"]
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("pos") + 1)
+    return counts.select(name.alias("column_name"), whole.isNotNull().alias("is_date"), whole.alias("form"))
 
 
 def preview_head(df: DataFrame, key: list[str] | str, n: int = 10) -> DataFrame:

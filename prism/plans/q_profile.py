@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prism.operators import describe as D
 from prism.operators import quality as Q
 from prism.operators import roles as RL
+from prism.operators import timeseries as TS
 from prism.plans.fixtures import CUSTOMER_NULLS_SQL, LINEITEM_NULLS_SQL, customer_nulls, lineitem_nulls
 from prism.plans.registry import canon_sql as R, register, round_doubles, table
 
@@ -81,22 +85,67 @@ def q_numeric_projection(spark, sf):
     return round_doubles(RL.numeric_projection(table(spark, sf, "lineitem")))
 
 
-_DATE_COLUMNS = """
-  SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS iso_text, strftime(o_orderdate, '%d/%m/%Y') AS day_first_text,
-         CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS one_bad,
-         o_orderpriority, CASE WHEN false THEN 'x' END AS no_values FROM orders"""
+# text dates of every kind: column, its SQL, its expression over orders
+_DATE_COLUMNS = {
+    "iso_text": ("strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')", "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')"),
+    "month_first_text": ("strftime(o_orderdate, '%m/%d/%Y')", "date_format(o_orderdate, 'MM/dd/yyyy')"),
+    "day_first_text": ("strftime(o_orderdate, '%d/%m/%Y')", "date_format(o_orderdate, 'dd/MM/yyyy')"),
+    "ambiguous_text": ("CASE WHEN day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%d/%m/%Y') END",
+                       "CASE WHEN day(o_orderdate) <= 12 THEN date_format(o_orderdate, 'dd/MM/yyyy') END"),
+    "mixed_text": ("CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%m/%d/%Y') END",
+                   "CASE WHEN o_orderkey % 2 = 0 THEN date_format(o_orderdate, 'dd/MM/yyyy') ELSE date_format(o_orderdate, 'MM/dd/yyyy') END"),
+    "named_month_text": ("strftime(o_orderdate, '%b %-d, %Y')", "date_format(o_orderdate, 'MMM d, yyyy')"),
+    "half_day_text": ("strftime(o_orderdate, '%-m/%-d/%Y %-I:%M %p')", "date_format(o_orderdate, 'M/d/yyyy h:mm a')"),
+    "one_bad": ("CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'unknown' ELSE strftime(o_orderdate, '%Y-%m-%d') END",
+                "CASE WHEN o_orderkey = {last} THEN 'unknown' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END"),
+    "o_orderpriority": ("o_orderpriority", "o_orderpriority"),
+    "no_values": ("CASE WHEN false THEN 'x' END", "CAST(NULL AS STRING)"),
+}
+# the forms that these columns can have, in the order of their election: pattern, SQL of a value's date
+_FORMS_SQL = [("iso", "TRY_CAST({c} AS TIMESTAMP)"), ("M/d/yyyy", "try_strptime({c}, ['%m/%d/%Y', '%m/%d/%Y %I:%M %p'])"),
+              ("d/M/yyyy", "try_strptime({c}, '%d/%m/%Y')"), ("MMM d, yyyy", "try_strptime({c}, '%b %d, %Y')")]
+DATE_COLUMNS_SQL = "SELECT " + ", ".join(f"{sql} AS {c}" for c, (sql, _) in _DATE_COLUMNS.items()) + ", o_totalprice FROM orders"
+
+
+def date_columns(spark, sf):
+    o = table(spark, sf, "orders")
+    last = o.agg(F.max("o_orderkey")).first()[0]
+    return o.selectExpr(*[f"{e.format(last=last)} AS {c}" for c, (_, e) in _DATE_COLUMNS.items()], "o_totalprice")
+
+
+def _elected_sql(c: str, entry) -> str:
+    """CASE over the forms: the entry of the first that fits all values of the column."""
+    return "CASE " + " ".join(f"WHEN count({c}) > 0 AND count({sql.format(c=c)}) = count({c}) THEN {entry(name, sql.format(c=c))}"
+                              for name, sql in _FORMS_SQL) + " END"
 
 
-@register("date_candidates", f"WITH src AS ({_DATE_COLUMNS}) " + " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, coalesce(bool_and(coalesce(TRY_CAST({c} AS TIMESTAMP), try_strptime({c}, '%d/%m/%Y')) IS NOT NULL) "
-    f"FILTER (WHERE {c} IS NOT NULL), false) AS is_date FROM src"
-    for c in ["iso_text", "day_first_text", "one_bad", "o_orderpriority", "no_values"]))
+@register("date_candidates", f"WITH src AS ({DATE_COLUMNS_SQL}), f AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {_elected_sql(c, lambda name, _: repr(name))} AS form FROM src" for c in _DATE_COLUMNS)
+    + ") SELECT column_name, form IS NOT NULL AS is_date, form FROM f")
 def q_date_candidates(spark, sf):
-    o = table(spark, sf, "orders")
-    return RL.date_candidates(o.select(
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("iso_text"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_first_text"),
-        F.when(F.col("o_orderkey") == o.agg(F.max("o_orderkey")).first()[0], "unknown").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("one_bad"),
-        "o_orderpriority", F.lit(None).cast("string").alias("no_values")))
+    return RL.date_candidates(date_columns(spark, sf))
+
+
+_SUMMED = ["month_first_text", "day_first_text", "ambiguous_text", "mixed_text", "half_day_text"]
+
+
+def _text_summary_sql(c: str) -> str:
+    def day(end: str) -> str:
+        return f"strftime({_elected_sql(c, lambda _, sql: f'{end}({sql})')}, '%Y-%m-%dT%H:%M:%S')"
+    best = "greatest(" + ", ".join(f"count({sql.format(c=c)})" for _, sql in _FORMS_SQL) + ")"
+    there = f"FILTER (WHERE {c} IS NOT NULL)"
+    good = f"count({c}) = {best}"
+    stats = [("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")]
+    return (f"SELECT '{c}' AS date_column, 'o_totalprice' AS value_column, {day('min')} AS start, {day('max')} AS \"end\", "
+            + ", ".join(R(f"CASE WHEN {good} THEN {fn}(o_totalprice) {there} END") + f" AS {name}" for name, fn in stats)
+            + f", CASE WHEN {good} THEN count({c}) END AS n_observations, "
+            f"CASE WHEN NOT ({good}) THEN 'date_parse_error:' || (count({c}) - {best}) END AS message FROM src")
+
+
+@register("timeseries_summary_date_forms", f"WITH src AS ({DATE_COLUMNS_SQL}) " + " UNION ALL ".join(map(_text_summary_sql, _SUMMED)))
+def q_timeseries_summary_date_forms(spark, sf):
+    src = date_columns(spark, sf)
+    return round_doubles(reduce(DataFrame.unionByName, [TS.timeseries_summary(src, c, "o_totalprice") for c in _SUMMED]))
 
 
 @register("preview_head", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
