@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prism.functions.missing import is_missing
-from prism.functions.sqltext import clean_double, column, dlit, q, slit
-from prism.operators.quantiles import plan_exact_quantiles, quantile_frame
+from prism.functions.sqltext import column, dlit, q, slit
+from prism.operators.quantiles import clean_columns, kll_size, plan_exact_quantiles, quantile_columns, sketched, statistics
 from prism.operators.roles import roles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -38,65 +38,40 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _numeric_frame(df: DataFrame, cols: list[str] | None) -> tuple[DataFrame, list[str]]:
-    cols = list(cols) if cols is not None else roles(df).numeric
-    return df.selectExpr(*[f"{clean_double(c)} AS {q(c)}" for c in cols]), cols
-
-
-def _describe_long(one: DataFrame, cols: list[str], q_sql, stat_sql) -> DataFrame:
-    """Unpivot the one-row result to one row per column (one SQL projection)."""
-    rows = []
-    for i, c in enumerate(cols):
-        fields = [("column_name", slit(c)), ("count", f"CAST({stat_sql(i, 'n')} AS BIGINT)"),
-                  ("mean", f"CAST({stat_sql(i, 'mean')} AS DOUBLE)"), ("std", f"CAST({stat_sql(i, 'std')} AS DOUBLE)"),
-                  ("min", f"CAST({stat_sql(i, 'min')} AS DOUBLE)"), ("q25", q_sql(i, c, 0.25)), ("q50", q_sql(i, c, 0.5)),
-                  ("q75", q_sql(i, c, 0.75)), ("max", f"CAST({stat_sql(i, 'max')} AS DOUBLE)"), ("median", q_sql(i, c, 0.5))]
-        rows.append("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")")
-    return one.selectExpr(f"inline(array({', '.join(rows)}))")
-
-
-def _moments(cols: list[str]) -> list[Column]:
-    out = []
-    for i, c in enumerate(cols):
-        out += [F.expr(f"{fn}({q(c)}) AS {k}{i}") for fn, k in
-                (("count", "n"), ("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))]
-    return out
-
-
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, leaf: int = 50_000) -> DataFrame:
     """A2: per numeric column count, mean, std (ddof=1), min, q25, q50, q75, max, median.
 
     Exact quantiles with linear interpolation; see ``quantiles`` for how they stay
     distributed. Every pass is a column-pruned scan of ``df`` (nothing is cached: a
-    copy of the numeric columns would be larger than their files); the moments ride
-    along in the statistics pass. The returned plan is the final, filtered collection pass.
+    copy of the numeric columns would be larger than their files). The returned plan is the final, filtered
+    collection pass.
     """
-    work, cols = _numeric_frame(df, cols)
+    cols = list(cols) if cols is not None else roles(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
-    extra = [F.expr(f"{fn}({q(c)}) AS {k}{i}") for i, c in enumerate(cols)
-             for fn, k in (("avg", "mean"), ("stddev_samp", "std"))]
-    plan = plan_exact_quantiles(work, cols, QUARTILES, leaf=leaf, extra_aggs=extra)
-    ex = plan.extras
-    own = {"n": "__n", "min": "__mn", "max": "__mx"}
+    plan = plan_exact_quantiles(clean_columns(df, cols), QUARTILES, leaf=leaf)
 
-    def stat(i: int, k: str) -> str:
-        v = ex[f"{own.get(k, k)}{i}"]
-        return "NULL" if v is None else (str(int(v)) + "L" if k == "n" else dlit(v))
+    def known(i: int, stat: str) -> str:
+        v = plan.stats[f"c{i}_{stat}"]
+        return "CAST(NULL AS DOUBLE)" if v is None else f"{v}L" if stat == "n" else dlit(v)
 
-    return _describe_long(quantile_frame(work, plan), cols, lambda i, c, p: plan.value_sql(c, p), stat)
+    facts = ", ".join("named_struct(" + ", ".join([f"'column_name', {slit(c)}", *[
+        f"'{s}', {known(i, s)}" for s in ("n", "mean", "std", "min", "max")]]) + ")" for i, c in enumerate(cols))
+    return (quantile_columns(plan).withColumn("s", F.expr(f"array({facts})[pos]"))
+            .selectExpr("s.column_name", "s.n AS count", "s.mean", "s.std", "s.min", "p0 AS q25", "p1 AS q50", "p2 AS q75", "s.max", "p1 AS median"))
 
 
-def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """A3: A2 with GK-sketch quantiles (one pass, bounded memory)."""
-    work, cols = _numeric_frame(df, cols)
+def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accuracy: int = 1_000) -> DataFrame:
+    """A3: A2 with quantiles of KLL sketches (one pass, bounded memory, merged in two steps): a quartile's
+    rank is within ``n / accuracy`` of the exact one (in 99 of 100 estimates, up to an accuracy of 9,600)."""
+    cols = list(cols) if cols is not None else roles(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], DESCRIBE_SCHEMA)
-    aggs = _moments(cols) + [
-        F.percentile_approx(q(c), QUARTILES, accuracy).alias(f"ap{i}") for i, c in enumerate(cols)
-    ]
-    one = work.agg(*aggs)
-    return _describe_long(one, cols, lambda i, c, p: f"ap{i}[{QUARTILES.index(p)}]", lambda i, k: f"{k}{i}")
+    rows = ", ".join("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in [
+        ("column_name", slit(c)), ("count", f"c{i}_n"), *[(s, f"c{i}_{s}") for s in ("mean", "std", "min")],
+        *[(n, sketched(f"c{i}", p)) for n, p in zip(("q25", "q50", "q75"), QUARTILES)], ("max", f"c{i}_max"),
+        ("median", sketched(f"c{i}", 0.5))]) + ")" for i, c in enumerate(cols))
+    return statistics(clean_columns(df, cols), kll_size(accuracy)).selectExpr(f"inline(array({rows}))")
 
 
 def _categorical_long(df: DataFrame, cols: list[str] | None) -> DataFrame:

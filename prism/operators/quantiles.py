@@ -5,24 +5,20 @@ Spark's exact ``percentile`` keeps a value->count map per group, so for a
 continuous column its final merge holds every distinct value in one task.
 Instead the order statistics are located by narrowing a value bracket:
 
-1. one global aggregate gives row count, per-column count/min/max and any extra
-   statistics the caller asks for (describe's moments ride along); then a GK
-   sketch (``percentile_approx``) over a Bernoulli sample of about
-   ``sample_rows`` rows proposes a bracket [lo, hi] per target -- its cost does
-   not grow with the table;
-2. one global aggregate (declarative, whole-stage code generated) counts per
-   bracket the values below ``lo``, equal to ``lo``, strictly inside and equal
-   to ``hi``. A bracket that misses its rank falls back to [min, max]; ties on
-   the edges (a hot value holding a third of the rows) are resolved by the
-   counts alone;
-3. while the interior of a bracket holds more than ``leaf`` values, a bucket
-   histogram of it (bounded: targets x ``bins`` rows) narrows it, and step 2
-   re-counts;
-4. the returned plan collects only the <= ``leaf`` interior values per
-   bracket (rows are filtered first, so the collecting aggregate sees few rows).
-
-Every pass is a global aggregation with map-side partial aggregation: no
-shuffle of the data, and no buffer grows with the table.
+1. the statistics pass (count, mean, std, min, max of every column) carries a KLL sketch of
+   every column over all its rows, which proposes a bracket [lo, hi] around each quantile;
+2. a counting pass counts per bracket the values below ``lo``, equal to ``lo``, strictly
+   inside and equal to ``hi``. Ties on the edges (a hot value holding a third of the
+   rows) are resolved by the counts alone. Where more than ``leaf`` values may lie inside, the
+   pass carries a KLL sketch of the inside, which proposes the next, some hundred times
+   narrower bracket for another counting pass. A bracket that misses its rank is taken wider, up to
+   the last one that held;
+3. the returned plan collects the <= ``leaf`` inside values of each bracket, grouped by target, so
+   the targets are spread over the tasks.
+
+So a column of up to some millions of values takes three passes, and each factor of a hundred one more. Sketches and
+statistics are merged in two steps, first those of ``FAN`` tasks, so no task merges one for every
+task of the scan.
 """
 
 from __future__ import annotations
@@ -30,248 +26,223 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from prism.functions.sqltext import dlit, q
+from prism.functions.sqltext import clean_double, dlit
+
+#: Size parameter of the sketches, and how many tasks' partial results are merged first.
+KLL, FAN = 4_096, 64
+#: The normalised rank error of a KLL sketch (99 % of estimates) is A / k ** B.
+ERROR_A, ERROR_B = 2.296, 0.9021
+
+
+def kll_error(k: int) -> float:
+    return ERROR_A / k ** ERROR_B
+
+
+def kll_size(accuracy: int) -> int:
+    """The size parameter for a rank error of 1 / accuracy (at most what a sketch allows)."""
+    return max(8, min(65_535, math.ceil((ERROR_A * accuracy) ** (1 / ERROR_B))))
+
+
+def clean_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The columns as clean doubles (NaN is NULL) named c0, c1, ..."""
+    return df.selectExpr(*[f"{clean_double(c)} AS c{i}" for i, c in enumerate(cols)])
+
+
+def _by_tasks(df: DataFrame) -> DataFrame:
+    return df.withColumn("g", F.floor(F.spark_partition_id() / FAN))
+
+
+def statistics(work: DataFrame, k: int) -> DataFrame:
+    """One row: n, mean, std, min, max and a KLL sketch s of every column of :func:`clean_columns`."""
+    cols = work.columns
+    partial = [e for c in cols for e in (
+        f"count({c}) AS {c}_n", f"avg({c}) AS {c}_mean", f"var_pop({c}) * count({c}) AS {c}_m2", f"min({c}) AS {c}_min",
+        f"max({c}) AS {c}_max", f"kll_sketch_agg_double({c}, {k}) AS {c}_s")]
+    parts = _by_tasks(work).groupBy("g").agg(*map(F.expr, partial))
+    merged = [e for c in cols for e in (
+        f"coalesce(sum({c}_n), 0) AS {c}_n", f"min({c}_min) AS {c}_min", f"max({c}_max) AS {c}_max", f"kll_merge_agg_double({c}_s) AS {c}_s",
+        # some rows for every FAN tasks; in a fixed order, so that reruns agree
+        f"aggregate(array_sort(collect_list(named_struct('g', g, 'n', CAST({c}_n AS DOUBLE), 'mean', {c}_mean, 'm2', {c}_m2)) FILTER (WHERE {c}_n > 0)), "
+        "named_struct('n', 0D, 'mean', 0D, 'm2', 0D), (a, b) -> named_struct('n', a.n + b.n, "
+        "'mean', a.mean + (b.mean - a.mean) * (b.n / (a.n + b.n)), "
+        f"'m2', a.m2 + b.m2 + (b.mean - a.mean) * (b.mean - a.mean) * (a.n * (b.n / (a.n + b.n))))) AS {c}_moments")]
+    one = parts.agg(*map(F.expr, merged))
+    return one.selectExpr(*[e for c in cols for e in (
+        f"{c}_n", f"IF({c}_n > 0, {c}_moments.mean, NULL) AS {c}_mean",
+        f"IF({c}_n > 1, sqrt({c}_moments.m2 / ({c}_n - 1)), NULL) AS {c}_std", f"{c}_min", f"{c}_max", f"{c}_s")])
+
+
+def sketched(column: str, p: float) -> str:
+    """SQL of a quantile of the sketch of :func:`statistics`."""
+    return f"IF({column}_n > 0, kll_sketch_get_quantile_double({column}_s, {dlit(min(1.0, max(0.0, p)))}), NULL)"
 
 
 @dataclass
 class _Target:
+    """One quantile of one column: the ranks it needs, a bracket, and the counts around it."""
+
     tid: int
     col: str
+    n: int
     p: float
-    n: int = 0
-    r_lo: int = 0
-    r_hi: int = 0
-    frac: float = 0.0
-    lo: float | None = None
-    hi: float | None = None
+    lo: float
+    hi: float
+    expected: float         # how many values may lie inside the bracket
     below: int = 0
     eq_lo: int = 0
     mid: int = 0
     eq_hi: int = 0
-    v_lo: float | None = None   # resolved order statistics x(r_lo), x(r_hi)
-    v_hi: float | None = None
-    empty: bool = False
-    checked: bool = False
+    done: tuple[float, float] | None = None   # resolved order statistics x(r_lo), x(r_hi)
+    sketch: bytes | None = None               # of the inside of the last bracket that held both ranks,
+    span: tuple[float, float] = (0.0, 1.0)    # in which the ranks lie at these shares,
+    spread: float = 0.0                       # taken wider by this share
 
-    @property
-    def open(self) -> bool:
-        return not self.empty and self.v_lo is None
+    def __post_init__(self) -> None:
+        h = (self.n - 1) * self.p
+        self.r_lo = int(math.floor(h))
+        self.r_hi = min(self.r_lo + 1, self.n - 1)
+        self.frac = h - self.r_lo
 
-    def resolve(self, v_lo: float, v_hi: float) -> None:
-        self.v_lo, self.v_hi = v_lo, v_hi
+    @property
+    def inside(self) -> str:
+        return f"({self.col} > {dlit(self.lo)} AND {self.col} < {dlit(self.hi)})"
 
-    def at_edges(self, r: int) -> float | None:
+    def edge(self, r: int) -> float | None:
         """x(r) when it is one of the bracket's edge values, else None."""
         k = r - self.below
-        if k < self.eq_lo:
-            return self.lo
-        if k >= self.eq_lo + self.mid:
-            return self.hi
-        return None
+        return self.lo if k < self.eq_lo else self.hi if k >= self.eq_lo + self.mid else None
+
+    def counted(self, row: dict) -> bool:
+        """Take the counts around the bracket; whether it holds both ranks."""
+        self.below, self.eq_lo, self.mid, self.eq_hi = (row[f"{k}{self.tid}"] for k in ("below", "lo", "mid", "hi"))
+        if not self.below <= self.r_lo <= self.r_hi < self.below + self.eq_lo + self.mid + self.eq_hi:
+            return False
+        a, b = self.edge(self.r_lo), self.edge(self.r_hi)
+        if a is not None and b is not None:
+            self.done = a, b
+        return True
 
 
 class QuantilePlan:
-    """Aggregates for the final pass and the expression of each (column, p)."""
+    """The located order statistics of ``cols`` x ``probs`` and the columns' statistics."""
+
+    def __init__(self, work: DataFrame, probs: list[float], stats: Row, targets: dict[tuple[int, int], _Target]):
+        self.work, self.probs, self.stats, self.targets = work, probs, stats, targets
+
+    def rows(self) -> DataFrame:
+        """(pos, k, value): the quantile k of the column pos, null for a column without values. Rows outside the open brackets are
+        filtered out before the rest is collected, grouped by target."""
+        known, open_ = [], []
+        for pos in range(len(self.work.columns)):
+            for k in range(len(self.probs)):
+                t = self.targets.get((pos, k))
+                if t is not None and t.done is None:
+                    open_.append((pos, k, t))
+                else:
+                    value = "CAST(NULL AS DOUBLE)" if t is None else self._between(t, *map(dlit, t.done))
+                    known.append(f"named_struct('pos', {pos}, 'k', {k}, 'value', {value})")
+        one = self.work.sparkSession.range(1)
+        out = one.selectExpr(f"inline(array({', '.join(known)}))") if known else None
+        if not open_:
+            return out
+        entries = ", ".join(f"IF({t.inside}, named_struct('pos', {pos}, 'k', {k}, 'v', {t.col}), NULL)" for pos, k, t in open_)
+        values = (self.work.where(" OR ".join(t.inside for _, _, t in open_))
+                  .selectExpr(f"inline(filter(array({entries}), x -> x IS NOT NULL))"))
+        lists = values.groupBy("pos", "k").agg(F.sort_array(F.collect_list("v")).alias("v"))
+        cases = " ".join(f"WHEN pos = {pos} AND k = {k} THEN {self._between(t, *(self._at(t, r) for r in (t.r_lo, t.r_hi)))}" for pos, k, t in open_)
+        found = lists.selectExpr("pos", "k", f"CASE {cases} END AS value")
+        return found if out is None else out.unionByName(found)
 
-    def __init__(self, targets: dict[tuple[str, float], _Target], extras: dict | None):
-        self.targets = targets
-        self.extras = extras or {}
+    @staticmethod
+    def _at(t: _Target, r: int) -> str:
+        edge = t.edge(r)
+        return dlit(edge) if edge is not None else f"v[{r - t.below - t.eq_lo}]"
 
     @staticmethod
-    def _interior(t: _Target) -> str:
-        return f"({q(t.col)} > {dlit(t.lo)} AND {q(t.col)} < {dlit(t.hi)})"
-
-    def open_targets(self) -> list[_Target]:
-        return [t for t in self.targets.values() if t.open]
-
-    def row_filter(self) -> str | None:
-        """SQL predicate of the rows that can contribute to a final collection."""
-        parts = [self._interior(t) for t in self.open_targets()]
-        return " OR ".join(parts) if parts else None
-
-    def aggs(self) -> list[Column]:
-        return [F.expr(f"array_sort(collect_list(CASE WHEN {self._interior(t)} THEN {q(t.col)} END)) AS __qa{t.tid}")
-                for t in self.open_targets()]
-
-    def _stat(self, t: _Target, r: int) -> str:
-        edge = t.at_edges(r)
-        if edge is not None:
-            return dlit(edge)
-        return f"try_element_at(__qa{t.tid}, {r - t.below - t.eq_lo + 1})"
-
-    def value_sql(self, col: str, p: float) -> str:
-        """SQL text of the quantile, over the one-row frame of :func:`quantile_frame`."""
-        t = self.targets[(col, p)]
-        if t.empty:
-            return "CAST(NULL AS DOUBLE)"
-        if t.v_lo is not None:
-            a, b = dlit(t.v_lo), dlit(t.v_hi)
-        else:
-            a, b = self._stat(t, t.r_lo), self._stat(t, t.r_hi)
+    def _between(t: _Target, a: str, b: str) -> str:
         return f"({a} + ({b} - {a}) * {dlit(t.frac)})"
 
-    def value(self, col: str, p: float) -> Column:
-        return F.expr(self.value_sql(col, p))
-
-
-def _count_aggs(t: _Target) -> list[Column]:
-    v, lo, hi = q(t.col), dlit(t.lo), dlit(t.hi)
-    return [F.expr(f"count_if({v} < {lo})").alias(f"b{t.tid}"), F.expr(f"count_if({v} = {lo})").alias(f"e{t.tid}"),
-            F.expr(f"count_if({v} > {lo} AND {v} < {hi})").alias(f"m{t.tid}"),
-            F.expr(f"count_if({v} = {hi} AND {hi} <> {lo})").alias(f"h{t.tid}")]
-
-
-def plan_exact_quantiles(
-    df: DataFrame,
-    cols: list[str],
-    probs: list[float],
-    leaf: int = 50_000,
-    accuracy: int = 10_000,
-    bins: int = 1024,
-    max_rounds: int = 64,
-    sample_rows: int = 100_000,
-    n_rows: int | None = None,
-    seed: int = 42,
-    extra_aggs: list[Column] | None = None,
-) -> QuantilePlan:
-    """``df`` holds clean double columns (NaN already NULL). ``extra_aggs`` are
-    evaluated in the first counting pass; their values are in ``plan.extras``."""
-    # Pass 1: exact ranges, row count and the caller's extra statistics.
-    aggs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.expr(f"count({q(c)})").alias(f"__n{i}"), F.expr(f"min({q(c)})").alias(f"__mn{i}"),
-                 F.expr(f"max({q(c)})").alias(f"__mx{i}")]
-    aggs += list(extra_aggs or [])
-    r_stats = df.agg(*aggs).first()
-    extras = r_stats.asDict()
-    n_rows = r_stats["__rows"] if n_rows is None else n_rows
-    frac = min(1.0, sample_rows / max(n_rows, 1))
-    m = max(1.0, frac * n_rows)
-    # Pass 2: sketch of a sample -> candidate brackets.
-    sample = df if frac >= 1.0 else df.where(F.rand(seed) < F.lit(frac))
-    sketches = []
-    for i, c in enumerate(cols):
-        qs = []
-        for p in probs:
-            d = 4.0 * math.sqrt(max(p * (1 - p), 1.0 / m) / m) + 2.0 / m + 2.0 / accuracy
-            qs += [max(0.0, p - d), min(1.0, p + d)]
-        sketches.append(F.percentile_approx(q(c), qs, accuracy).alias(f"ap{i}"))
-    sk = sample.agg(*sketches).first()
-    targets: dict[tuple[str, float], _Target] = {}
-    tid = 0
-    for i, c in enumerate(cols):
-        ap = sk[f"ap{i}"]
-        for j, p in enumerate(probs):
-            t = _Target(tid=tid, col=c, p=p)
-            tid += 1
-            targets[(c, p)] = t
-            lo, hi = (ap[2 * j], ap[2 * j + 1]) if ap else (None, None)
-            if lo is not None and hi is not None and lo <= hi:
-                t.lo, t.hi = lo, hi
-    # Pass 3: exact counts around each bracket.
-    counts = [a for t in targets.values() if t.lo is not None for a in _count_aggs(t)]
-    r = df.agg(*counts).first() if counts else r_stats
-    ranges = {c: (r_stats[f"__n{i}"], r_stats[f"__mn{i}"], r_stats[f"__mx{i}"]) for i, c in enumerate(cols)}
-    for t in targets.values():
-        n, mn, mx = ranges[t.col]
-        t.n = n
-        if n == 0:
-            t.empty = True
-            continue
-        h = (n - 1) * t.p
-        t.r_lo = int(math.floor(h))
-        t.r_hi = min(t.r_lo + 1, n - 1)
-        t.frac = h - t.r_lo
-        if mn == mx:
-            t.resolve(mn, mn)
-    todo = [t for t in targets.values() if t.open]
-    for _ in range(max_rounds):
-        retry = []
+
+def _count(work: DataFrame, targets: list[_Target], wide: list[_Target], k: int) -> dict[str, int | bytes]:
+    """Counts around every bracket, and a sketch of the inside of the wide ones."""
+    # up to each edge, of brackets that targets share only once; the counts are their differences
+    edges = {(t.col, op, dlit(edge)): None for t in targets for edge in (t.lo, t.hi) for op in ("<", "<=")}
+    names = {key: f"n{i}" for i, key in enumerate(edges)}
+    counts = [f"count_if({col} {op} {edge}) AS {names[col, op, edge]}" for col, op, edge in edges]
+
+    def taken(row: Row) -> dict[str, int | bytes]:
+        out = {}
+        for t in targets:
+            below, to_lo, under, to_hi = (row[names[t.col, op, dlit(edge)]] for edge in (t.lo, t.hi) for op in ("<", "<="))
+            one = t.lo == t.hi
+            out |= {f"below{t.tid}": below, f"lo{t.tid}": to_lo - below, f"mid{t.tid}": 0 if one else under - to_lo,
+                    f"hi{t.tid}": 0 if one else to_hi - under}
+        return out | {f"sketch{t.tid}": row[f"sketch{t.tid}"] for t in wide}
+
+    if not wide:
+        return taken(work.agg(*map(F.expr, counts)).first())
+    sketches = [f"kll_sketch_agg_double(CASE WHEN {t.inside} THEN {t.col} END, {k}) AS sketch{t.tid}" for t in wide]
+    parts = _by_tasks(work).groupBy("g").agg(*map(F.expr, counts + sketches))
+    return taken(parts.agg(*[F.expr(f"sum({n}) AS {n}") for n in names.values()],
+                           *[F.expr(f"kll_merge_agg_double(sketch{t.tid}) AS sketch{t.tid}") for t in wide]).first())
+
+
+def _propose(spark: SparkSession, targets: list[_Target]) -> None:
+    """The next bracket of each target, from the sketch of the inside of its last one."""
+    one = spark.createDataFrame([tuple(bytearray(t.sketch) for t in targets)], ", ".join(f"s{t.tid} binary" for t in targets))
+    shares = [(t, n, p) for t in targets for n, p in
+              (("least", 0.0), ("lo", max(0.0, t.span[0] - t.spread)), ("hi", min(1.0, t.span[1] + t.spread)), ("most", 1.0))]
+    found = one.selectExpr(*[f"kll_sketch_get_quantile_double(s{t.tid}, {dlit(p)}) AS {n}{t.tid}" for t, n, p in shares]).first()
+    for t in targets:
+        r, a, b = {n: found[f"{n}{t.tid}"] for n in ("least", "lo", "hi", "most")}, t.edge(t.r_lo), t.edge(t.r_hi)
+        if a is not None or b is not None:  # one rank is an edge, the other the first or last value inside
+            t.done = (a, r["least"]) if a is not None else (r["most"], b)
+        t.lo, t.hi, t.expected = r["lo"], r["hi"], t.mid * 2 * t.spread
+
+
+def plan_exact_quantiles(work: DataFrame, probs: list[float], leaf: int = 50_000, k: int = KLL) -> QuantilePlan:
+    """Locate the quantiles of the columns of :func:`clean_columns`."""
+    cols, spark, reach = work.columns, work.sparkSession, 2 * kll_error(k)
+    at = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    stats = statistics(work, k).selectExpr(*[f"{c}_{s}" for c in cols for s in ("n", "mean", "std", "min", "max")], *[
+        f"{sketched(cols[i], probs[j] + sign * reach)} AS {side}{i}_{j}" for i, j in at for side, sign in (("lo", -1), ("hi", 1))]).first()
+    targets = {}
+    for tid, (i, j) in enumerate(at):
+        if n := stats[f"{cols[i]}_n"]:
+            lo, hi, ends = stats[f"lo{i}_{j}"], stats[f"hi{i}_{j}"], (stats[f"{cols[i]}_min"], stats[f"{cols[i]}_max"])
+            targets[i, j] = _Target(tid, cols[i], n, probs[j], lo, hi, 2 * reach * n, done=ends if ends[0] == ends[1] else None)
+    todo = [t for t in targets.values() if t.done is None]
+    while todo:
+        wide, again, narrower = [t for t in todo if t.expected > leaf], [], []
+        row = _count(work, todo, wide, k)
         for t in todo:
-            ok = t.lo is not None and f"b{t.tid}" in r.asDict()
-            if ok:
-                t.below, t.eq_lo, t.mid, t.eq_hi = r[f"b{t.tid}"], r[f"e{t.tid}"], r[f"m{t.tid}"], r[f"h{t.tid}"]
-                ok = t.below <= t.r_lo and t.r_hi < t.below + t.eq_lo + t.mid + t.eq_hi
-            if not ok:
-                # the sample missed the rank: count again around the full range
-                _, t.lo, t.hi = ranges[t.col]
-                retry.append(t)
-                continue
-            a, b = t.at_edges(t.r_lo), t.at_edges(t.r_hi)
-            if a is not None and b is not None:
-                t.resolve(a, b)
-        # Pass 3: histogram refinement of brackets whose interior is still large.
-        wide = [t for t in todo if t.open and t not in retry and t.mid > leaf]
-        if wide:
-            for t in _refine(df, wide, bins):
-                retry.append(t)
-        todo = [t for t in retry if t.open]
-        if not todo:
-            break
-        r = df.agg(*[a for t in todo for a in _count_aggs(t)]).first()
-    else:
-        raise RuntimeError("quantile brackets did not converge")
-    return QuantilePlan(targets, extras)
-
-
-def _refine(df: DataFrame, wide: list[_Target], bins: int) -> list[_Target]:
-    """One histogram pass over the bracket interiors; returns the targets that
-    need re-counting (the others got resolved)."""
-    items = []
-    for t in wide:
-        v = F.col(t.col)
-        bucket = F.least(F.floor((v - F.lit(t.lo)) / F.lit(t.hi - t.lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-        items.append(F.when((v > F.lit(t.lo)) & (v < F.lit(t.hi)),
-                            F.struct(F.lit(t.tid).alias("t"), bucket.alias("b"), v.alias("v"))))
-    hist = (
-        df.select(F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())).alias("e"))
-        .select("e.t", "e.b", "e.v")
-        .groupBy("t", "b")
-        .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
-    )
-    by_t: dict[int, list] = {}
-    for h in hist:
-        by_t.setdefault(h["t"], []).append(h)
-    again = []
-    for t in wide:
-        # interior values start after the `below` + `eq_lo` values
-        cum = t.below + t.eq_lo
-        lo_b = hi_b = None
-        for h in sorted(by_t.get(t.tid, []), key=lambda h: h["b"]):
-            if lo_b is None and cum <= t.r_lo < cum + h["c"]:
-                lo_b = h
-            if cum <= t.r_hi < cum + h["c"]:
-                hi_b = h
-                break
-            cum += h["c"]
-        if lo_b is None or hi_b is None:
-            # a rank sits on an edge value: exact from the counts
-            a, b = t.at_edges(t.r_lo), t.at_edges(t.r_hi)
-            lo_v = a if a is not None else (lo_b["hi"] if lo_b else None)
-            hi_v = b if b is not None else (hi_b["lo"] if hi_b else None)
-            t.resolve(lo_v, hi_v)
-            continue
-        if lo_b is not hi_b:
-            # x(r_lo + 1) lies in a later bucket: x(r_lo) closes its bucket and
-            # x(r_hi) opens the next non-empty one -- both are known.
-            t.resolve(lo_b["hi"], hi_b["lo"])
-            continue
-        t.lo, t.hi = lo_b["lo"], lo_b["hi"]
-        if t.lo == t.hi:
-            t.resolve(t.lo, t.lo)
-        else:
-            again.append(t)
-    return again
-
-
-def quantile_frame(df: DataFrame, plan: QuantilePlan) -> DataFrame:
-    """One-row frame of the final collections (rows outside every open bracket
-    interior are filtered out before the collecting aggregate)."""
-    aggs = plan.aggs()
-    if not aggs:
-        return df.agg(F.count(F.lit(1)).alias("__rows"))
-    return df.where(F.expr(plan.row_filter())).agg(*aggs)
+            before = t.below, t.eq_lo, t.mid, t.eq_hi
+            if t.counted(row):
+                if t.done is not None or t.mid <= leaf:
+                    continue
+                if t not in wide:  # more values than the sketch made expect: count them once more, with a sketch
+                    t.expected = t.mid
+                    again.append(t)
+                    continue
+                first = t.r_lo - t.below - t.eq_lo
+                t.sketch, t.span, t.spread = row[f"sketch{t.tid}"], (first / t.mid, (first + 2) / t.mid), reach
+                narrower.append(t)
+            elif t.sketch is None:  # the sketch of all values missed the ranks
+                t.lo, t.hi, t.expected = stats[f"{t.col}_min"], stats[f"{t.col}_max"], t.n
+                again.append(t)
+            else:
+                t.below, t.eq_lo, t.mid, t.eq_hi = before
+                t.spread *= 8
+                narrower.append(t)
+        if narrower:
+            _propose(spark, narrower)
+        todo = again + [t for t in narrower if t.done is None]
+    return QuantilePlan(work, probs, stats, targets)
+
+
+def quantile_columns(plan: QuantilePlan) -> DataFrame:
+    """(pos, p0, p1, ...): one row a column."""
+    return plan.rows().groupBy("pos").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"p{k}") for k in range(len(plan.probs))])

@@ -327,7 +327,7 @@ def q_missing_by_dataset(spark, sf):
 
 @register("describe_numeric_approx")
 def q_describe_numeric_approx(spark, sf):
-    """GK-sketch quantiles: checked by the rank-error bound in tests (no exact SQL twin)."""
+    """KLL-sketch quantiles: checked by the rank-error bound in tests (no exact SQL twin)."""
     return round_doubles(D.describe_numeric_approx(lineitem_nulls(spark, sf)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from prism.operators import correlate as C
 from prism.operators import describe as D
 from prism.operators import model as M
-from prism.operators.quantiles import plan_exact_quantiles
+from prism.operators.quantiles import clean_columns, plan_exact_quantiles, quantile_columns
 
 
 def _pandas_quantiles(values, probs):
@@ -23,11 +23,10 @@ def _pandas_quantiles(values, probs):
 @given(st.lists(st.one_of(st.none(), st.integers(-50, 50), st.floats(-1e6, 1e6, allow_nan=False)), min_size=0, max_size=60))
 def test_exact_quantiles_match_pandas_with_refinement(spark, values):
     vals = [None if v is None else float(v) for v in values]
-    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    df = spark.createDataFrame([(v,) for v in vals], "`a.b` double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    # tiny leaf and bucket counts force the histogram refinement passes
-    plan = plan_exact_quantiles(df, ["x"], probs, leaf=2, bins=3, accuracy=10)
-    row = df.agg(F.count("x").alias("n"), *plan.aggs()).select(*[plan.value("x", p).alias(f"p{i}") for i, p in enumerate(probs)]).first()
+    # a tiny leaf and a coarse sketch force the narrowing passes
+    row = quantile_columns(plan_exact_quantiles(clean_columns(df, ["a.b"]), probs, leaf=2, k=8)).first()
     got = [row[f"p{i}"] for i in range(len(probs))]
     expect = _pandas_quantiles(vals, probs)
     for g, e in zip(got, expect):
@@ -52,6 +51,27 @@ def test_describe_matches_pandas_on_skewed_data(spark):
     assert got["q25"] <= got["q50"] <= got["q75"]
 
 
+def test_describe_narrows_wide_brackets(spark):
+    """Many values and a small leaf: the inside of the brackets is sketched again, for names with dots too."""
+    df = spark.range(0, 400_000, 1, 6).selectExpr("pmod(id * 7919, 399989) / 7D AS `a.b`", "CASE WHEN id % 3 = 0 THEN 5D ELSE rand(3) * 10 END AS `it's`",
+                                                "IF(id = 7, NULL, exp(id % 1000 / 50)) AS x")
+    got = {r["column_name"]: r for r in D.describe_numeric(df, leaf=20).collect()}
+    pdf = df.toPandas()
+    for c in df.columns:
+        assert got[c]["count"] == pdf[c].count()
+        for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)):
+            assert got[c][name] == pytest.approx(pdf[c].quantile(p), rel=1e-12), (c, name)
+        assert got[c]["std"] == pytest.approx(pdf[c].std(), rel=1e-12) and got[c]["mean"] == pytest.approx(pdf[c].mean(), rel=1e-12)
+
+
+def test_moments_of_far_values(spark):
+    df = spark.range(0, 3000, 1, 200).selectExpr("1e9 + id % 7 AS x", "CAST(NULL AS DOUBLE) AS none", "IF(id = 5, 2D, NULL) AS one")
+    got = {r["column_name"]: r for r in D.describe_numeric(df).collect()}
+    assert got["x"]["std"] == pytest.approx(df.toPandas()["x"].std(), rel=1e-7)
+    assert got["none"]["count"] == 0 and got["none"]["q50"] is None and got["none"]["mean"] is None
+    assert got["one"]["q25"] == got["one"]["q75"] == 2.0 and got["one"]["std"] is None
+
+
 def test_approx_quantiles_rank_error(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=20000)
