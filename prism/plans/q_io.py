@@ -55,6 +55,11 @@ def q_ingest_metadata(spark, sf):
     return RD.ingest_metadata(spark, f"{sf}/lineitem.parquet").select("rows", "columns")  # bytes: tests/test_sources.py
 
 
+@register("ingest_metadata_csv", "SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns FROM orders")
+def q_ingest_metadata_csv(spark, sf):
+    return RD.ingest_metadata(spark, _csv_copy(spark, sf, "orders"), "csv").select("rows", "columns")
+
+
 def _quoted(spark, sf):
     """Documents with quotes, separators and line ends in a text field, as CSV with doubled quotes."""
     path = scratch_path(spark, "documents-csv")

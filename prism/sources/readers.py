@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from prism.functions.sqltext import column
+from prism.session import cut_lineage
 
 # The default missing-value tokens of pandas ``read_csv``.
 DEFAULT_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -33,9 +34,10 @@ def _na_to_null(c: Column, na_values: list[str]) -> Column:
     return F.when(~c.isin(*na_values) & c.isNotNull(), c)
 
 
-def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def infer_types(df: DataFrame, cols: list[str] | None = None, rows: Observation | None = None) -> DataFrame:
     """Cast text columns whose non-missing values all parse: integer -> bigint,
-    number -> double, True/False -> boolean; others stay text. One aggregate."""
+    number -> double, True/False -> boolean; others stay text. One aggregate; ``rows`` observes the number of
+    rows (metric ``rows``) that it has passed."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and (cols is None or f.name in cols)]
     if not cols:
         return df
@@ -50,7 +52,7 @@ def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
             F.count_if(present & F.trim(v).rlike(NUMBER) & v.try_cast("double").isNotNull()).alias(f"d{i}"),
             F.count_if(present & v.isin(*bools)).alias(f"b{i}"),
         ]
-    r = df.agg(*checks).first()
+    r = (df if rows is None else df.observe(rows, F.count(F.lit(1)).alias("rows"))).agg(*checks).first()
     out = []
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
@@ -69,22 +71,45 @@ def infer_types(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.select(*[cast.get(c, column(c)) for c in df.columns])
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             na_values: list[str] | None = None, infer: bool = True, multi_line: bool = True) -> DataFrame:
+def files_with_broken_lines(spark: SparkSession, path: str) -> dict[str, bool]:
+    """File -> whether a line end may lie inside quotes, for the CSV files under ``path``, by one split scan.
+
+    A record that goes on behind a line end leaves a quote open there, so that line has an odd number of
+    quotes; in a file of whole records every line has an even number. (A single quote inside an unquoted field
+    is odd too: such a file is read whole without need, but rightly.)"""
+    value = F.col("value")
+    odd = F.length(F.regexp_replace(value, '[^"]+', "")) % 2 == 1
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.when(value.contains('"'), odd).otherwise(False).alias("odd"))
+    return {r["file"]: r["broken"] for r in lines.groupBy("file").agg(F.bool_or("odd").alias("broken")).collect()}
+
+
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, na_values: list[str] | None = None,
+             infer: bool = True, multi_line: bool | None = None, rows: Observation | None = None) -> DataFrame:
     """CSV with a header row; NA tokens become NULL; types inferred as pandas
     does (dates stay text). With ``schema`` the given types are used.
 
     The dialect is pandas': a quote inside quotes is doubled, and quoted fields may hold line
-    ends. For the latter a file is read by one task; ``multi_line=False`` splits large files
-    and is right where no field holds a line end."""
+    ends. A file with such fields is read by one task, all others are split; which files have
+    them is found by one split scan, see :func:`files_with_broken_lines` (``multi_line`` takes it as known).
+    ``rows`` observes the row count of the inference pass."""
     na = DEFAULT_NA if na_values is None else na_values
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-           .option("escape", '"').option("multiLine", multi_line).csv(path))
+    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"')
+    if multi_line is None:
+        broken = files_with_broken_lines(spark, path)
+        multi_line = any(broken.values())
+        whole = sorted(f for f, b in broken.items() if b)
+        split = sorted(f for f, b in broken.items() if not b)
+    else:
+        whole = split = []
+    raw = reader.option("multiLine", multi_line).csv(path)
+    if whole and split:  # file by file; the header line may be broken, so its columns are those of the reader above
+        shaped = reader.schema(raw.schema)
+        raw = shaped.option("multiLine", True).csv(whole).union(shaped.option("multiLine", False).csv(split))
     clean = raw.select(*[_na_to_null(column(c), na).alias(c) for c in raw.columns])
     if schema is not None:
         st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         return clean.select(*[column(f.name).try_cast(f.dataType).alias(f.name) for f in st.fields])
-    return infer_types(clean) if infer else clean
+    return infer_types(clean, rows=rows) if infer else clean
 
 
 def scan_json_records(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None) -> DataFrame:
@@ -102,7 +127,7 @@ def scan_json_columns(spark: SparkSession, path: str | list[str], schema: Struct
     (file, column, row, value) and pivoted back per row. The pivot column list
     is the set of column names (bounded by the schema).
     """
-    docs = spark.read.option("wholetext", True).text(path).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.input_file_name().alias("_file"),
         F.from_json("value", "map<string, map<string, string>>").alias("doc"))
     cells = (docs.select("_file", F.explode("doc").alias("column_name", "cells"))
@@ -111,6 +136,7 @@ def scan_json_columns(spark: SparkSession, path: str | list[str], schema: Struct
         st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         names = [f.name for f in st.fields]
     else:
+        cells = cut_lineage(cells, "json-cells")  # names, inference and result read the cells, not the documents
         names = [r["column_name"] for r in cells.select("column_name").distinct().orderBy("column_name").collect()]
     wide = cells.groupBy("_file", "row_label").pivot("column_name", names).agg(F.first("value")).drop("_file", "row_label")
     if schema is not None:
@@ -123,9 +149,11 @@ def scan_json(spark: SparkSession, path: str, schema=None, layout: str | None =
     file is read by its own layout (``layout`` "records" or "columns" takes it as known);
     a column that one layout's files lack is NULL in their rows."""
     if layout is None:
-        start = F.substring(F.regexp_extract("value", r"^\s*(\S)", 1), 1, 1)
-        files = (spark.read.option("wholetext", True).text(path)
-                 .select(F.col("_metadata.file_path").alias("file"), (start == "[").alias("records")).distinct().collect())
+        # the first line of a file that is not blank: least block, then least position in the block's task
+        lines = (spark.read.text(path).where(F.col("value").rlike(r"\S"))
+                 .select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").startswith("[").alias("records"),
+                         F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place")))
+        files = lines.groupBy("file").agg(F.min_by("records", "place").alias("records")).collect()
         by = {kind: sorted(r["file"] for r in files if r["records"] == kind) for kind in (True, False)}
     else:
         by = {layout == "records": [path]}
@@ -170,12 +198,15 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 def ingest_metadata(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """(rows, columns, bytes) of a loaded file set; bytes are the files' lengths, which the
-    ``binaryFile`` source lists without reading a file."""
-    df = load(spark, path, detect_format(path, fmt))
+    ``binaryFile`` source lists without reading a file. The rows of CSV files are counted by the inference pass."""
+    kind, seen = detect_format(path, fmt), Observation()
+    df = load(spark, path, kind, **({"rows": seen} if kind == "csv" else {}))
     length = F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("bytes")
     nbytes = spark.read.format("binaryFile").load(path).select("length").agg(length).first()["bytes"]
-    return df.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"), F.lit(nbytes).cast("bigint").alias("bytes"))
+    columns = [F.lit(len(df.columns)).cast("bigint").alias("columns"), F.lit(nbytes).cast("bigint").alias("bytes")]
+    if kind == "csv" and df.columns:  # all columns were text, so the inference pass has counted the rows
+        return spark.range(1).select(F.lit(seen.get["rows"]).cast("bigint").alias("rows"), *columns)
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *columns)
 
 
 #: Rows of one JSON document that the writers make.

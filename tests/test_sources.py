@@ -133,3 +133,53 @@ def test_stream_equals_batch_with_several_micro_batches(spark, sf_dir):
     got = {r["status"]: r["count"] for r in ST.run_to_table(spark, ST.stream_status_counts(s, "o_orderstatus"), ["status"], "t").collect()}
     batch = {r["o_orderstatus"]: r["count"] for r in spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count().collect()}
     assert got == batch
+
+
+def test_s1_large_files_are_split_unless_lines_break(spark, tmp_dir):
+    """Files without line ends in quotes are read by many tasks, those with them whole, also in one folder."""
+    plain, mixed = f"{tmp_dir}/plain", f"{tmp_dir}/mixed"
+    os.makedirs(plain), os.makedirs(mixed)
+    rows = [f'{i},"say ""{i}"" now",x{i}' for i in range(60_000)]
+    for folder in (plain, mixed):
+        with open(f"{folder}/a.csv", "w") as f:
+            f.write("n,t,u\n" + "\n".join(rows) + "\n")
+    with open(f"{mixed}/b.csv", "w") as f:
+        f.write('n,t,u\n-1,"two\nlines, ""quoted""",y\n-2,plain,z\n')
+    broken = {os.path.basename(k): v for k, v in RD.files_with_broken_lines(spark, mixed).items()}
+    assert broken == {"a.csv": False, "b.csv": True}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = RD.scan_csv(spark, plain)
+        assert df.rdd.getNumPartitions() > 4 and df.count() == 60_000
+        assert df.where("n = 17").first()["t"] == 'say "17" now'
+        both = RD.scan_csv(spark, mixed)
+        assert both.rdd.getNumPartitions() > 4 and both.count() == 60_002 and both.schema["n"].dataType.simpleString() == "bigint"
+        assert both.where("n = -1").first()["t"] == 'two\nlines, "quoted"'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_s1_a_stray_quote_reads_as_before(spark, tmp_dir):
+    with open(f"{tmp_dir}/s.csv", "w") as f:
+        f.write('a,b\n1,5" pipe\n2,six\n')
+    assert [tuple(r) for r in RD.scan_csv(spark, f"{tmp_dir}/s.csv").orderBy("a").collect()] == [(1, '5" pipe'), (2, "six")]
+
+
+def test_s5_layout_is_told_by_the_first_line(spark, tmp_dir):
+    with open(f"{tmp_dir}/a.json", "w") as f:
+        f.write("\n \n  [\n" + ",\n".join('{"x": %d}' % i for i in range(5)) + "]")
+    with open(f"{tmp_dir}/b.json", "w") as f:
+        f.write('\n{"x":\n {"0": 7}}')
+    assert sorted(r["x"] for r in RD.scan_json(spark, tmp_dir).collect()) == [0, 1, 2, 3, 4, 7]
+
+
+def test_s6_rows_are_counted_by_the_inference_pass(spark, tmp_dir):
+    with open(f"{tmp_dir}/c.csv", "w") as f:
+        f.write('n,t\n' + "".join(f'{i},"a\nb"\n' for i in range(100)))
+    df = RD.ingest_metadata(spark, f"{tmp_dir}/c.csv")
+    assert "Scan csv" not in df._jdf.queryExecution().executedPlan().toString()
+    assert (df.first()["rows"], df.first()["columns"]) == (100, 2)
+    with open(f"{tmp_dir}/e.csv", "w") as f:
+        f.write("n,t\n")
+    assert RD.ingest_metadata(spark, f"{tmp_dir}/e.csv").first()["rows"] == 0
