@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,7 +95,14 @@ def _merge(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.n
             "least": np.minimum(a["least"], b["least"]), "most": np.maximum(a["most"], b["most"])}
 
 
+#: What is kept of a pair (i, j), i <= j; 1 and 2 are its first and second column.
+MOMENTS = ["n", "mean1", "mean2", "square1", "square2", "cross", "least1", "most1", "least2", "most2"]
+#: Pairs of one shuffled row, and tasks whose rows are merged first (about the square root of a large scan's tasks).
+TILE, FAN = 4_096, 512
+
+
 def _partition_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's moments: one row for each tile of pairs, its moments one after the other."""
     held = None
     for batch in batches:
         if batch.num_rows:
@@ -103,45 +111,76 @@ def _partition_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             held = own if held is None else _merge(held, own)
     if held is not None:
         i, j = np.triu_indices(len(held["n"]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (i, j, held["n"][i, j], held["mean"][i, j], held["mean"][j, i], held["square"][i, j],
-                                   held["square"][j, i], held["cross"][i, j], held["least"][i, j], held["most"][i, j],
-                                   held["least"][j, i], held["most"][j, i])], MOMENTS)
-
-
-MOMENTS = ["i", "j", "n", "mean1", "mean2", "square1", "square2", "cross", "least1", "most1", "least2", "most2"]
+        m = np.stack([held["n"][i, j], held["mean"][i, j], held["mean"][j, i], held["square"][i, j], held["square"][j, i],
+                      held["cross"][i, j], held["least"][i, j], held["most"][i, j], held["least"][j, i], held["most"][j, i]])
+        group = TaskContext.get().partitionId() // FAN
+        for tile in range(0, len(i), TILE):
+            yield _tile_row(group, tile, m[:, tile:tile + TILE])
+
+
+def _tile_row(group: int, tile: int, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([group], pa.int64()), "tile": pa.array([tile], pa.int64()),
+                                       "moments": pa.array([m.reshape(-1)], pa.list_(pa.float64()))})
+
+
+def _merge_tile(rows: pa.Table) -> np.ndarray:
+    """The moments of all rows of a tile together (pairwise update of means and co-moments)."""
+    parts = rows["moments"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(MOMENTS), -1)
+    out = {k: v for k, v in zip(MOMENTS, parts[0])}
+    for part in parts[1:]:
+        b = dict(zip(MOMENTS, part))
+        n = out["n"] + b["n"]
+        share = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+        weight, apart = out["n"] * share, [b[f"mean{k}"] - out[f"mean{k}"] for k in "12"]
+        out["cross"] = out["cross"] + b["cross"] + apart[0] * apart[1] * weight
+        for k, d in zip("12", apart):
+            out[f"mean{k}"] = out[f"mean{k}"] + d * share
+            out[f"square{k}"] = out[f"square{k}"] + b[f"square{k}"] + d * d * weight
+            out[f"least{k}"], out[f"most{k}"] = np.minimum(out[f"least{k}"], b[f"least{k}"]), np.maximum(out[f"most{k}"], b[f"most{k}"])
+        out["n"] = n
+    return np.stack([out[k] for k in MOMENTS])
+
+
+def _merged(rows: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_tile_row(0, rows["tile"][0].as_py(), _merge_tile(rows))]).select(["tile", "moments"])
+
+
+def _coefficients(columns: int):
+    def run(rows: pa.Table) -> pa.Table:
+        m = dict(zip(MOMENTS, _merge_tile(rows)))
+        varies = (m["n"] > 0) & (m["least1"] < m["most1"]) & (m["least2"] < m["most2"])
+        scale = np.sqrt(np.where(varies, m["square1"], 1)) * np.sqrt(np.where(varies, m["square2"], 1))
+        r = np.divide(m["cross"], scale, out=np.zeros_like(scale), where=varies & (scale > 0))
+        i, j = (k[rows["tile"][0].as_py():][:len(r)] for k in np.triu_indices(columns))
+        r = np.where(np.isnan(r), 0, np.clip(r, -1, 1))
+        r = np.where((i == j) & (r > 0), 1.0, r)
+        # both orders of a pair, the diagonal once
+        apart = i != j
+        return pa.table({"i": np.concatenate([i, j[apart]]), "j": np.concatenate([j, i[apart]]), "r": np.concatenate([r, r[apart]])})
+
+    return run
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(pos1, var1, pos2, var2, r) for every ordered pair incl. the diagonal.
 
     One scan: each task sums the moments of all pairs over its rows as blocks (columns
-    squared numbers, whatever the rows), every pair centred on its own overlap, and one row
-    a pair and task is shuffled. The tasks' moments are then joined around the common mean.
+    squared numbers, whatever the rows), every pair centred on its own overlap. They are merged in a tree, tile by tile
+    of pairs: first the rows of ``FAN`` tasks, then those; a shuffled row holds a tile's moments.
     A pair whose overlap holds one distinct value of either column has r = 0.
     """
     cols = list(cols) if cols is not None else roles(df).numeric
-    spark = df.sparkSession
-    pairs = spark.createDataFrame([(i + 1, a, j + 1, b) for i, a in enumerate(cols) for j, b in enumerate(cols)],
-                                  "pos1 int, var1 string, pos2 int, var2 string")
+    if not cols:
+        return df.sparkSession.createDataFrame([], "pos1 int, var1 string, pos2 int, var2 string, r double")
     numbered = _clean(df, cols).toDF(*[f"c{i}" for i in range(len(cols))])
-    parts = numbered.mapInArrow(_partition_moments, "i long, j long, " + ", ".join(f"{c} double" for c in MOMENTS[2:]))
-    pair = Window.partitionBy("i", "j")
-    for k in "12":
-        common = F.sum(F.col("n") * F.col(f"mean{k}")).over(pair) / F.sum("n").over(pair)
-        parts = parts.withColumn(f"apart{k}", F.when(F.col("n") > 0, F.col(f"mean{k}") - common).otherwise(0.0))
-    parts = parts.where("n > 0")
-
-    def total(moment: str, one: str, two: str):
-        return F.sum(F.col(moment) + F.col("n") * F.col(f"apart{one}") * F.col(f"apart{two}"))
-
-    varies = [F.min(f"least{k}") < F.max(f"most{k}") for k in "12"]
-    r = F.when(varies[0] & varies[1], total("cross", "1", "2") / F.sqrt(total("square1", "1", "1") * total("square2", "2", "2")))
-    found = parts.groupBy("i", "j").agg(r.alias("r"))
-    r = F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.greatest(F.least(F.col("r"), F.lit(1.0)), F.lit(-1.0)))
-    one_way = (F.least("pos1", "pos2") - 1 == F.col("i")) & (F.greatest("pos1", "pos2") - 1 == F.col("j"))
-    r = F.when((F.col("pos1") == F.col("pos2")) & (r > 0), 1.0).otherwise(r)
-    return pairs.join(found, one_way, "left").select("pos1", "var1", "pos2", "var2", r.alias("r"))
+    # a row of missing values adds nothing, but where there are no rows it makes the pairs (with r = 0)
+    none = df.sparkSession.range(1).selectExpr(*[f"CAST(NULL AS DOUBLE) AS c{i}" for i in range(len(cols))])
+    parts = numbered.unionByName(none).mapInArrow(_partition_moments, "part long, tile long, moments array<double>")
+    tiles = parts.groupBy("part", "tile").applyInArrow(_merged, "tile long, moments array<double>")
+    found = tiles.groupBy("tile").applyInArrow(_coefficients(len(cols)), "i long, j long, r double")
+    names = F.array(*map(F.lit, cols))
+    return found.select((F.col("i") + 1).cast("int").alias("pos1"), F.get(names, F.col("i").cast("int")).alias("var1"),
+                        (F.col("j") + 1).cast("int").alias("pos2"), F.get(names, F.col("j").cast("int")).alias("var2"), "r")
 
 
 def top_correlations(matrix: DataFrame, n: int = 10) -> DataFrame:

@@ -4,6 +4,8 @@ workbooks and JSON files of one folder that differ, sessions outside UTC."""
 import datetime as dt
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,17 @@ def test_metadata_counts_the_bytes_of_header_only_files(spark, tmp_dir):
     with open(f"{tmp_dir}/a.csv", "w") as f:
         f.write("a,b\n")
     assert tuple(RD.ingest_metadata(spark, tmp_dir, "csv").first()) == (0, 2, 4)
+
+
+def test_correlation_tiles_and_tree(spark, monkeypatch):
+    """Small tiles and a small fan-in: the pairs and tasks are merged over several rows and both steps."""
+    monkeypatch.setattr(C, "TILE", 4)
+    monkeypatch.setattr(C, "FAN", 2)
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame(rng.normal(1e6, 1, (300, 7)), columns=list("abcdefg")).mask(rng.random((300, 7)) < 0.2)
+    frame["g"] = 5.0
+    got = {(r.var1, r.var2): r.r for r in C.correlation_matrix(spark.createDataFrame(frame).repartition(9)).collect()}
+    expected = frame.corr().fillna(0)
+    assert len(got) == 49
+    for (a, b), r in got.items():
+        assert r == pytest.approx(expected.loc[a, b], abs=1e-9), (a, b)
