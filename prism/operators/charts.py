@@ -265,12 +265,12 @@ def outlier_fences(df: DataFrame, describe: DataFrame, k: float = 1.5) -> DataFr
 def chart_scatter_sample(df: DataFrame, x: str, y: str, order: Column, n: int = 500) -> DataFrame:
     """Scatter points: a deterministic sample of ``n`` (x, y) pairs, the rows with the
     smallest ``order`` (e.g. a hash of the row key). The limit is the sampling feature."""
-    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(order.alias("_o"), x, y).orderBy("_o").limit(n)
+    pts = (df.where(column(x).isNotNull() & column(y).isNotNull())
+           .select(order.alias("_o"), column(x).cast("string").alias("label"), column(y).cast("double").alias("value")).orderBy("_o").limit(n))
     return pts.select(
         F.lit(f"scatter:{x}:{y}").alias("chart"), F.lit("scatter").alias("chart_type"), F.lit(1).alias("series_pos"),
         F.lit(f"{x} vs {y}").alias("series"), F.lit(None).cast("int").alias("label_pos"),
-        F.col(x).cast("string").alias("label"), F.col(y).cast("double").alias("value"),
-        F.lit(None).cast("string").alias("color"))
+        "label", "value", F.lit(None).cast("string").alias("color"))
 
 
 def chart_heatmap(matrix: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, TimestampNTZType, TimestampType
 
 from prism.functions.scalar import fn_iso_timestamp
+from prism.functions.sqltext import column
 
 # Display names of message roles and the transcript layout.
 ROLE_DISPLAY = {"user": "Utilisateur", "assistant": "Assistant", "system": "Système"}
@@ -23,7 +24,7 @@ RULE = "=" * 50
 def _json_safe(df: DataFrame) -> list[Column]:
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = column(f.name)
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, (TimestampType, TimestampNTZType)):
@@ -36,7 +37,7 @@ def results_json(df: DataFrame, key: str) -> DataFrame:
     """(key, document) -- one JSON document per result row; NaN -> null,
     timestamps ISO, NULL fields kept."""
     body = [c for c in _json_safe(df)]
-    return df.select(F.col(key).cast("string").alias("key"),
+    return df.select(column(key).cast("string").alias("key"),
                      F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("document"))
 
 
