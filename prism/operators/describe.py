@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prism.functions.missing import is_missing
 from prism.functions.sqltext import column, dlit, q, slit
+from prism.operators.frequent import top_values
 from prism.operators.quantiles import clean_columns, kll_size, plan_exact_quantiles, quantile_columns, sketched, statistics
 from prism.operators.roles import roles
 
@@ -74,16 +75,6 @@ def describe_numeric_approx(df: DataFrame, cols: list[str] | None = None, accura
     return statistics(clean_columns(df, cols), kll_size(accuracy)).selectExpr(f"inline(array({rows}))")
 
 
-def _categorical_long(df: DataFrame, cols: list[str] | None) -> DataFrame:
-    """(column_name, value) of every non-null text cell, one narrow scan a column."""
-    cols = list(cols) if cols is not None else roles(df).categorical
-    out = df.sparkSession.createDataFrame([], "column_name string, value string")
-    for name in cols:
-        own = column(name).cast("string")
-        out = out.union(df.where(own.isNotNull()).select(F.lit(name).alias("column_name"), own.alias("value")))
-    return out
-
-
 def distinct_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column_name, n): exact distinct non-missing values of each column. Every column is a narrow scan of
     its own (columnar files read each byte once), combined before the shuffle: no row is expanded, and only a
@@ -108,20 +99,14 @@ def categorical_nunique(df: DataFrame, cols: list[str] | None = None, approx: bo
 
 
 def categorical_top10(df: DataFrame, cols: list[str] | None = None, n: int = 10) -> DataFrame:
-    """A5: (column_name, rank, value, count) -- the ``n`` most frequent values per column.
-
-    value counts are partially aggregated before the shuffle (a hot value costs one
-    row per task); ``row_number() <= n`` lets Catalyst insert a partial
-    WindowGroupLimit so each task forwards at most ``n`` rows per column.
-    Ties break on the value (pandas leaves them open).
+    """A5: (column_name, rank, value, count) -- the ``n`` most frequent values per column, by a
+    sketch whose candidates are counted exactly and proven complete, see ``frequent``; a column where they are not
+    is counted whole. Ties break on the value (pandas leaves them open).
     """
-    counts = _categorical_long(df, cols).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column_name").orderBy(F.col("count").desc(), F.col("value").asc())
-    return (
-        counts.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= n)
-        .select("column_name", F.col("rank").cast("bigint").alias("rank"), "value", "count")
-    )
+    cols = list(cols) if cols is not None else roles(df).categorical
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column_name string, rank long, value string, count long")
+    return top_values(df, cols, n)
 
 
 def missing_by_dataset(df: DataFrame) -> DataFrame:

@@ -51,7 +51,8 @@ def clean_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.selectExpr(*[f"{clean_double(c)} AS c{i}" for i, c in enumerate(cols)])
 
 
-def _by_tasks(df: DataFrame) -> DataFrame:
+def by_tasks(df: DataFrame) -> DataFrame:
+    """The rows with g, the group of FAN tasks whose partial results are merged first."""
     return df.withColumn("g", F.floor(F.spark_partition_id() / FAN))
 
 
@@ -61,7 +62,7 @@ def statistics(work: DataFrame, k: int) -> DataFrame:
     partial = [e for c in cols for e in (
         f"count({c}) AS {c}_n", f"avg({c}) AS {c}_mean", f"var_pop({c}) * count({c}) AS {c}_m2", f"min({c}) AS {c}_min",
         f"max({c}) AS {c}_max", f"kll_sketch_agg_double({c}, {k}) AS {c}_s")]
-    parts = _by_tasks(work).groupBy("g").agg(*map(F.expr, partial))
+    parts = by_tasks(work).groupBy("g").agg(*map(F.expr, partial))
     merged = [e for c in cols for e in (
         f"coalesce(sum({c}_n), 0) AS {c}_n", f"min({c}_min) AS {c}_min", f"max({c}_max) AS {c}_max", f"kll_merge_agg_double({c}_s) AS {c}_s",
         # some rows for every FAN tasks; in a fixed order, so that reruns agree
@@ -185,7 +186,7 @@ def _count(work: DataFrame, targets: list[_Target], wide: list[_Target], k: int)
     if not wide:
         return taken(work.agg(*map(F.expr, counts)).first())
     sketches = [f"kll_sketch_agg_double(CASE WHEN {t.inside} THEN {t.col} END, {k}) AS sketch{t.tid}" for t in wide]
-    parts = _by_tasks(work).groupBy("g").agg(*map(F.expr, counts + sketches))
+    parts = by_tasks(work).groupBy("g").agg(*map(F.expr, counts + sketches))
     return taken(parts.agg(*[F.expr(f"sum({n}) AS {n}") for n in names.values()],
                            *[F.expr(f"kll_merge_agg_double(sketch{t.tid}) AS sketch{t.tid}") for t in wide]).first())
 

@@ -314,6 +314,18 @@ def q_categorical_top10(spark, sf):
     return D.categorical_top10(table(spark, sf, "part"))
 
 
+# long texts with copies, a column of keys (no frequent values), and one that is skewed with a long tail
+_TOP_MIXED_SQL = ("SELECT text, 'doc-' || doc_id AS key_text, CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id % 5 < 4 THEN 'v' || (doc_id % 40) "
+                  "ELSE 'tail ' || doc_id END AS skewed FROM documents")
+
+
+@register("categorical_top10_mixed", _top_sql(_TOP_MIXED_SQL, ["text", "key_text", "skewed"]))
+def q_categorical_top10_mixed(spark, sf):
+    return D.categorical_top10(table(spark, sf, "documents").selectExpr(
+        "text", "'doc-' || doc_id AS key_text",
+        "CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id % 5 < 4 THEN 'v' || (doc_id % 40) ELSE 'tail ' || doc_id END AS skewed"))
+
+
 @register("categorical_top10_lineitem", _top_sql(LINEITEM_NULLS_SQL, LINEITEM_TEXT))
 def q_categorical_top10_lineitem(spark, sf):
     return D.categorical_top10(lineitem_nulls(spark, sf))

@@ -24,7 +24,7 @@ def q(spark, sf_dir):
 
 
 def test_top_k_per_group_limits_before_the_shuffle(q):
-    for name in ("categorical_top10", "recent_per_owner", "similar_items", "activity_feed"):
+    for name in ("recent_per_owner", "similar_items", "activity_feed"):
         p = q(name)
         assert "WindowGroupLimit" in p and "Partial" in p, name
 
