@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prism.plans.registry import register, round_doubles, table
 from prism.session import scratch_path
 from prism.sources import readers as RD
+from prism.sources import xlsx as XL
 from prism.streaming import counters as ST
 
 
@@ -28,6 +29,23 @@ def q_scan_csv_customer(spark, sf):
     return round_doubles(RD.scan_csv(spark, _csv_copy(spark, sf, "customer")))
 
 
+def _xlsx_copy(spark, sf, name):
+    """Write a driver table as workbooks into the shared folder."""
+    path = scratch_path(spark, f"{name}-xlsx")
+    XL.write_xlsx(table(spark, sf, name), path)
+    return path
+
+
+@register("scan_xlsx", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def q_scan_xlsx(spark, sf):
+    return RD.load(spark, _xlsx_copy(spark, sf, "nation"), "excel")
+
+
+@register("scan_xlsx_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS TIMESTAMP) AS o_orderdate, o_orderpriority FROM orders")
+def q_scan_xlsx_orders(spark, sf):
+    return round_doubles(RD.load(spark, _xlsx_copy(spark, sf, "orders"), "excel"))
+
+
 @register("scan_json_records", "SELECT * FROM region")
 def q_scan_json_records(spark, sf):
     path = scratch_path(spark, "region-json")

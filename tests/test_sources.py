@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from prism.sources import readers as RD
 from prism.sources import sinks as S
-from prism.sources.xlsx import scan_xlsx, workbook_cells
+from prism.sources.xlsx import EPOCH, _as_date, _shows_date, scan_xlsx, workbook_cells, write_xlsx
 from prism.streaming import counters as ST
 
 
@@ -84,7 +84,7 @@ def test_s2_workbook_folder(spark, tmp_dir):
     with open(os.path.join(folder, "b.xlsx"), "wb") as f:
         f.write(_workbook([["name", "qty", "ok"], ["cap", 7, True], ["NA", None, False]]))
     cells = list(workbook_cells(open(os.path.join(folder, "a.xlsx"), "rb").read()))
-    assert (1, 1, "name") in cells and (2, 2, "3") in cells
+    assert (1, 1, "name", False) in cells and (2, 2, "3", False) in cells
     df = scan_xlsx(spark, folder)
     assert dict(df.dtypes) == {"name": "string", "qty": "double", "ok": "boolean"}
     rows = [tuple(r) for r in df.collect()]
@@ -183,3 +183,29 @@ def test_s6_rows_are_counted_by_the_inference_pass(spark, tmp_dir):
     with open(f"{tmp_dir}/e.csv", "w") as f:
         f.write("n,t\n")
     assert RD.ingest_metadata(spark, f"{tmp_dir}/e.csv").first()["rows"] == 0
+
+
+def test_s2_written_workbooks_read_back(spark, tmp_dir):
+    """Types, dates, blank rows, odd text and many workbooks, against the rows themselves and a pandas-like reading."""
+    import datetime as dt
+
+    rows = [(i, i / 3, i % 2 == 0, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i, milliseconds=i), dt.date(1999, 12, 31) + dt.timedelta(i),
+             f"<t&{i}> _x0041_ \x01 é\n", None if i % 4 else 7) for i in range(50)]
+    rows[10] = (None,) * 7
+    df = spark.createDataFrame(rows, "`a.b` long, f double, ok boolean, at timestamp_ntz, day date, t string, n int").coalesce(1)
+    write_xlsx(df, f"{tmp_dir}/books", rows=20)
+    files = os.listdir(f"{tmp_dir}/books")
+    assert len([f for f in files if f.endswith(".xlsx")]) == 3 and not any(f.startswith("_writing") for f in files)
+    back = scan_xlsx(spark, f"{tmp_dir}/books")
+    assert [t for _, t in back.dtypes] == ["bigint", "double", "boolean", "timestamp_ntz", "timestamp_ntz", "string", "bigint"]
+    got = sorted((tuple(r) for r in back.collect()), key=lambda r: (r[0] is not None, r[0]) if r[0] is not None else (False, 0))
+    want = [(None,) * 7] + [(a, f, ok, at, dt.datetime(d.year, d.month, d.day), t, n) for a, f, ok, at, d, t, n in rows if a is not None]
+    assert got == want
+    write_xlsx(df.limit(0), f"{tmp_dir}/none")
+    assert scan_xlsx(spark, f"{tmp_dir}/none").count() == 0
+
+
+def test_s2_date_formats():
+    assert all(map(_shows_date, ["yyyy-mm-dd", "d/m", "[$-40C]d mmm yyyy;@", "DD.MM.YY"]))
+    assert not any(map(_shows_date, ["0.00", '0" days"', "[h]:mm:ss", "hh:mm", "#,##0_d", "[Red]0"]))
+    assert _as_date("45292.5", EPOCH) == "2024-01-01T12:00:00" and _as_date("1e300", EPOCH) is None
