@@ -111,7 +111,7 @@ def q_stream_daily_counts(spark, sf):
 def q_stream_interaction_counters(spark, sf):
     s = ST.parquet_stream(spark, sf, "events.parquet").withColumn(
         "item", F.try_element_at(F.from_json("props", "map<string,int>"), F.lit("k")))
-    return ST.run_to_table(spark, ST.stream_interaction_counters(s, "item", "event_type"), ["item", "type"], "interactions")
+    return ST.count_to_table(spark, s, "item", "event_type")
 
 
 @register("stream_status_counts", "SELECT o_orderstatus AS status, count(*) AS count FROM orders GROUP BY 1")

@@ -5,6 +5,7 @@ under the shared folder named by ``spark.checkpoint.dir``, so a lost executor
 or a restarted query resumes) and writes every micro-batch's *updated* rows to
 ``<table>/batch=<id>``. A replayed batch overwrites its own folder, so the sink
 is idempotent; the current table is the latest row per key over all batches.
+Counters of keys that never end (ST2) keep no state at all: batches write their own counts, which are summed.
 """
 
 from __future__ import annotations
@@ -40,9 +41,9 @@ def stream_daily_counts(stream: DataFrame, ts: str, by: list[str] | None = None,
     return s.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def stream_interaction_counters(stream: DataFrame, item: str, kind: str) -> DataFrame:
-    """ST2: running count per (item, interaction type) -- replaces read-modify-write ``+= 1``."""
-    return stream.groupBy(F.col(item).alias("item"), F.col(kind).alias("type")).agg(F.count(F.lit(1)).alias("count"))
+def interaction_counts(events: DataFrame, item: str, kind: str) -> DataFrame:
+    """ST2: (item, type, count) of a batch of events -- replaces read-modify-write ``+= 1``."""
+    return events.groupBy(column(item).alias("item"), column(kind).alias("type")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def stream_status_counts(stream: DataFrame, status: str) -> DataFrame:
@@ -107,3 +108,75 @@ def parquet_stream(spark: SparkSession, directory: str, glob: str | None = None,
     if max_files_per_trigger:
         s = s.option("maxFilesPerTrigger", max_files_per_trigger)
     return s.parquet(directory)
+
+
+# --- counters without state -------------------------------------------------------------
+#: After so many micro-batches their counts are folded into one table.
+FOLD_EVERY = 64
+
+
+def _folders(spark: SparkSession, path: str, kind: str) -> dict[int, str]:
+    """Number -> folder ``<kind>=<number>`` under ``path`` that a finished write has left."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(root)] if fs.exists(root) else []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return {int(f.getName().split("=")[1]): f.toString() for f in found
+            if f.getName().startswith(f"{kind}=") and fs.exists(done(f, "_SUCCESS"))}
+
+
+def _delete(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _totals(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame | None:
+    """Totals of the last fold and the batches after it (up to a batch), in one scan."""
+    limit = float("inf") if upto is None else upto
+    folds = {n: f for n, f in _folders(spark, path, "fold").items() if n <= limit}
+    last = max(folds, default=-1)
+    parts = ([folds[last]] if folds else []) + [f for n, f in sorted(_folders(spark, path, "batch").items()) if last < n <= limit]
+    return spark.read.parquet(*parts).groupBy(*keys).agg(F.sum("count").alias("count")) if parts else None
+
+
+def start_counters(events: DataFrame, item: str, kind: str, path: str, checkpoint: str, fold_every: int = FOLD_EVERY,
+                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+    """ST2 as a stream that keeps no state: each micro-batch's own counts go to ``path/batch=<id>`` (a replayed batch
+    overwrites its folder), and after every ``fold_every`` batches all counts so far are folded into
+    ``path/fold=<id>``. A key that is idle costs a row of the folded table and nothing in memory, and an event that
+    comes late, after whatever time, adds to the right total. Folders that the fold before covers are deleted then: a reader
+    that has planned its scan still finds its files while one fold passes."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        interaction_counts(batch, item, kind).write.mode("overwrite").parquet(os.path.join(path, f"batch={batch_id}"))
+        if (batch_id + 1) % fold_every == 0:
+            folds = _folders(spark, path, "fold")
+            before = max((n for n in folds if n < batch_id), default=-1)
+            if batch_id not in folds:  # a replayed batch may find its fold made
+                _totals(spark, path, ["item", "type"], batch_id).write.mode("overwrite").parquet(os.path.join(path, f"fold={batch_id}"))
+            old = [f for n, f in _folders(spark, path, "batch").items() if n <= before]
+            _delete(spark, old + [f for n, f in folds.items() if n < before])
+
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write_batch)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Current (item, type, count) of :func:`start_counters`."""
+    totals = _totals(spark, path, ["item", "type"])
+    return spark.createDataFrame([], "item string, type string, count long") if totals is None else totals
+
+
+def count_to_table(spark: SparkSession, events: DataFrame, item: str, kind: str, fold_every: int = FOLD_EVERY) -> DataFrame:
+    """Count everything available now and return the resulting table."""
+    base = scratch_path(spark, "stream-counters")
+    q = start_counters(events, item, kind, os.path.join(base, "table"), os.path.join(base, "checkpoint"), fold_every)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+    return read_counters(spark, os.path.join(base, "table"))
