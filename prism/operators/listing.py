@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prism.functions.sqltext import column
 from prism.operators.workspace import since
 
 PAGE_SIZES = {"datasets": 12, "analyses": 12, "visualizations": 15, "chat_sessions": 20}
@@ -50,16 +51,22 @@ def filter_since(df: DataFrame, ts: str, asof: str, days: int) -> DataFrame:
     return df.where(since(ts, asof, days))
 
 
-def sort_allowlist(df: DataFrame, sort: str | None, allowed: list[str], default: list[Column],
+def _ordered(name: str) -> Column:
+    """``column`` ascending or ``-column`` descending (nulls first and last, as Spark sorts)."""
+    return column(name[1:]).desc() if name.startswith("-") else column(name).asc()
+
+
+def sort_order(sort: str | None, allowed: list[str], default: list, key: list[str]) -> list:
+    """The order of a list: ``sort`` = column or ``-column`` from ``allowed``, else the default, then the key."""
+    chosen = [sort] if sort and sort.removeprefix("-") in allowed else list(default)
+    return chosen + [k for k in key if k not in [c.removeprefix("-") for c in chosen if isinstance(c, str)]]
+
+
+def sort_allowlist(df: DataFrame, sort: str | None, allowed: list[str], default: list,
                    key: list[str]) -> DataFrame:
-    """``sort`` = column or ``-column`` from ``allowed``; anything else keeps the default order.
-    ``key`` columns break ties so the order is total."""
-    order = default
-    if sort:
-        name = sort[1:] if sort.startswith("-") else sort
-        if name in allowed:
-            order = [F.col(name).desc() if sort.startswith("-") else F.col(name).asc()]
-    return df.orderBy(*order, *[F.col(k).asc() for k in key])
+    """``sort`` = column or ``-column`` from ``allowed``; anything else keeps the default order (names
+    as ``sort`` has them, or sort expressions). ``key`` columns break ties so the order is total."""
+    return df.orderBy(*[_ordered(c) if isinstance(c, str) else c for c in sort_order(sort, allowed, default, key)])
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:
@@ -67,21 +74,39 @@ def page(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.offset((max(number, 1) - 1) * size).limit(size)
 
 
+def follows(df: DataFrame, order: list[str], after: list) -> Column:
+    """Whether a row stands behind the one with the values ``after`` in ``order`` (names, ``-name`` descending)."""
+    same, behind = F.lit(True), F.lit(False)
+    for name, value in zip(order, after):
+        down, c = name.startswith("-"), column(name.removeprefix("-"))
+        v = F.lit(value).cast(df.schema[name.removeprefix("-")].dataType)
+        if value is None:  # nulls come first, descending last
+            step = F.lit(False) if down else c.isNotNull()
+        else:
+            step = (c < v) | c.isNull() if down else F.coalesce(c > v, F.lit(False))
+        behind = behind | (same & step)
+        same = same & c.eqNullSafe(v)
+    return behind
+
+
 def page_after(df: DataFrame, order: list[str], after: list | None, size: int) -> DataFrame:
-    """F6 by key: the ``size`` rows that follow the row with the values ``after`` in the ascending total
-    ``order`` (None: the first page). A deep page costs a filter and a top-k, no offset."""
+    """F6 by key: the ``size`` rows that follow the row with the values ``after`` in the total
+    ``order`` of names (``-name``: descending; None: the first page). A deep page costs a filter and a top-k, no offset."""
     if after is not None:
-        df = df.where(F.struct(*order) > F.struct(*[F.lit(v).cast(df.schema[c].dataType) for c, v in zip(order, after)]))
-    return df.orderBy(*order).limit(size)
+        df = df.where(follows(df, order, after))
+    return df.orderBy(*map(_ordered, order)).limit(size)
 
 
 def visualization_browser(df: DataFrame, *, type_col: str, type_value=None, search_cols: list[str],
                           search: str | None, parent_col: str, parent=None, sort: str | None,
-                          allowed: list[str], default: list[Column], key: list[str], number: int = 1,
-                          size: int = 15) -> DataFrame:
-    """F1 + F3 + F5 + F6 composed -- the flagship list query."""
+                          allowed: list[str], default: list, key: list[str], number: int = 1,
+                          size: int = 15, after: list | None = None) -> DataFrame:
+    """F1 + F3 + F5 + F6 composed -- the flagship list query. With ``after``, the values of the last row seen in the
+    columns of :func:`sort_order`, the next page is found by key whatever its depth; ``number`` pages by offset."""
     out = filter_equals(df, **{type_col: type_value, parent_col: parent})
     out = search_any(out, search_cols, search)
+    if after is not None:
+        return page_after(out, sort_order(sort, allowed, default, key), after, size)
     return page(sort_allowlist(out, sort, allowed, default, key), number, size)
 
 

@@ -252,20 +252,34 @@ def q_page(spark, sf):
     return round_doubles(L.page(o, 3, 12))
 
 
-@register("visualization_browser", """
+_BROWSER_SQL = """
 SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity, l.l_returnflag, p.p_name, p.p_brand
 FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 WHERE l.l_returnflag = 'R' AND (contains(lower(p.p_name), 'red') OR contains(lower(p.p_brand), 'red'))
-ORDER BY l.l_quantity DESC, l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber LIMIT 15 OFFSET 15""")
-def q_visualization_browser(spark, sf):
+ORDER BY l.l_quantity DESC, l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber LIMIT 15 OFFSET 15"""
+
+
+def _browser(spark, sf, **paging):
     li = table(spark, sf, "lineitem").select(*LI_ID, "l_quantity", "l_returnflag")
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
     viz = li.join(p, li["l_partkey"] == p["p_partkey"]).drop("p_partkey")
-    out = L.visualization_browser(
+    return L.visualization_browser(
         viz, type_col="l_returnflag", type_value="R", search_cols=["p_name", "p_brand"], search="Red",
         parent_col="l_orderkey", parent=None, sort="-l_quantity", allowed=["l_quantity", "p_name"],
-        default=[F.col("l_orderkey").desc()], key=LI_ID, number=2, size=15)
-    return round_doubles(out)
+        default=["-l_orderkey"], key=LI_ID, size=15, **paging)
+
+
+@register("visualization_browser", _BROWSER_SQL)
+def q_visualization_browser(spark, sf):
+    return round_doubles(_browser(spark, sf, number=2))
+
+
+@register("visualization_browser_after", _BROWSER_SQL)
+def q_visualization_browser_after(spark, sf):
+    """The second page by the key of the first one's last row."""
+    first = _browser(spark, sf).collect()
+    after = [first[-1][c] for c in ["l_quantity", *LI_ID]] if first else None
+    return round_doubles(_browser(spark, sf, after=after))
 
 
 # ---------------------------------------------------------------- W1-W5
