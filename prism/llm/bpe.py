@@ -23,9 +23,12 @@ import base64
 import heapq
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -146,18 +149,32 @@ def _encode_words(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids = None, []
         for batch in batches:
-            chunks: dict[int, tuple[list, list, list]] = {}
-            for word, block, at in zip(*(c.to_pylist() for c in batch.columns)):
-                if word != last:  # sorted by word: each distinct word is encoded once
+            n = batch.num_rows
+            if not n:
+                continue
+            # sorted by word: each run of equal words is encoded once, also one that goes on in the next batch
+            words = batch["word"]
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, n - 1)).to_numpy(zero_copy_only=False)])
+            runs = []
+            for word in words.filter(pa.array(new)).to_pylist():
+                if word != last:
                     last, ids = word, encode_word(word.encode("utf-8", "surrogatepass"), ranks.value)
-                places, sizes, flat = chunks.setdefault(block, ([], [], []))
-                places.append(at)
-                sizes.append(len(ids))
-                flat += ids
-            yield pa.RecordBatch.from_pydict({
-                "block": pa.array(list(chunks), pa.int64()),
-                **{name: pa.array([c[k] for c in chunks.values()], pa.list_(pa.int32()))
-                   for k, name in enumerate(("places", "sizes", "ids"))}})
+                runs.append(ids)
+            size_of = np.fromiter(map(len, runs), np.int64, len(runs))
+            flat = np.fromiter(chain.from_iterable(runs), np.int32, int(size_of.sum()))
+            # the rows of a block together
+            block = batch["block"].to_numpy()
+            order = np.argsort(block, kind="stable")
+            block, row = block[order], (np.cumsum(new) - 1)[order]
+            sizes = size_of[row]
+            found = _gather((np.cumsum(size_of) - size_of)[row], sizes, flat)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [n]])
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            places = batch["at"].to_numpy()[order]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[edges[:-1]], pa.int64())] + [
+                    pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
+                    for at, values in ((edges, places), (edges, sizes), (upto[edges], found))], ["block", "places", "sizes", "ids"])
 
     return run
 
@@ -204,18 +221,33 @@ def _assemble(table):
     return run
 
 
-def decode_ids(ids: pa.ListArray, by_id: list[bytes]) -> pa.Array:
+@dataclass
+class TokenBytes:
+    """The token-byte table: the bytes of every id, one after another, with their places."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    data: np.ndarray
+
+
+def decode_ids(ids: pa.ListArray, table: TokenBytes) -> pa.Array:
     """The bytes of each list of ids."""
-    token = by_id.__getitem__
-    return pa.array([b"".join(map(token, x.values.to_pylist())) if x.is_valid else b"" for x in ids], pa.binary())
+    flat = pc.list_flatten(ids).to_numpy(zero_copy_only=False)
+    sizes = table.sizes[flat]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    offsets = upto[np.concatenate([[0], np.cumsum(tokens)])].astype(np.int32)
+    data = [_gather(table.starts[flat[i:i + SLICE]], sizes[i:i + SLICE], table.data) for i in range(0, len(flat), SLICE)]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *data]))]
+    return pa.Array.from_buffers(pa.binary(), len(ids), buffers)
 
 
-def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
-    """The token-byte table: the bytes of every id."""
+def token_bytes(ranks: dict[bytes, int]) -> TokenBytes:
     by_id = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token
-    return by_id
+    sizes = np.fromiter(map(len, by_id), np.int64, len(by_id))
+    return TokenBytes(np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(by_id), np.uint8))
 
 
 def _bucketed(blocks: DataFrame) -> DataFrame:
