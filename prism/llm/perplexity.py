@@ -5,8 +5,9 @@ counted by Spark over all texts. The counts, the contexts and the probabilities
 keyed by (language, n-gram) that grow with the corpus and are joined in Spark; nothing of
 them is broadcast or collected, and neither languages nor n-grams are capped. Discounts D1,
 D2, D3+ come from the counts of counts of each order; lower orders use continuation counts.
-Texts are dealt into blocks of about ``BLOCK`` characters; each block's distinct n-grams get
-their log probabilities by a join, and the block is scored beside them.
+Texts are dealt into blocks of about ``BLOCK`` characters, packed by block and compressed before
+they are shuffled; each block's distinct n-grams get their log probabilities by a join, and the
+block is scored beside them.
 
 A document is rejected if it fails the base rules (too few words, too many words in
 repeated 8-word windows) or if its perplexity lies outside its language's band. A text is
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ WIDTH = 3.0
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 20, 8, 30
 #: Characters that are counted at once, and characters of a block of texts.
 AT_ONCE, BLOCK = 2_000_000, 16_000_000
+#: Bytes of texts that a task holds while it packs them by block.
+PACKED = 64_000_000
 #: Bits of a symbol: a code point + 1, or 0 for what stands before a text.
 BITS = 21
 #: Key of the model of all languages; a language's key begins with another sign.
@@ -206,11 +210,22 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.flatnonzero(flat)
 
 
-def _pack(dense: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    key = np.zeros(len(at), np.int64)
-    for back in range(ORDER - 1, -1, -1):
-        key = (key << bits) | dense[at - back]
-    return key
+def _numbered(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The symbols around the places, which of them are used, and the bits that number those."""
+    near = flat[at[0] - ORDER + 1:at[-1] + 1]
+    used = np.zeros(int(near.max()) + 1, bool)
+    used[near] = True
+    return near, used, max(1, int(used.sum() - 1).bit_length())
+
+
+def _pack(near: np.ndarray, at: np.ndarray, used: np.ndarray, bits: int) -> np.ndarray:
+    """The 4-gram that ends at each place, of the numbers of its symbols."""
+    dense = (np.cumsum(used, dtype=np.int64) - 1)[near]
+    key = dense[:-ORDER + 1].copy()
+    for back in range(ORDER - 2, -1, -1):
+        key <<= bits
+        key |= dense[ORDER - 1 - back:len(dense) - back]
+    return key if len(key) == len(at) else key[at - at[0]]
 
 
 def grams(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -218,17 +233,13 @@ def grams(flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
     numbered densely so that a 4-gram fits 62 bits; places with too many symbols are halved."""
     if not len(at):
         return
-    used = np.zeros(0x110002, bool)
-    for back in range(ORDER):
-        used[flat[at - back]] = True
-    symbol = np.flatnonzero(used)
-    bits = max(1, int(len(symbol) - 1).bit_length())
+    near, used, bits = _numbered(flat, at)
     if ORDER * bits > 62:
         yield from grams(flat, at[:len(at) // 2])
         yield from grams(flat, at[len(at) // 2:])
         return
-    number = np.cumsum(used, dtype=np.int64) - 1
-    key, n = np.unique(_pack(number[flat], at, bits), return_counts=True)
+    symbol = np.flatnonzero(used)
+    key, n = np.unique(_pack(near, at, used, bits), return_counts=True)
     parts = [symbol[(key >> (bits * back)) & ((1 << bits) - 1)] for back in range(ORDER - 1, -1, -1)]
     context = np.zeros(len(key), np.int64)
     for part in parts[:-1]:
@@ -241,27 +252,21 @@ def log_lookup(flat: np.ndarray, at: np.ndarray, context: np.ndarray, last: np.n
     out = np.empty((values.shape[0], len(at)), np.float64)
     if not len(at):
         return out
-    used = np.zeros(0x110002, bool)
-    for back in range(ORDER):
-        used[flat[at - back]] = True
-    bits = max(1, int(used.sum() - 1).bit_length())
+    near, used, bits = _numbered(flat, at)
     if ORDER * bits > 62:
         half = len(at) // 2
         out[:, :half], out[:, half:] = (log_lookup(flat, a, context, last, values) for a in (at[:half], at[half:]))
         return out
-    number = np.cumsum(used, dtype=np.int64) - 1
     parts = [(context >> (BITS * back)) & ((1 << BITS) - 1) for back in range(ORDER - 2, -1, -1)] + [last]
-    own = np.logical_and.reduce([used[p] for p in parts])
+    own = np.logical_and.reduce([used[np.minimum(p, len(used) - 1)] & (p < len(used)) for p in parts])
+    number = np.cumsum(used, dtype=np.int64) - 1
     table = np.zeros(int(own.sum()), np.int64)
     for part in parts:
         table = (table << bits) | number[part[own]]
-    by = np.argsort(table)
-    table, rows = table[by], values[:, own][:, by]
-    key = _pack(number[flat], at, bits)
-    found = np.searchsorted(table, key)
-    if not len(table) or (table[np.minimum(found, len(table) - 1)] != key).any():
+    found = pc.index_in(pa.array(_pack(near, at, used, bits)), value_set=pa.array(table))
+    if found.null_count:
         raise ValueError("a text has n-grams that were not counted")
-    return rows[:, found]
+    return values[:, own][:, found.to_numpy()]
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
@@ -330,7 +335,7 @@ def probabilities(texts: DataFrame) -> DataFrame:
 
 def repeated_window_words(words: list[bytes], width: int = WINDOW) -> int:
     """Words in windows of ``width`` words that the text holds twice or more, the first included.
-    Windows are named exactly by doubling: 1, 2, 4, ... words get a number each."""
+    Windows are named exactly by doubling: 1, 2, 4, ... words get a number each, as long as any come again."""
     n = len(words)
     if n <= width:
         return 0
@@ -342,7 +347,10 @@ def repeated_window_words(words: list[bytes], width: int = WINDOW) -> int:
     while length < width:
         step = min(length, width - length)
         pair = name[:len(name) - step] * (n + 1) + name[step:]
-        name = np.unique(pair, return_inverse=True)[1]
+        known = np.sort(pair)
+        if not (known[1:] == known[:-1]).any():
+            return 0
+        name = np.searchsorted(known, pair)
         length += step
     again = np.bincount(name)[name] > 1
     if not again.any():
@@ -368,22 +376,55 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
             repeated_window_words(words))
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, text, block) -> (block, key, context, last), distinct within about AT_ONCE characters."""
-    pairs = (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(3), b.column(1)], ["block", "key"]), b.column(2)], ["of", "text"])
-             for b in batches)
-    for (block, key), texts in _by_language(pairs):
-        for context, last, n in grams(*symbols(texts)):
-            nth = pa.array(np.zeros(len(n), np.int32))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()).take(nth), "key": pa.array([key], pa.string()).take(nth),
-                                              "context": pa.array(context, pa.int64()), "last": pa.array(last, pa.int32())})
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, text, block) -> (block, texts): rows of (doc_id, key, text) of one block, as one compressed Arrow stream."""
+    waiting, held = {}, 0
+    for batch in batches:
+        block = batch.column(3).to_numpy(zero_copy_only=False)
+        by = np.argsort(block, kind="stable")
+        rows, block = batch.select([0, 1, 2]).take(pa.array(by)), block[by]
+        ends = np.append(np.flatnonzero(np.diff(block)) + 1, len(block))
+        for first, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            if end > first:
+                waiting.setdefault(int(block[first]), []).append(rows.slice(first, end - first))
+        held += rows.nbytes
+        if held > PACKED:
+            yield from _streams(waiting)
+            waiting, held = {}, 0
+    yield from _streams(waiting)
+
+
+def _streams(waiting: dict[int, list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3), use_threads=False)
+    for block, rows in waiting.items():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=how) as stream:
+            stream.write_table(pa.Table.from_batches(rows).combine_chunks())
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _unpacked(packs: pa.Table) -> pa.Table:
+    """doc_id, key and text of a block."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs["texts"]])
+
+
+def _block_grams(packs: pa.Table) -> pa.Table:
+    """(block, texts) of a block -> its distinct (block, key, context, last)."""
+    found = [pa.table({"key": pa.array([key], pa.string()).take(pa.array(np.zeros(len(n), np.int32))),
+                       "context": pa.array(context, pa.int64()), "last": pa.array(last, pa.int32())})
+             for key, texts in _by_language(_unpacked(packs).select(["key", "text"]).to_batches())
+             for context, last, n in grams(*symbols(texts))]
+    empty = pa.table({"key": pa.array([], pa.string()), "context": pa.array([], pa.int64()), "last": pa.array([], pa.int32())})
+    rows = pa.concat_tables([empty, *found]).group_by(["key", "context", "last"], use_threads=False).aggregate([])
+    return rows.add_column(0, "block", pa.array(np.full(len(rows), packs["block"][0].as_py(), np.int32)))
 
 
 SCORED = "doc_id long, key string, " + "".join(f"{f} long, " for f in BASE_FIELDS) + "log_ppl double, chars long"
 
 
-def _score(docs: pa.Table, models: pa.Table) -> pa.Table:
+def _score(packs: pa.Table, models: pa.Table) -> pa.Table:
     """The documents of a block with their base counts and mean negative log probability."""
+    docs = _unpacked(packs)
     texts = [t or "" for t in docs["text"].to_pylist()]
     keys, logs = np.array(docs["key"].to_pylist(), object), np.full(len(texts), np.nan)
     owners = models["key"].to_numpy() if models.num_rows else np.array([], object)
@@ -419,9 +460,10 @@ def scores(docs: DataFrame) -> DataFrame:
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // BLOCK
     # by text and id: rows that repeat both are few or judged in one block, all else is spread
-    dealt = keyed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    # all columns of ``dealt`` go in, so that its shuffle is the one that the scoring reads
-    asked = (dealt.mapInArrow(_block_grams, "block int, key string, context long, last int").distinct().join(models, ["key", "context", "last"]))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    dealt = keyed.withColumn("block", block).mapInArrow(_packed, "block int, texts binary").repartition(blocks, "block")
+    # both groupings read the shuffle of ``dealt``
+    asked = dealt.groupBy("block").applyInArrow(_block_grams, "block int, key string, context long, last int").join(models, ["key", "context", "last"])
     return cut_lineage(dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_score, SCORED), "lm-scores")
 
 

@@ -6,6 +6,8 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 import xxhash
@@ -332,6 +334,21 @@ def test_base_counts_odd_texts():
         assert perplexity.base_counts(text or "") == slow_base(text)
 
 
+def test_blocks_are_shuffled_packed():
+    texts = [f"the {i} sheep went over the hill number {i * i} and came back\n" * (i % 5) for i in range(500)] + [None, "", "\U0001f411"]
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "key": pa.array([f"={i % 2}" for i in range(len(texts))]),
+                                       "text": pa.array(texts, pa.string()), "block": pa.array([i % 3 for i in range(len(texts))], pa.int32())})
+    packs = pa.Table.from_batches(perplexity._packed(iter([rows.slice(0, 200), rows.slice(200)])))
+    assert sorted(packs["block"].to_pylist()) == [0, 1, 2] and packs.nbytes < rows.nbytes / 3
+    for block in range(3):
+        mine = packs.filter(pc.equal(packs["block"], block))
+        assert perplexity._unpacked(mine).to_pylist() == [{k: r[k] for k in ("doc_id", "key", "text")} for r in rows.to_pylist() if r["block"] == block]
+        grams = Counter((r["key"], r["context"], r["last"]) for r in perplexity._block_grams(mine).to_pylist())
+        expected = {(f"={i % 2}", context, last) for i in range(block, len(texts), 3) if texts[i]
+                    for found in perplexity.grams(*perplexity.symbols([texts[i]])) for context, last in zip(*(x.tolist() for x in found[:2]))}
+        assert grams == Counter(expected)
+
+
 def slow_kneser_ney(texts):
     """Probability function of a modified Kneser-Ney 4-gram model, from dictionaries."""
     classes = perplexity.character_classes()
