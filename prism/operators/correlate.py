@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prism.functions.sqltext import clean_double, q
+from prism.functions.sqltext import clean_double, column, q
 from prism.operators.roles import roles
 
 
@@ -102,11 +102,11 @@ TILE, FAN = 4_096, 512
 
 
 def _partition_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's moments: one row for each tile of pairs, its moments one after the other."""
+    """(values) -> a task's moments: one row for each tile of pairs, its moments one after the other."""
     held = None
     for batch in batches:
         if batch.num_rows:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
             own = _pair_moments(x)
             held = own if held is None else _merge(held, own)
     if held is not None:
@@ -172,10 +172,13 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     cols = list(cols) if cols is not None else roles(df).numeric
     if not cols:
         return df.sparkSession.createDataFrame([], "pos1 int, var1 string, pos2 int, var2 string, r double")
-    numbered = _clean(df, cols).toDF(*[f"c{i}" for i in range(len(cols))])
+    # The second column keeps the projection (and what it is merged with) out of whole-stage code, as higher-order functions have
+    # none: that would be one method for all columns, and the JVM never compiles methods beyond 8,000 bytes. NaN is missing anyway.
+    values = df.select(F.array(*[column(c).cast("double") for c in cols]).alias("x"),
+                       F.transform(F.array(F.spark_partition_id()), lambda part: part).alias("part"))
     # a row of missing values adds nothing, but where there are no rows it makes the pairs (with r = 0)
-    none = df.sparkSession.range(1).selectExpr(*[f"CAST(NULL AS DOUBLE) AS c{i}" for i in range(len(cols))])
-    parts = numbered.unionByName(none).mapInArrow(_partition_moments, "part long, tile long, moments array<double>")
+    none = df.sparkSession.range(1).select(F.array(*[F.lit(None).cast("double") for _ in cols]).alias("x"), F.array(F.lit(0)).alias("part"))
+    parts = values.unionByName(none).mapInArrow(_partition_moments, "part long, tile long, moments array<double>")
     tiles = parts.groupBy("part", "tile").applyInArrow(_merged, "tile long, moments array<double>")
     found = tiles.groupBy("tile").applyInArrow(_coefficients(len(cols)), "i long, j long, r double")
     names = F.array(*map(F.lit, cols))

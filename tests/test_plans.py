@@ -4,8 +4,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from prism.operators import correlate
 
 
 def plan_of(df) -> str:
@@ -57,3 +59,16 @@ def test_children_aggregated_before_joining(q):
 def test_describe_final_pass_is_filtered(q):
     p = q("describe_numeric")
     assert "Filter" in p and "ObjectHashAggregate" in p
+
+
+def test_correlation_of_many_columns_is_not_one_method(spark):
+    """Whole-stage code of many columns is one method, which the JVM does not compile when it is long."""
+    df = spark.range(100).select(*[F.when(F.col("id") % (i + 2) != 0, F.col("id") * i % 7).alias(f"w{i}") for i in range(30)])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # such a plan shows its whole-stage code at once
+    try:
+        plan = correlate.correlation_matrix(df)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    wide = [line for line in plan if "Project" in line and line.count("CASE WHEN") > 20]
+    assert len(wide) == 1 and "*(" not in wide[0].split("Project")[0]
