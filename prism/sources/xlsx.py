@@ -4,7 +4,7 @@ the header).
 Spark has no built-in Excel source. Workbooks are read with the ``binaryFile``
 source (any Hadoop file system, one row per file), each is unzipped and its
 first sheet turned into long cells (file, row, column, text) by a
-``mapInPandas`` task, and rows are pivoted back by the *names* in each workbook's own
+``mapInArrow`` task, some thousands of cells at once, and rows are pivoted back by the *names* in each workbook's own
 header: columns may stand in any order, and one that a workbook lacks is NULL in its
 rows. Only the stdlib ``zipfile``/``xml`` parsers run in the task.
 A cell whose number format shows a day or a year is a date; a column of dates alone becomes a
@@ -21,13 +21,17 @@ import datetime as dt
 import io
 import math
 import re
+import shutil
+import tempfile
 import uuid
 import zipfile
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -82,10 +86,10 @@ def _as_date(serial: str, epoch: dt.datetime) -> str | None:
         return None
 
 
-def workbook_cells(data: bytes, sheet: int = 0) -> Iterator[tuple[int, int, str | None, bool]]:
+def workbook_cells(data: bytes | pa.Buffer, sheet: int = 0) -> Iterator[tuple[int, int, str | None, bool]]:
     """Yield (row, column, text, is a date) of one sheet of an .xlsx workbook (1-based); a blank row
     between others yields (row, 0, None, False)."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(pa.BufferReader(data)) as z:
         names = set(z.namelist())
         shared = []
         if "xl/sharedStrings.xml" in names:
@@ -102,19 +106,30 @@ def workbook_cells(data: bytes, sheet: int = 0) -> Iterator[tuple[int, int, str
         target = target.lstrip("/")
         path = target if target.startswith("xl/") else f"xl/{target}"
         last = None
-        for _, row in ET.iterparse(io.BytesIO(z.read(path))):
-            if row.tag != f"{{{NS['m']}}}row":
-                continue
-            r = int(row.get("r"))
-            cells = [x for x in (_cell(c, shared, dates, epoch) for c in row.findall("m:c", NS)) if x[1] is not None]
-            row.clear()
-            if not cells:
-                continue
-            for blank in range(last + 1, r) if last is not None else ():
-                yield blank, 0, None, False
-            last = r
-            for c, text, is_date in cells:
-                yield r, c, text, is_date
+        with z.open(path) as xml:
+            for row in _rows(xml):
+                r = int(row.get("r"))
+                cells = [x for x in (_cell(c, shared, dates, epoch) for c in row.findall("m:c", NS)) if x[1] is not None]
+                if not cells:
+                    continue
+                for blank in range(last + 1, r) if last is not None else ():
+                    yield blank, 0, None, False
+                last = r
+                for c, text, is_date in cells:
+                    yield r, c, text, is_date
+
+
+def _rows(xml) -> Iterator[ET.Element]:
+    """The rows of a sheet one by one; what has been read is let go, from the elements around it too."""
+    around = []
+    for event, element in ET.iterparse(xml, ("start", "end")):
+        if event == "start":
+            around.append(element)
+            continue
+        around.pop()
+        if element.tag == f"{{{NS['m']}}}row":
+            yield element
+            around[-1].remove(element)
 
 
 def _cell(c, shared: list[str], dates: set[int], epoch: dt.datetime) -> tuple[int, str | None, bool]:
@@ -133,13 +148,18 @@ def _cell(c, shared: list[str], dates: set[int], epoch: dt.datetime) -> tuple[in
     return place, v.text, False
 
 
-def _cells_of(batches, sheet: int):
-    import pandas as pd
+#: Cells that a task holds at once.
+CELLS_AT_ONCE = 20_000
+
+
+def _cells_of(batches: Iterator[pa.RecordBatch], sheet: int) -> Iterator[pa.RecordBatch]:
+    kinds = {"r": pa.int32(), "c": pa.int32(), "v": pa.string(), "d": pa.bool_()}
     for b in batches:
-        for path, content in zip(b["path"], b["content"]):
-            cells = list(workbook_cells(bytes(content), sheet))
-            yield pd.DataFrame({"path": [path] * len(cells), **{n: [x[i] for x in cells] for i, n in enumerate("rcvd")}},
-                               columns=["path", "r", "c", "v", "d"])
+        for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            cells = workbook_cells(content.as_buffer(), sheet)
+            while some := list(islice(cells, CELLS_AT_ONCE)):
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(some), pa.string()),
+                                                  **{n: pa.array([x[i] for x in some], t) for i, (n, t) in enumerate(kinds.items())}})
 
 
 def scan_xlsx(spark: SparkSession, folder: str, sheet: int = 0, na_values: list[str] | None = None,
@@ -147,7 +167,7 @@ def scan_xlsx(spark: SparkSession, folder: str, sheet: int = 0, na_values: list[
     """Every ``*.xlsx`` under ``folder`` (or one file), concatenated."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
     # each workbook is unzipped once; header, types and rows read the cells
-    cells = cut_lineage(files.mapInPandas(lambda it: _cells_of(it, sheet), CELLS_SCHEMA), "xlsx-cells")
+    cells = cut_lineage(files.mapInArrow(lambda it: _cells_of(it, sheet), CELLS_SCHEMA), "xlsx-cells")
     first_row = cells.groupBy("path").agg(F.min("r").alias("hr"))
     tagged = cells.join(first_row, "path")
     header = tagged.where((F.col("r") == F.col("hr")) & F.col("v").isNotNull()).select("path", "c", F.col("v").alias("name"))
@@ -213,16 +233,22 @@ def _cell_xml(ref: str, v) -> str:
 
 def workbook(header: list[str], rows: Iterable[tuple]) -> bytes:
     """A workbook with one sheet."""
-    names, out = [_column_name(i) for i in range(len(header))], io.BytesIO()
+    out = io.BytesIO()
+    write_workbook(out, header, rows)
+    return out.getvalue()
+
+
+def write_workbook(out, header: list[str], rows: Iterable[tuple]) -> None:
+    """A workbook with one sheet, written into a binary file row by row."""
+    names = [_column_name(i) for i in range(len(header))]
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for part, xml in _PARTS.items():
             z.writestr(part, xml)
         with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
             sheet.write(f"<worksheet {_MAIN}><sheetData>".encode())
-            for r, row in enumerate([tuple(header), *rows], 1):
+            for r, row in enumerate(chain([tuple(header)], rows), 1):
                 sheet.write(f'<row r="{r}">{"".join(_cell_xml(f"{n}{r}", v) for n, v in zip(names, row))}</row>'.encode("utf-8", "replace"))
             sheet.write(b"</sheetData></worksheet>")
-    return out.getvalue()
 
 
 @dataclass
@@ -245,21 +271,16 @@ class WorkbookWriter(DataSourceWriter):
     def write(self, iterator):
         fs, folder = _open_folder(self.path)
         fs.create_dir(folder, recursive=True)
-        files, held = [], []
-
-        def flush():
+        files, rows = [], iter(iterator)
+        for first in rows:
             name = f"{folder}/_writing-{uuid.uuid4().hex}"
-            with fs.open_output_stream(name) as f:
-                f.write(workbook(self.header, held))
+            # zip goes back to a part's head: a local file first
+            with tempfile.TemporaryFile() as made:
+                write_workbook(made, self.header, map(tuple, chain([first], islice(rows, self.rows - 1))))
+                made.seek(0)
+                with fs.open_output_stream(name) as f:
+                    shutil.copyfileobj(made, f)
             files.append(name)
-            held.clear()
-
-        for row in iterator:
-            held.append(tuple(row))
-            if len(held) == self.rows:
-                flush()
-        if held:
-            flush()
         return _Written(files)
 
     def commit(self, messages):

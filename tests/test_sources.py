@@ -7,11 +7,13 @@ import os
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prism.sources import readers as RD
 from prism.sources import sinks as S
+from prism.sources import xlsx
 from prism.sources.xlsx import EPOCH, _as_date, _shows_date, scan_xlsx, workbook_cells, write_xlsx
 from prism.streaming import counters as ST
 
@@ -209,3 +211,18 @@ def test_s2_date_formats():
     assert all(map(_shows_date, ["yyyy-mm-dd", "d/m", "[$-40C]d mmm yyyy;@", "DD.MM.YY"]))
     assert not any(map(_shows_date, ["0.00", '0" days"', "[h]:mm:ss", "hh:mm", "#,##0_d", "[Red]0"]))
     assert _as_date("45292.5", EPOCH) == "2024-01-01T12:00:00" and _as_date("1e300", EPOCH) is None
+
+
+def test_workbooks_are_read_and_written_in_pieces(tmp_path):
+    """A task holds some cells of a workbook, whatever its rows."""
+    n = 20_000
+    writer = xlsx.WorkbookWriter(str(tmp_path), ["a", "b"], 15_000)
+    files = writer.write((i, f"t{i}") if i % 7 else (None, None) for i in range(n)).files
+    assert len(files) == 2
+    for name, first, rows in zip(files, (0, 15_000), (15_000, 5_000)):
+        batch = pa.RecordBatch.from_pydict({"path": [name], "content": pa.array([open(name, "rb").read()], pa.binary())})
+        pieces = list(xlsx._cells_of(iter([batch]), 0))
+        assert len(pieces) == -(-sum(p.num_rows for p in pieces) // xlsx.CELLS_AT_ONCE) and max(p.num_rows for p in pieces) <= xlsx.CELLS_AT_ONCE
+        got = [(x["r"], x["c"], x["v"]) for p in pieces for x in p.to_pylist() if x["c"]]
+        assert got == [(1, 1, "a"), (1, 2, "b")] + [(i - first + 2, c, v) for i in range(first, first + rows) if i % 7
+                                                    for c, v in ((1, str(i)), (2, f"t{i}"))]
